@@ -36,7 +36,7 @@ from .common import materialise
 from .language_id import text_slices
 
 CHUNK = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 NULL_ID = np.int64((1 << 63) - 1)
 DUP, FIRST, NEED = 1, 2, 4
 BASE = 0x9E3779B97F4A7C15 | 1
