@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         enc, part, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
-            for key, ids in zip(b.column(0).to_pylist(), enc.ids([x or "" for x in b.column(1).to_pylist()]), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

@@ -39,7 +39,7 @@ def encode_misses(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            yield pa.record_batch([b.column("digest").cast(pa.binary()), pa.array(enc.counts(b.column("body").to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+            yield pa.record_batch([b.column("digest").cast(pa.binary()), pa.array(enc.counts(b.column("body").cast(pa.binary()).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
     return rows.select("digest", "body").mapInArrow(run, "digest binary, n_tokens long")
 

@@ -4,12 +4,41 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-_PIECES = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words kept by each Python worker; the table is emptied when full, so memory is bounded and results are the same.
+import numpy as np
+
+#: Words kept by each Python worker in either of two tables: when the young one is full it becomes the old one, so memory
+#: is bounded, common words stay, and results are the same.
 WORDS_KEPT = 400_000
+#: Latin letters that lower-casing and NFC map one to one, then ASCII punctuation but the apostrophe: such a word is two
+#: pieces, or one, for the splitter, and the first needs no more of the normaliser than lower case.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+class TwoTables:
+    """A mapping that forgets: the young table becomes the old one when full."""
+
+    def __init__(self, kept: int):
+        self.kept, self.young, self.old = kept, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+
+    def fill(self, keys: Iterable, make: Callable[[list], list]) -> None:
+        """Every key is in the young table afterwards."""
+        new = []
+        for k in keys:
+            if k not in self.young:
+                if (got := self.old.get(k)) is None:
+                    new.append(k)
+                else:
+                    self.young[k] = got
+        for at in range(0, len(new), 1024):
+            own = new[at : at + 1024]
+            self.young.update(zip(own, make(own), strict=True))
 
 
 def drops_white(path: str) -> bool:
@@ -27,17 +56,31 @@ def drops_white(path: str) -> bool:
         and first.get("behavior") == "Removed"
         and first.get("invert") is True
         and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "")
+        and (splits[1].get("type"), splits[1].get("add_prefix_space"), splits[1].get("use_regex")) == ("ByteLevel", False, False)
         and not spec.get("post_processor")
         and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
     )
 
 
+def lean(path: str) -> Callable[[str], list[int]]:
+    """The file's model behind its byte mapping alone: for words that are one piece, lower-cased and composed already."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    tok.normalizer = None
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return lambda text: tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 class Encoder:
-    """ids(text) as little-endian unsigned 32-bit bytes, exactly as the library gives them, no special tokens added."""
+    """ids(texts) as little-endian unsigned 32-bit bytes, exactly as the library gives them, no special tokens added.
+    Texts are UTF-8 bytes."""
 
     def __init__(self, path: str, words_kept: int = WORDS_KEPT):
-        self.by_word, self.kept = drops_white(path), words_kept
-        self.table: dict[str, bytes] = {}
+        self.by_word, self.words, self.parts = drops_white(path), TwoTables(words_kept), TwoTables(words_kept)
+        self.mark, self.mark_id = "", -1
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -45,31 +88,59 @@ class Encoder:
             tok.no_truncation()
             tok.no_padding()
             self._many = lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            whole = [t for t in tok.get_added_tokens_decoder().items() if t[1].special and not t[1].normalized and not t[1].single_word]
+            if self.by_word and whole:
+                self.mark_id, self.mark = whole[0][0], whole[0][1].content
+                self._lean = lean(path)
+            self._all = lambda text: tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
         else:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             self._many = lambda texts: sp.encode(texts, num_threads=1)
 
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x)}I", *x) for x in self._many(texts)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _pack(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(x, "<u4").tobytes() for x in self._many([t.decode() for t in texts])]
+
+    def _joined(self, words: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
+        """Many words in one call, told apart by a special token of the vocabulary: the library cuts a text at special
+        tokens before all else."""
+        ids = np.array(encode(self.mark.join(words)), "<u4")
+        cut, raw = (np.flatnonzero(ids == self.mark_id) * 4).tolist(), ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        if not self.mark:
+            return self._pack(words)
+        texts = [w.decode() for w in words]
+        plain = [_PLAIN.fullmatch(t) for t in texts]
+        pieces = [(m[1].lower(), m[2]) if m else None for m in plain]
+        self.parts.turn()
+        self.parts.fill({p[0] for p in pieces if p}, lambda own: self._joined(own, self._lean))
+        self.parts.fill({p[1] for p in pieces if p and p[1]}, lambda own: self._joined(own, self._all))
+        odd = [t for t, p in zip(texts, pieces, strict=True) if not p]
+        alone = any(self.mark in t for t in odd)
+        rest = iter(self._pack([t.encode() for t in odd]) if alone else self._joined(odd, self._all) if odd else [])
+        get = self.parts.young.__getitem__
+        return [(get(p[0]) + get(p[1]) if p[1] else get(p[0])) if p else next(rest) for p in pieces]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._pack(texts)
-        out = []
-        for lo in range(0, len(texts), 64):
-            words = [_PIECES.findall(x) for x in texts[lo : lo + 64]]
-            if len(self.table) > self.kept:
-                self.table.clear()
-            if new := list(set().union(*words).difference(self.table)):
-                for at in range(0, len(new), 4096):
-                    self.table.update(zip(new[at : at + 4096], self._pack(new[at : at + 4096]), strict=True))
-            get = self.table.__getitem__
-            out += [b"".join(map(get, x)) for x in words]
+        out: list[bytes] = []
+        for lo in range(0, len(texts), 256):
+            self.words.turn()
+            words = [x.split() for x in texts[lo : lo + 256]]  # of bytes: the six ASCII white-space characters
+            found = [list(map(self.words.young.get, x)) for x in words]
+            lacking = [i for i, x in enumerate(found) if None in x]
+            self.words.fill({w for i in lacking for w, v in zip(words[i], found[i], strict=True) if v is None}, self._words)
+            table = self.words.young
+            for i in lacking:
+                found[i] = [table[w] if v is None else v for w, v in zip(words[i], found[i], strict=True)]
+            out += map(b"".join, found)
         return out
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: list[bytes]) -> list[int]:
         return [len(x) // 4 for x in self.ids(texts)]
 
 
