@@ -38,7 +38,7 @@ def digested(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Dat
 def encode_misses(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             yield pa.record_batch([b.column("digest").cast(pa.binary()), pa.array(enc.counts(b.column("body").cast(pa.binary()).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
     return rows.select("digest", "body").mapInArrow(run, "digest binary, n_tokens long")
