@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
+from .tokens import forget
 
 BITS = 14
 SLACK, SURE = 4.0, 40
@@ -110,6 +111,7 @@ def text_evidence(rows: DataFrame, model: TextModel, temper: float = 8.0, inside
     shared = rows.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.usual, len(model.languages)))  # languages x 2^14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         weights, usual, k = shared.value
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             ps, fits, letters = [], [], []

@@ -11,7 +11,7 @@ import numpy as np
 
 #: Words kept by each Python worker in either of two tables: when the young one is full it becomes the old one, so memory
 #: is bounded, common words stay, and results are the same.
-WORDS_KEPT = 300_000
+WORDS_KEPT, PARTS_KEPT = 250_000, 200_000
 #: Latin letters that lower-casing and NFC map one to one, then ASCII punctuation but the apostrophe: such a word is two
 #: pieces, or one, for the splitter, and the first needs no more of the normaliser than lower case.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -79,7 +79,7 @@ class Encoder:
     Texts are UTF-8 bytes."""
 
     def __init__(self, path: str, words_kept: int = WORDS_KEPT):
-        self.by_word, self.words, self.parts = drops_white(path), TwoTables(words_kept), TwoTables(words_kept)
+        self.by_word, self.words, self.parts = drops_white(path), TwoTables(words_kept), TwoTables(PARTS_KEPT)
         self.mark, self.mark_id = "", -1
         if path.endswith(".json"):
             from tokenizers import Tokenizer
@@ -151,3 +151,8 @@ def encoder(path: str) -> Encoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
+
+
+def forget() -> None:
+    """Frees the tables that an earlier job left in this Python worker."""
+    encoder.cache_clear()
