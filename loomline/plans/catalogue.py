@@ -1,15 +1,282 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries, and for each that SQL can express the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators import classify, metrics, probe, records, retrieval
+from ..sources import files
+from ..sources.parsers import HtmlRules
+
+SPACES = tx.SPACES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("quality").alias("y"), F.col("toxic").alias("p"))
+
+
+_TRUTH = "t AS (SELECT quality AS y, toxic AS p FROM labels)"
+_COUNTS = f"""WITH {_TRUTH}, l AS (SELECT unnest([0, 1, 2])::INTEGER AS label), c AS (
+  SELECT label, count(*) FILTER (y = label AND p = label) AS tp, count(*) FILTER (y <> label AND p = label) AS fp,
+    count(*) FILTER (y = label AND p <> label) AS fn, count(*) FILTER (y = label) AS support FROM l, t GROUP BY label),
+m AS (SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+    coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, support, tp + fp + fn > 0 AS seen FROM c)"""
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS s FROM x q, x c WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 5""")
+def topk_inner_product(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings")
+    return retrieval.top_k_join(x, x.where("vec_id % 20 = 0"), 5).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT arg_min(v, vec_id) AS v FROM x)
+SELECT x.vec_id, round(list_dot_product(x.v, q.v), 6) AS score FROM x, q ORDER BY list_dot_product(x.v, q.v) DESC, vec_id LIMIT 10""")
+def topk_single_query(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings")
+    q = x.select(F.min_by("embedding", "vec_id")).first()[0]  # one vector
+    return retrieval.top_k(x, q, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(2 * x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * 4), 6)) AS unit FROM embeddings""")
+def l2_normalize(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings")
+    doubled = F.transform(vx.doubles("embedding"), lambda v: v * 2)
+    return x.select("vec_id", F.transform(vx.unit(doubled), lambda v: F.round(v, 6)).alias("unit"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g'), ' ') AS body FROM documents")
+def ws_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.squash("text").alias("body"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(text) > 600 THEN regexp_replace(left(text, 599), '{SPACES}$', '') || '…' ELSE text END AS snippet FROM documents""")
+def truncate_ellipsis(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.truncate("text", 600).alias("snippet"))
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{SPACES}', ' ', 'g'), ' ') AS body FROM pages")
+def strip_tags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.squash(tx.strip_tags("html")).alias("body"))
+
+
+@query(f"""SELECT page_id, trim(regexp_replace(coalesce(CASE WHEN length(text) < 1000 THEN nullif(text, '') END, regexp_replace(html, '<[^>]+>', ' ', 'g')), '{SPACES}', ' ', 'g'), ' ') AS body
+FROM pages LEFT JOIN documents ON page_id = doc_id""")
+def opinion_text_fallback(spark, sf_dir):
+    p, d = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = p.join(d, F.col("page_id") == F.col("doc_id"), "left")
+    plain = F.when(F.length("text") < 1000, F.col("text"))
+    return rows.select("page_id", records.opinion_text(plain, F.lit(""), F.col("html")).alias("body"))
+
+
+@query("""SELECT 'sec' || doc_id AS id, lang || ' U.S.C. § ' || doc_id || '. ' || source || chr(10) || chr(10) || text AS text, 'us_code' AS source,
+lang || ' U.S.C. § ' || doc_id AS citation, 'statute' AS type, source AS heading, 'USCODE-2023-title' || lang AS package_id FROM documents WHERE text <> ''""")
+def record_build(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("sec"), F.col("doc_id").cast("string")).alias("granule_id"), F.col("lang").alias("title"), F.lit(2023).alias("year"), F.col("source").alias("heading"), F.col("text").alias("body"))
+    out = records.code_granules(rows)
+    return out.select("id", "text", "source", "citation", "type", F.col("metadata")["heading"].alias("heading"), F.col("metadata")["package_id"].alias("package_id"))
+
+
+@query("""SELECT page_id, coalesce(nullif(regexp_extract(replace(url, '/', 'sec'), 'sec([A-Za-z0-9_.]+)$', 1), ''), replace(url, '/', 'sec')) AS section FROM pages""")
+def section_suffix(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.section_suffix(F.replace("url", F.lit("/"), F.lit("sec"))).alias("section"))
+
+
+@query("""WITH u AS (SELECT source, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark)
+SELECT source, count(*) AS n, grouping(source)::INTEGER AS level FROM u GROUP BY ROLLUP (source)""")
+def corpus_union_all(spark, sf_dir):
+    d, b = table(spark, sf_dir, "documents").select("source", "text"), table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), "text")
+    return records.source_counts(records.union_all(d, b))
+
+
+@query("SELECT source AS key, count(*) AS n, min(doc_id) AS first_seen FROM documents GROUP BY source ORDER BY first_seen")
+def source_counts(spark, sf_dir):
+    return records.group_counts(table(spark, sf_dir, "documents"), "source", "doc_id").orderBy("first_seen")
+
+
+@query("SELECT count(*) FILTER (n_chars > 2000) AS n_full, count(*) AS n FROM documents")
+def full_body_count(spark, sf_dir):
+    flag = F.when(F.col("n_chars") > 2000, "true").otherwise("false")
+    return records.full_bodies(table(spark, sf_dir, "documents").select(F.create_map(F.lit("fetched_full_body"), flag).alias("metadata")))
+
+
+@query("SELECT d.doc_id, coalesce(nullif(CASE WHEN l.quality = 1 THEN d.text ELSE '' END, ''), left(d.text, 80)) AS body, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def snippet_left_join(spark, sf_dir):
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")
+    rows = d.join(lab, F.col("doc_id") == F.col("l_id"), "left")
+    full = F.when(F.col("quality") == 1, F.col("text")).otherwise("")
+    return rows.select("doc_id", tx.or_else(full, F.left("text", F.lit(80))).alias("body"), F.col("l_id").isNotNull().alias("labelled"))
+
+
+@query("SELECT doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END::INTEGER AS label FROM documents")
+def label_lookup_default(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", metrics.label_ids(F.col("source"), ("src0", "src1"), 2).alias("label"))
+
+
+@query(f"WITH {_TRUTH} SELECT y, p, count(*) AS n FROM t GROUP BY y, p")
+def confusion(spark, sf_dir):
+    return metrics.confusion(_truth(spark, sf_dir))
+
+
+@query(f"WITH {_TRUTH} SELECT round(avg((y = p)::INTEGER), 6) AS accuracy FROM t")
+def accuracy(spark, sf_dir):
+    return metrics.accuracy(_truth(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(_COUNTS + " SELECT round(avg(f1) FILTER (seen), 6) AS observed, round(avg(f1), 6) AS declared FROM m")
+def macro_f1(spark, sf_dir):
+    t = _truth(spark, sf_dir)
+    seen = metrics.macro_f1(t).select(F.round("macro_f1", 6).alias("observed"), F.lit(1).alias("one"))
+    all_ = metrics.macro_f1(t, labels=metrics.label_dimension(spark)).select(F.round("macro_f1", 6).alias("declared"), F.lit(1).alias("one"))
+    return seen.join(all_, "one").drop("one")
+
+
+@query(_COUNTS + " SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM m")
+def per_class_f1(spark, sf_dir):
+    c = metrics.per_class(metrics.class_counts(_truth(spark, sf_dir), labels=metrics.label_dimension(spark)))
+    return c.select("label", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")), "support")
+
+
+@query(_COUNTS + """, o AS (SELECT * FROM m WHERE seen), s AS (SELECT sum(support)::BIGINT AS n FROM o)
+SELECT label::VARCHAR AS name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM o
+UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT round(avg((y = p)::INTEGER), 6) FROM t), (SELECT count(*) FROM t)
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), (SELECT n FROM s) FROM o
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), (SELECT n FROM s) FROM o""")
+def class_report(spark, sf_dir):
+    r = metrics.report(_truth(spark, sf_dir))
+    return r.select("name", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")), "support")
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c""")
+def balanced_weights(spark, sf_dir):
+    return metrics.balanced_weights(table(spark, sf_dir, "embeddings")).withColumn("weight", F.round("weight", 6))
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), w AS (SELECT ceil(0.33 * sum(n)) AS want, sum(n) AS total FROM c),
+e AS (SELECT label, n, want, want * n / total AS x FROM c, w),
+r AS (SELECT *, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, label) AS nth, want - sum(floor(x)) OVER () AS extra FROM e)
+SELECT label, n, (floor(x) + (nth <= extra)::INTEGER)::BIGINT AS n_test FROM r""")
+def stratified_quota(spark, sf_dir):
+    """Counted from the split itself, so the quota is what was dealt."""
+    s = probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("n_test"))
+
+
+@query("""WITH l AS (SELECT source, avg(n_chars) AS v, count(*) AS n FROM documents GROUP BY source)
+SELECT source AS model, CASE WHEN v < 2200 THEN NULL ELSE round_even(v / 10000, 4) END AS macro_f1, n AS dim FROM l ORDER BY macro_f1 DESC NULLS LAST, model""")
+def leaderboard(spark, sf_dir):
+    l = table(spark, sf_dir, "documents").groupBy("source").agg(F.avg("n_chars").alias("v"), F.count("*").alias("n"))  # noqa: E741
+    bad = F.col("v") < 2200
+    rows = l.select(F.col("source").alias("model"), F.when(bad, float("nan")).otherwise(F.col("v") / 10000).alias("macro_f1"), F.lit(0.0).alias("accuracy"), F.col("n").alias("dim"), F.when(bad, "skipped").alias("error"), F.array().cast("array<double>").alias("per_class_f1"))
+    return metrics.leaderboard(rows).select("model", F.round("macro_f1", 4).alias("macro_f1"), "dim")
+
+
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10")
+def limit_per_group(spark, sf_dir):
+    return records.first_of_group(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], 10).select("source", "doc_id")
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS best FROM embeddings")
+def argmax_first(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", vx.argmax("embedding").alias("best"))
+
+
+@query("""SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(value / 100, 0.0::DOUBLE))) AS confidence,
+CASE WHEN lower(event_type) IN ('view', 'click') THEN lower(event_type) ELSE 'unclear' END AS label FROM events""")
+def clamp_confidence(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", tx.confidence(F.col("value") / 100).alias("confidence"), tx.label_in("event_type", ("view", "click")).alias("label"))
+
+
+@query(f"""WITH h AS (SELECT source AS query_id, doc_id, text, lang, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+l AS (SELECT query_id, rank, replace(regexp_replace(text, '^{SPACES}|{SPACES}$', '', 'g'), chr(10), ' ') AS s, lang FROM h WHERE rank <= 5),
+x AS (SELECT query_id, rank, '[' || rank || '] (' || lang || '): "' || CASE WHEN length(s) > 600 THEN regexp_replace(left(s, 599), '{SPACES}$', '') || '…' ELSE s END || '"' AS line FROM l)
+SELECT query_id, 'Relevant legal context (retrieved):' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM x GROUP BY query_id""")
+def context_block(spark, sf_dir):
+    """The five longest documents of each source stand in for hits."""
+    d = table(spark, sf_dir, "documents")
+    hits = records.first_of_group(d, ["source"], [F.col("n_chars").desc(), "doc_id"], 5)
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
+    rows = hits.select(F.col("source").alias("query_id"), rank.alias("rank"), F.lit("").alias("citation"), F.col("lang").alias("source"), "text")
+    return retrieval.context_blocks(rows)
+
+
+@query("""SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""")
+def prompt_messages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("m", F.struct("turn", "role", "text"))
+    g = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list("m")).alias("chat"))
+    return g.select("conv_id", "turns", F.array_join(F.transform("chat", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("prompt"))
+
+
+@query()
+def html_sections(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return files.html_sections(pages, "page_id", "html", HtmlRules("h1", "", "p", ""))
+
+
+_REPLY = "'{\"label\": \"' || CASE WHEN n_chars % 3 = 0 THEN 'yes' WHEN n_chars % 3 = 1 THEN 'No ' ELSE 'maybe' END || '\", \"confidence\": ' || n_chars || ', \"reasoning\": \" ' || source || ' \"}'"
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'yes' WHEN n_chars % 3 = 1 THEN 'no' ELSE 'unclear' END AS label, least(1.0::DOUBLE, n_chars) AS confidence, source AS reasoning,
+""" + _REPLY + " AS raw, NULL::VARCHAR AS error FROM documents")
+def parse_llm_json(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    name = F.when(F.col("n_chars") % 3 == 0, "yes").when(F.col("n_chars") % 3 == 1, "No ").otherwise("maybe")
+    reply = F.concat(F.lit('Sure:\n{"label": "'), name, F.lit('", "confidence": '), F.col("n_chars").cast("string"), F.lit(', "reasoning": " '), F.col("source"), F.lit(' "} and more'))
+    return d.select("doc_id", classify.parse_column(reply).alias("r")).select("doc_id", "r.*")
+
+
+@query()
+def linear_probe(spark, sf_dir):
+    """Fit on the train part, predict the test part: label, prediction, its probability."""
+    s = probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    model = probe.fit(s.where("split = 'train'"))
+    out = probe.predict(model, s.where("split = 'test'"))
+    return out.select("vec_id", "label", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
+
+
+@query()
+def rag_classify(spark, sf_dir):
+    """End to end over all conversations' first turns: encode, retrieve from the benchmark texts, prompt, classify."""
+    encode = probe.hashed_encoder(128)
+    corpus = encode(table(spark, sf_dir, "benchmark")).select("item_id", "text", "embedding")
+    turns = encode(table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text"))
+    hits = retrieval.top_k_join(corpus, turns, 5, "item_id", "embedding", "conv_id", "embedding")
+    rows = hits.join(corpus.select("item_id", "text"), "item_id").select("query_id", "rank", "text", F.lit("").alias("citation"), F.lit("benchmark").alias("source"))
+    asked = turns.select("conv_id", "text").join(retrieval.context_blocks(rows).withColumnRenamed("query_id", "conv_id"), "conv_id", "left")
+    return classify.classify(asked, classify.RuleBackend(), "text", "context").select("conv_id", "label", "confidence", "reasoning", "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
