@@ -43,6 +43,12 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def word_count(col: Column) -> Column:
+    """Number of WORD in the text, without making an array of them: gaps between words, and one."""
+    x = F.btrim(F.regexp_replace(F.coalesce(col, F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return F.when(x == "", 0).otherwise(F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long")
+
+
 def without_white(col: Column) -> Column:
     return F.translate(col, WHITE, "")
 

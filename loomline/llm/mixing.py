@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import materialise, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -26,7 +26,7 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, blocks:
     text = F.col(text_col)
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
     return docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
         F.pmod(key, F.lit(blocks)).alias("block"), F.xxhash64(key, F.lit(seed + 1)).alias("turn"), *carry,
     )
 

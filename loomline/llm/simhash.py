@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     """(id, key, fp): key a hash of the text, to tell rows without an id apart; fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             marks = [int.from_bytes(fingerprint(x.as_py(), width), "big", signed=True) for x in b.column(1)]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(marks, pa.int64())], names=["id", "key", "fp"])
 
