@@ -206,11 +206,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one of each group of equal texts."""
     own = exact_dedup(docs, id_col, text_col, with_chars=True).where("kept")
-    own = materialise(own.select(F.col(id_col).alias("_i"), F.col("text_sha256").alias("_h"), F.col("chars").alias("_c")), "kept")
+    own = materialise(own.select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__h"), F.col("chars").alias("__c")), "kept")
     text = text_or_empty(text_col)
-    hit = docs[id_col].eqNullSafe(own["_i"]) & (F.sha2(without_white(text), 256) == own["_h"]) & (F.length(text) == own["_c"])
+    hit = docs[id_col].eqNullSafe(own["__i"]) & (F.sha2(without_white(text), 256) == own["__h"]) & (F.length(text) == own["__c"])
     out = docs.join(own.hint("shuffle_hash"), hit, "left_semi")
     # rows that repeat id and text are all marked kept; only then are they told apart
-    if own.count() > own.select("_h").distinct().count():
-        out = out.withColumn("_h", F.sha2(without_white(text), 256)).dropDuplicates(["_h"]).drop("_h")
+    if own.count() > own.select("__h").distinct().count():
+        out = out.withColumn("__h", F.sha2(without_white(text), 256)).dropDuplicates(["__h"]).drop("__h")
     return out

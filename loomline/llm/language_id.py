@@ -8,13 +8,14 @@ of all rows, from grouped sums too. Every sum leaves out the row's own posterior
 
 A row is rejected ("und", kept false) if its text holds no letter, or if every language explains it far worse than it
 explains the sample: 40 letters or more, and below the sample's mean log likelihood a trigram by more than `slack`
-nats; texts of fewer letters are kept with a low confidence. Null texts count as
+nats; texts of fewer letters are kept with a low confidence, and a sample of under 50 rows rejects no letters at all. Null texts count as
 empty and so are rejected. Null ids and repeated rows stay. An empty table gives none; without labelled rows every text with a
 letter is kept as "und".
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ from .common import materialise
 from .tokens import forget
 
 BITS = 14
-SLACK, SURE = 4.0, 40
+SLACK, SURE, ROWS = 5.0, 40, 50
 #: ASCII other than letters is a space; upper-case ASCII is lower-cased; all other bytes stand for themselves.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -69,6 +70,7 @@ class TextModel:
     weights: np.ndarray  # languages x features, log probabilities
     usual: np.ndarray  # of each language the mean log likelihood a trigram of its sample
     prior: np.ndarray
+    rows: int  # of the sample
 
 
 def fit(rows: DataFrame, bound: int = 4000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
@@ -79,8 +81,10 @@ def fit(rows: DataFrame, bound: int = 4000, seed: int = 3, id_col: str = "doc_id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        docs: Counter = Counter()
         for batch in batches:
             labels, at = batch.column(0).to_pylist(), 0
+            docs.update(labels)
             for data, ends in text_slices(batch.column(1)):
                 code, _ = trigrams(data, ends[1:])
                 for i in range(len(ends) - 1):
@@ -90,16 +94,17 @@ def fit(rows: DataFrame, bound: int = 4000, seed: int = 3, id_col: str = "doc_id
                     at += 1
         for label, n in sums.items():
             f = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([label] * len(f), pa.string()), pa.array(f, pa.int32()), pa.array(n[f], pa.int64())], names=["label", "feature", "n"])
+            yield pa.record_batch([pa.array([label] * (len(f) + 1), pa.string()), pa.array(np.r_[f, 1 << BITS], pa.int32()), pa.array(np.r_[n[f], docs[label]], pa.int64())], names=["label", "feature", "n"])
 
     # at most 2^14 rows a language
     got = sample.select(label_col, text_col).mapInArrow(count, "label string, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     names = sorted(set(got["label"]))
-    n = np.zeros((len(names), 1 << BITS))
+    n = np.zeros((len(names), (1 << BITS) + 1))  # the last column: rows
     n[[names.index(x) for x in got["label"]], got["feature"]] = got["n"]
+    n, seen = n[:, :-1], int(n[:, -1].sum())
     p = (n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True) if names else n
     total = n.sum(axis=1)
-    return TextModel(names, np.log(p) if names else p, (n * np.log(p)).sum(axis=1) / np.maximum(total, 1) if names else total, total / max(1, total.sum()))
+    return TextModel(names, np.log(p) if names else p, (n * np.log(p)).sum(axis=1) / np.maximum(total, 1) if names else total, total / max(1, total.sum()), seen)
 
 
 def text_evidence(rows: DataFrame, model: TextModel, temper: float = 8.0, inside: str | None = None) -> DataFrame:
@@ -168,7 +173,8 @@ def fuse(seen: DataFrame, languages: list[str], weight: float = 20.0, floor: flo
     return out.withColumn("all", F.aggregate("score", F.lit(0.0), lambda a, x: a + x)).withColumn("posterior", F.transform("score", lambda x: x / F.col("all")))
 
 
-def accepted(slack: float) -> Column:
+def accepted(model: TextModel, slack: float) -> Column:
+    slack = slack if model.rows >= ROWS else float("inf")
     return (F.col("letters") > 0) & ((F.col("fit") > -slack) | (F.col("letters") < SURE))
 
 
@@ -178,7 +184,7 @@ def identify(evidence: DataFrame, model: TextModel, slack: float = SLACK, weight
     languages = model.languages or ["und"]
     out = fuse(seen, languages, weight)
     best = F.array_max("posterior")
-    kept = accepted(slack)
+    kept = accepted(model, slack)
     names = F.array(*map(F.lit, languages))
     return out.select("id", F.when(kept, names[F.array_position("posterior", best).cast("int") - 1]).otherwise("und").alias("language"), F.when(kept, best).otherwise(0.0).alias("confidence"), kept.alias("kept"), "fit")
 
@@ -216,4 +222,4 @@ def drop_rejected(docs: DataFrame, bound: int = 4000, slack: float = SLACK, id_c
     one pass and need no join."""
     model = fit(docs, bound, id_col=id_col, text_col=text_col, label_col=label_col)
     seen = text_evidence(docs.select(F.struct("*").alias("row")), model, inside=text_col)
-    return seen.where(accepted(slack)).select("row.*")
+    return seen.where(accepted(model, slack)).select("row.*")

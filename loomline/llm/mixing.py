@@ -119,15 +119,15 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = 1024, seed: int = 17, i
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents' rows as the mix takes them, once a draw, with `_shard`, and `_turn` to order by inside a shard.
+    """The documents' rows as the mix takes them, once a draw, with `__shard`, and `__turn` to order by inside a shard.
 
     Rows that repeat id and text are one row, taken as often as they are together."""
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
-    taken = mix(keyed, shards, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=("_key",))
-    taken = taken.groupBy(F.col(id_col).alias("_i"), F.col("_key").alias("_k")).agg(F.flatten(F.collect_list("shards")).alias("_s"), F.count("*").alias("_n"))
-    taken = materialise(taken.where(F.size("_s") > 0), "taken")
-    if not taken.where("_n > 1").isEmpty():
-        keyed = keyed.dropDuplicates([id_col, "_key"])
-    out = keyed.join(taken.hint("shuffle_hash"), keyed[id_col].eqNullSafe(taken["_i"]) & (keyed["_key"] == taken["_k"]))
-    out = out.select(*(out[c] for c in docs.columns), "_key", F.posexplode("_s").alias("_pass", "_shard"))
-    return out.withColumn("_turn", F.xxhash64(id_col, "_key", "_pass", F.lit(seed + 4))).drop("_key", "_pass")
+    keyed = docs.withColumn("__key", F.xxhash64(text_col))
+    taken = mix(keyed, shards, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=("__key",))
+    taken = taken.groupBy(F.col(id_col).alias("__i"), F.col("__key").alias("__k")).agg(F.flatten(F.collect_list("shards")).alias("__s"), F.count("*").alias("__n"))
+    taken = materialise(taken.where(F.size("__s") > 0), "taken")
+    if not taken.where("__n > 1").isEmpty():
+        keyed = keyed.dropDuplicates([id_col, "__key"])
+    out = keyed.join(taken.hint("shuffle_hash"), keyed[id_col].eqNullSafe(taken["__i"]) & (keyed["__key"] == taken["__k"]))
+    out = out.select(*(out[c] for c in docs.columns), "__key", F.posexplode("__s").alias("__pass", "__shard"))
+    return out.withColumn("__turn", F.xxhash64(id_col, "__key", "__pass", F.lit(seed + 4))).drop("__key", "__pass")

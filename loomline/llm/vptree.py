@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a vantage-point tree for each shard of the vectors.
 
-Largest inner product becomes nearest distance by one more coordinate: in a shard whose longest vector has length M,
-x becomes (x, sqrt(M^2 - |x|^2)) and a query is scaled to length M. A node holds a vantage point and splits the rest at
+A shard's vectors are cut into bands of about equal length, a tree each. There the largest inner product becomes the
+nearest distance by one more coordinate: if the band's longest vector has length M, x becomes (x, sqrt(M^2 - |x|^2))
+and a query is scaled to length M. Bands are searched from the longest on, with the k best so far. A node holds a vantage point and splits the rest at
 the median distance. A child is left out for a query if the triangle inequality's lower bound, times `relax`, exceeds
 the query's k-th distance so far: relax = 1 is exact search, more prunes more. Equal vectors are one point with the
 smallest ids it needs. Scores are inner products of the original vectors in double precision.
@@ -24,9 +25,9 @@ HIT = "query_id long, vec_id long, score double"
 
 
 class VPTree:
-    def __init__(self, points: np.ndarray, leaf: int = 256, seed: int = 5):
-        """points: distinct rows, float64. vectors: points in leaf order, leaves are slices of it."""
-        self.raw = points
+    def __init__(self, points: np.ndarray, rows: np.ndarray, leaf: int = 256, seed: int = 5):
+        """points: distinct, float64; rows: their numbers in the shard, which search gives back."""
+        self.raw, self.rows = points, rows
         norm = np.einsum("ij,ij->i", points, points)
         self.top = float(np.sqrt(norm.max())) if len(points) else 0.0
         lifted = np.c_[points, np.sqrt(np.maximum(self.top**2 - norm, 0))]
@@ -51,18 +52,16 @@ class VPTree:
         self.nodes.append((vantage, *kids, *bounds))
         return len(self.nodes) - 1
 
-    def search(self, queries: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the rows (of points; -1: none) of the k nearest found and their inner products."""
-        n = len(queries)
-        self.best = np.full((n, k), -1, np.int64)
-        self.score = np.full((n, k), -np.inf)
-        self.visited = 0
+    def search(self, queries: np.ndarray, best: np.ndarray, score: np.ndarray, relax: float) -> int:
+        """Improves best (rows; -1: none) and score (inner products), k columns each; gives the products it took."""
+        self.best, self.score, self.visited, self.relax, self.q = best, score, 0, relax, queries
         if self.root is not None:
-            self.q, self.scale = queries, self.top / np.sqrt(np.einsum("ij,ij->i", queries, queries))
-            self.lift = np.c_[queries * self.scale[:, None], np.zeros(n)]
-            self.relax = relax
-            self._visit(self.root, np.arange(n))
-        return self.best, self.score
+            self.scale = self.top / np.sqrt(np.einsum("ij,ij->i", queries, queries))
+            self.lift = np.c_[queries * self.scale[:, None], np.zeros(len(queries))]
+            who = np.arange(len(queries))
+            # no inner product exceeds the product of the lengths
+            self._visit(self.root, who[self.top**2 / self.scale * (1 + 1e-9) >= self.score[:, -1]])
+        return self.visited
 
     def _reach(self, who: np.ndarray) -> np.ndarray:
         """Distance of the k-th best so far, with room for rounding."""
@@ -76,7 +75,7 @@ class VPTree:
             rows = self.order[at[0] : at[1]]
             self.visited += len(rows) * len(who)
             got = np.c_[self.score[who], self.q[who] @ self.raw[rows].T]
-            names = np.c_[self.best[who], np.broadcast_to(rows, (len(who), len(rows)))]
+            names = np.c_[self.best[who], np.broadcast_to(self.rows[rows], (len(who), len(rows)))]
             k = self.best.shape[1]
             top = np.argpartition(-got, k - 1, axis=1)[:, :k]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(got, top, 1), axis=1), 1)
@@ -93,6 +92,20 @@ class VPTree:
         self._visit(inside, who[open_(~first, least_in)])
 
 
+class Bands:
+    """Trees over bands of length; neighbours differ by a tenth."""
+
+    def __init__(self, points: np.ndarray, leaf: int = 256):
+        band = np.round(np.log(np.sqrt(np.einsum("ij,ij->i", points, points))) / np.log(1.1)).astype(np.int64)
+        self.trees = [VPTree(points[rows], rows, leaf) for b in np.unique(band)[::-1] for rows in [np.flatnonzero(band == b)]]
+        self.points = points
+
+    def search(self, queries: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        best, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
+        self.visited = sum(t.search(queries, best, score, relax) for t in self.trees)
+        return best, score
+
+
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     flat = col.combine_chunks()
     flat = flat.flatten() if isinstance(flat, pa.Array) else pa.concat_arrays([c.flatten() for c in flat.chunks])
@@ -110,14 +123,14 @@ def _search(k: int, relax: float, leaf: int):
         _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
         members = np.argsort(which.ravel(), kind="stable")  # of each point its ids, ascending
         starts = np.r_[0, np.cumsum(np.bincount(which.ravel()))]
-        tree = VPTree(x[first], leaf)
+        index = Bands(x[first], leaf)
         qid, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
         out = []
         for lo in range(0, len(qid), 1024):
-            best, _ = tree.search(q[lo : lo + 1024], k + 1, relax)
+            best, _ = index.search(q[lo : lo + 1024], k + 1, relax)
             for i, row in enumerate(best):
                 row = row[row >= 0]
-                exact = np.einsum("j,ij->i", q[lo + i], tree.raw[row])
+                exact = np.einsum("j,ij->i", q[lo + i], index.points[row])
                 own = [members[starts[p] : min(starts[p] + k + 1, starts[p + 1])] for p in row]
                 score, got = np.repeat(exact, [len(o) for o in own]), ids[np.concatenate(own)] if own else np.zeros(0, np.int64)
                 score, got = score[got != qid[lo + i]], got[got != qid[lo + i]]
@@ -137,7 +150,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.5, shard_rows: int = 16384, block_rows: int = 16384, leaf: int = 256,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, shard_rows: int = 16384, block_rows: int = 16384, leaf: int = 256,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k nearest found, itself left out."""
