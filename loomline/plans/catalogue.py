@@ -188,7 +188,7 @@ def stratified_quota(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT source, avg(n_chars) AS v, count(*) AS n FROM documents GROUP BY source)
-SELECT source AS model, CASE WHEN v < 2200 THEN NULL ELSE round_even(v / 10000, 4) END AS macro_f1, n AS dim FROM l ORDER BY macro_f1 DESC NULLS LAST, model""")
+SELECT source AS model, CASE WHEN v < 2200 THEN NULL ELSE round_even((v / 10000)::DECIMAL(18, 8), 4)::DOUBLE END AS macro_f1, n AS dim FROM l ORDER BY macro_f1 DESC NULLS LAST, model""")
 def leaderboard(spark, sf_dir):
     l = table(spark, sf_dir, "documents").groupBy("source").agg(F.avg("n_chars").alias("v"), F.count("*").alias("n"))  # noqa: E741
     bad = F.col("v") < 2200
