@@ -151,7 +151,8 @@ def near_components(marked: DataFrame, bits: int = 4, hot: int = 100_000) -> Dat
     pairs = links(met.repartition("key", "tile").sortWithinPartitions("key", "tile"), bits)
     roots = connected_components(pairs)
     out = marked.join(roots, marked["fp"] == roots["node"], "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
-    least = out.groupBy("root").agg(F.min("id").alias("component_id"))
+    # written, so that the join below has an exchange on either side and a large component can be split
+    least = materialise(out.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return out.join(least, "root")
 
 
