@@ -10,13 +10,16 @@ an item: the anchor's hash, and a digest of the item's whole content, first wind
 1. `survey`: chunks send their distinct items (16 bytes, and the first document that has them) by anchor. An anchor
    seen once is done. Items that are equal as a whole are repeats as a whole. What is left, an anchor with several
    contents, needs them.
-2. `contents`: the chunk with the first of each such item sends its units, once.
+2. `send_contents`: the chunk with the first of each such item sends its units, once; all other copies are settled.
 3. `resolve`, the operator's own structure (merged Burrows-Wheeler transforms, suffix trees), finds which windows in
    a bucket of contents equal others, and answers each chunk.
 4. `finish`: each chunk marks its windows from the answers and writes its documents' rows.
 
-Items of one anchor meet in one bucket; what arrives there is distinct items, not occurrences: a passage that a third
-of the documents hold arrives once a chunk. All of a chunk's work is repeated from its row, so lost tasks can be run again.
+No task gets an unbounded group. Items of one anchor meet in one bucket, distinct a chunk; a bucket of more than `crowd`
+of them is folded by salts of chunks first, the salts meet, and each passes on what it is told. An anchor with more than
+`hot` contents would still bring them all to one task: its windows are split to the full depth of a window instead, each
+an item of its own, which spread by their content and go through the same survey. All of a chunk's work is repeated
+from its row, so lost tasks can be run again.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from .language_id import text_slices
 CHUNK = 2 << 20
 BUCKET_BYTES = 6 << 20
 NULL_ID = np.int64((1 << 63) - 1)
-DUP, FIRST, NEED = 1, 2, 4
+DUP, FIRST, NEED, HOT = 1, 2, 4, 8
 BASE = 0x9E3779B97F4A7C15 | 1
 A_CHUNK = "chunk long, ids binary, ends binary, body binary, n_bytes long"
 
@@ -85,7 +88,8 @@ def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
 @dataclass
 class Kind:
     """w units a window, k an anchor gram; units(data, ends) gives the units and the documents' ends in them; write()
-    makes the rows of a chunk; resolve() answers a bucket of contents; ordered: earlier occurrences stay."""
+    makes the rows of a chunk; resolve() answers a bucket of contents; ordered: earlier occurrences stay; hot: most
+    contents of an anchor that are compared in one bucket; crowd: most items of a bucket that meet unfolded."""
 
     w: int
     k: int
@@ -95,6 +99,8 @@ class Kind:
     resolve: Callable
     unit_type: type
     ordered: bool
+    hot: int = 1 << 13
+    crowd: int = 1 << 20
 
 
 @dataclass
@@ -140,18 +146,35 @@ def items_of(units: np.ndarray, ends: np.ndarray, ids: np.ndarray, kind: Kind, b
     at = anchor[lo]
     mark = gram[at]
     content = mixed(rolling.spans(lo, hi + kind.w) ^ mixed(((at - lo) * 65536 + (hi - lo)).astype(np.uint64)))
-    doc = np.searchsorted(ends, lo, "right") - 1
+    bucket = ((mark & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    return entries_of(lo, hi, np.searchsorted(ends, lo, "right") - 1, mark, content, bucket, ids, kind.ordered)
+
+
+def entries_of(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, mark: np.ndarray, content: np.ndarray, bucket: np.ndarray, ids: np.ndarray, ordered: bool) -> Items:
     rank = np.empty(len(ids), np.int64)
     rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    bucket = ((mark & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((lo, rank[doc], content, mark, bucket)) if kind.ordered else np.lexsort((content, mark, bucket))
+    order = np.lexsort((lo, rank[doc], content, mark, bucket)) if ordered else np.lexsort((content, mark, bucket))
     same = (mark[order][1:] == mark[order][:-1]) & (content[order][1:] == content[order][:-1])
-    head = np.r_[True, ~same]
+    head = np.r_[True, ~same][: len(lo)]
     entry = np.empty(len(lo), np.int64)
     entry[order] = np.cumsum(head) - 1
     lead = order[head]
-    many = np.bincount(entry) > 1
-    return Items(lo, hi, doc, entry, lead, mark[lead], content[lead], many, bucket[lead])
+    return Items(lo, hi, doc, entry, lead, mark[lead], content[lead], np.bincount(entry) > 1, bucket[lead])
+
+
+def hot_windows(units: np.ndarray, items: Items, state: np.ndarray, ids: np.ndarray, kind: Kind, buckets: int) -> Items:
+    """The windows of items with a hot anchor, each an item; their buckets, by content, follow those of the anchors."""
+    own = np.flatnonzero(state[items.entry] & HOT) if len(items.lo) else items.lo
+    size = items.hi[own] - items.lo[own] + 1
+    each = np.repeat(own, size)
+    at = items.lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+    content = mixed(Rolling(unit_numbers(units)).fixed(kind.w)[at]) if len(at) else np.zeros(0, np.uint64)
+    bucket = (content % np.uint64(buckets)).astype(np.int64) + buckets
+    return entries_of(at, at, items.doc[each], items.hash[items.entry[each]], content, bucket, ids, kind.ordered)
+
+
+def unit_numbers(units: np.ndarray) -> np.ndarray:
+    return units if units.dtype == np.uint64 else BYTES[units]
 
 
 def packed(*cols: np.ndarray) -> bytes:
@@ -198,18 +221,17 @@ def opened(row: dict, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray,
     ids, known = unpacked(row["ids"], len(ends) - 1, np.int64, np.bool_)
     data = np.frombuffer(spread(row["body"]), np.uint8)
     units, cuts = kind.units(data, ends)
-    mixed_units = units if units.dtype == np.uint64 else BYTES[units]
-    return ids, known, data, ends, units, cuts, items_of(mixed_units, cuts, ids, kind, buckets)
+    return ids, known, data, ends, units, cuts, items_of(unit_numbers(units), cuts, ids, kind, buckets)
 
 
 #: A number of 64 bits for each byte.
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 SENT = "bucket int, chunk long, n int, blob binary"
-ANSWER = "chunk long, bucket int, step int, n int, blob binary"
+ANSWER = "chunk long, bucket int, step int, hot boolean, n int, blob binary"
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [f.split() for f in schema.split(", ")]
     cols = zip(*rows, strict=True) if rows else [[] for _ in fields]
     return pa.record_batch([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
@@ -221,47 +243,113 @@ def by_bucket(items: Items) -> Iterator[tuple[int, slice]]:
         yield int(items.bucket[a]), slice(a, b)
 
 
+def told_of(chunk: int, items: Items, ids: np.ndarray, kind: Kind) -> list[tuple]:
+    lead, out = ids[items.doc[items.lead]], []
+    for bucket, s in by_bucket(items):
+        cols = [items.hash[s], items.content[s], items.many[s]] + ([lead[s]] if kind.ordered else [])
+        out.append((bucket, chunk, len(cols[0]), packed(*cols)))
+    return out
+
+
 def send_items(chunks: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 ids, *_, items = opened(row, kind, buckets)
-                lead = ids[items.doc[items.lead]] if kind.ordered else None
-                out = []
-                for bucket, s in by_bucket(items):
-                    cols = [items.hash[s], items.content[s], items.many[s]] + ([lead[s]] if kind.ordered else [])
-                    out.append((bucket, row["chunk"], len(cols[0]), packed(*cols)))
-                yield _rows(out, SENT)
+                yield _rows(told_of(row["chunk"], items, ids, kind), SENT)
 
     return chunks.mapInArrow(run, SENT)
 
 
-def survey(sent: DataFrame, kind: Kind) -> DataFrame:
+@dataclass
+class Met:
+    """Entries of several chunks: `group` of each entry, one a content or a hot anchor; of each group its first entry,
+    whether it has several occurrences, whether its anchor has several contents, and whether that is hot."""
+
+    group: np.ndarray
+    first: np.ndarray
+    times: np.ndarray
+    several: np.ndarray
+    hot: np.ndarray
+
+    def dealt(self, state: np.ndarray) -> np.ndarray:
+        """States of groups to states of entries: only the first is FIRST."""
+        out = state[self.group]
+        out[np.delete(np.arange(len(out)), self.first)] &= np.uint8(0xFF ^ FIRST)
+        return out
+
+    def verdict(self) -> np.ndarray:
+        plain = self.times * DUP | self.several * NEED | (self.times | self.several) * FIRST
+        return self.dealt(np.where(self.hot, HOT, plain).astype(np.uint8))
+
+
+def meet(mark: np.ndarray, content: np.ndarray, many: np.ndarray, lead: list[np.ndarray], hot: np.ndarray, chunk: np.ndarray, most: int | None) -> Met:
+    """most: contents an anchor may have before it is hot; None: entries are single windows, equal or not."""
+    order = np.lexsort((chunk, *lead, content, mark))  # of equal ids the smaller chunk comes first
+    m, c = mark[order], content[order]
+    new_mark = np.r_[True, m[1:] != m[:-1]]
+    head = new_mark | np.r_[True, c[1:] != c[:-1]]
+    anchor = np.cumsum(new_mark) - 1
+    contents = np.bincount(anchor[head])
+    crowd = np.zeros(len(contents), bool) if most is None else (contents > most) | (np.bincount(anchor, hot[order]) > 0)
+    head = np.where(crowd[anchor], new_mark, head)
+    group = np.empty(len(m), np.int64)
+    group[order] = np.cumsum(head) - 1
+    times = np.bincount(group[order], 1 + many[order]) > 1
+    return Met(group, order[head], times, (contents[anchor[head]] > 1) & (most is not None), crowd[anchor[head]])
+
+
+def survey(sent: DataFrame, kind: Kind, whole: bool = True) -> DataFrame:
     """Of every entry sent: DUP if its whole content stands elsewhere too, FIRST if this chunk has the first of it,
-    NEED if its anchor has other contents."""
-    types = [np.uint64, np.uint64, np.bool_] + [np.int64] * kind.ordered
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        n, chunk = table.column("n").to_numpy(), table.column("chunk").to_pylist()
-        got = [unpacked(b, k, *types) for b, k in zip(table.column("blob").to_pylist(), n.tolist(), strict=True)]
-        mark, content, many, *lead = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((*lead, content, mark))  # stable: of equal ids the smaller chunk comes first
-        m, c = mark[order], content[order]
-        new_mark = np.r_[True, m[1:] != m[:-1]]
-        head = new_mark | np.r_[True, c[1:] != c[:-1]]
-        group, anchor = np.cumsum(head) - 1, np.cumsum(new_mark) - 1
-        times = np.bincount(group, 1 + many[order]) > 1
-        several = np.bincount(anchor[head])[anchor] > 1
-        state = np.zeros(len(m), np.uint8)
-        state[order] = np.where(times[group], DUP, 0) | np.where(several, NEED, 0) | np.where(head & (times[group] | several), FIRST, 0)
-        cut = np.r_[0, np.cumsum(n)].tolist()
-        bucket = table.column("bucket")[0].as_py()
-        rows = [(chunk[i], bucket, 1, cut[i + 1] - cut[i], squeezed(state[cut[i] : cut[i + 1]].tobytes())) for i in range(len(chunk)) if state[cut[i] : cut[i + 1]].any()]
+    NEED if its anchor has other contents, or HOT alone if it has too many. sent is read twice: written before.
+    whole: entries are items; otherwise the single windows of hot anchors."""
+    types, most = [np.uint64, np.uint64, np.bool_] + [np.int64] * kind.ordered, kind.hot if whole else None
+
+    def columns(table: pa.Table, types: list[type]) -> list[np.ndarray]:
+        pieces = zip(table.column("blob").to_pylist(), table.column("n").to_pylist(), strict=True)
+        return [np.concatenate(c) for c in zip(*(unpacked(b, k, *types) for b, k in pieces), strict=True)]
+
+    def entries(table: pa.Table) -> tuple:
+        mark, content, many, *lead = columns(table, types)
+        return mark, content, many, lead, np.zeros(len(mark), bool), np.repeat(table.column("chunk").to_numpy(), table.column("n").to_numpy())
+
+    def answers(table: pa.Table, state: np.ndarray, key: str) -> pa.Table:
+        to, bucket, cut, rows = table.column(key).to_pylist(), table.column("bucket")[0].as_py(), np.r_[0, np.cumsum(table.column("n").to_numpy())].tolist(), []
+        for i in range(len(to)):
+            if (own := state[cut[i] : cut[i + 1]]).any():
+                rows.append((to[i], bucket, 1, bool((own & HOT).any()), len(own), squeezed(own.tobytes())))
         return pa.Table.from_batches([_rows(rows, ANSWER)])
 
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+    def decide(table: pa.Table) -> pa.Table:
+        return answers(table, meet(*entries(table), most).verdict(), "chunk")
+
+    def fold(table: pa.Table) -> pa.Table:  # of one salt, which stands in the place of the chunk
+        got = entries(table)
+        met, (mark, content, _, lead, _, chunk) = meet(*got, most), got
+        f = met.first
+        row = (table.column("bucket")[0].as_py(), table.column("salt")[0].as_py(), len(f), packed(mark[f], content[f], met.times, *(x[f] for x in lead), met.hot, chunk[f]))
+        return pa.Table.from_batches([_rows([row], SENT)])
+
+    def settle(table: pa.Table) -> pa.Table:
+        mark, content, many, *lead, hot, chunk = columns(table, [*types, np.bool_, np.int64])
+        return answers(table, meet(mark, content, many, lead, hot, chunk, most).verdict(), "chunk")
+
+    def pass_on(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not (table.num_rows and told.num_rows):
+            return pa.Table.from_batches([_rows([], ANSWER)])
+        state = np.frombuffer(spread(told.column("blob")[0].as_py()), np.uint8)
+        return answers(table, meet(*entries(table), most).dealt(state), "chunk")
+
+    crowds = materialise(sent.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") > kind.crowd), "crowds")
+    if crowds.isEmpty():
+        return sent.groupBy("bucket").applyInArrow(decide, ANSWER)
+    salt = F.pmod(F.xxhash64("chunk"), F.ceil(F.col("all") / kind.crowd))
+    salted = sent.join(crowds, "bucket").select("bucket", salt.cast("long").alias("salt"), "chunk", "n", "blob")
+    told = materialise(salted.groupBy("bucket", "salt").applyInArrow(fold, SENT), "folded").groupBy("bucket").applyInArrow(settle, ANSWER)
+    told = told.withColumnRenamed("chunk", "salt")
+    split = salted.groupBy("bucket", "salt").cogroup(told.groupBy("bucket", "salt")).applyInArrow(pass_on, ANSWER)
+    return sent.join(crowds, "bucket", "left_anti").groupBy("bucket").applyInArrow(decide, ANSWER).union(split)
 
 
 def states_of(answers: list[dict], items: Items) -> np.ndarray:
@@ -277,28 +365,32 @@ def stretches(values: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] if len(lo) else values[:0]
 
 
+def asked(state: np.ndarray, s: slice) -> np.ndarray:
+    """Entries of a bucket whose contents are compared: firsts of an anchor with others."""
+    return np.flatnonzero((state[s] & (NEED | FIRST)) == (NEED | FIRST)) + s.start
+
+
 def send_contents(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """Entries that need contents: from every chunk that has them; the units only from the chunk with the first."""
+    """The units of entries asked for, and the windows of hot anchors as entries of their own."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in own.to_pylist():  # one
             answers = told.to_pylist()
-            if not any(a["step"] == 1 for a in answers):
+            if not answers:
                 continue
             ids, _, _, _, units, cuts, items = opened(row, kind, buckets)
             state = states_of(answers, items)
             for bucket, s in by_bucket(items):
-                e = np.flatnonzero(state[s] & NEED) + s.start
+                e = asked(state, s)
                 if not len(e):
                     continue
                 lead = items.lead[e]
-                lo, windows = items.lo[lead], (items.hi - items.lo)[lead] + 1
-                doc = items.doc[lead]
-                has = (state[e] & FIRST) > 0
-                head = packed(items.hash[e], items.content[e], windows.astype(np.int32), has, ids[doc], doc.astype(np.int32), (lo - cuts[doc]).astype(np.int64))
-                body = squeezed(stretches(units, lo[has], windows[has] + kind.w - 1).tobytes())
+                lo, windows, doc = items.lo[lead], (items.hi - items.lo)[lead] + 1, items.doc[lead]
+                head = packed(windows.astype(np.int32), ids[doc], doc.astype(np.int32), lo - cuts[doc])
+                body = squeezed(stretches(units, lo, windows + kind.w - 1).tobytes())
                 out.append((bucket, row["chunk"], len(e), len(head).to_bytes(8, "little") + head + body))
+            out += told_of(row["chunk"], hot_windows(units, items, state, ids, kind, buckets), ids, kind)
         return pa.Table.from_batches([_rows(out, SENT)])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SENT)
@@ -308,35 +400,40 @@ def answer_contents(sent: DataFrame, kind: Kind) -> DataFrame:
     """A bit for each window of each entry sent: it equals a window of another item (an earlier one, if ordered)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
         chunk, n = table.column("chunk").to_numpy(), table.column("n").to_numpy()
         heads, bodies = [], []
         for blob, k in zip(table.column("blob").to_pylist(), n.tolist(), strict=True):
             size = int.from_bytes(blob[:8], "little")
-            heads.append(unpacked(blob[8 : 8 + size], k, np.uint64, np.uint64, np.int32, np.bool_, np.int64, np.int32, np.int64))
+            heads.append(unpacked(blob[8 : 8 + size], k, np.int32, np.int64, np.int32, np.int64))
             bodies.append(np.frombuffer(spread(blob[8 + size :]), kind.unit_type))
-        mark, content, windows, has, ids, doc, lo = (np.concatenate(c) for c in zip(*heads, strict=True))
-        units = np.concatenate(bodies)
-        size = windows.astype(np.int64)[has] + kind.w - 1
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        turn = np.empty(int(has.sum()), np.int64)
-        turn[np.lexsort((lo[has], doc[has], np.repeat(chunk, n)[has], ids[has]))] = np.arange(len(turn))
-        hit = kind.resolve(units, start, size, windows[has].astype(np.int64), turn)  # a bool a window, end to end
-        pairs = lambda a, b: list(zip(a.tolist(), b.tolist(), strict=True))
-        where = {p: i for i, p in enumerate(pairs(mark[has], content[has]))}
-        which = np.array([where[p] for p in pairs(mark, content)], np.int64)
-        first = np.r_[0, np.cumsum(windows[has].astype(np.int64))]
-        cut, rows, bucket = np.r_[0, np.cumsum(n)].tolist(), [], table.column("bucket")[0].as_py()
+        windows, ids, doc, lo = (np.concatenate(c) for c in zip(*heads, strict=True))
+        windows = windows.astype(np.int64)
+        size = windows + kind.w - 1
+        turn = np.empty(len(size), np.int64)
+        turn[np.lexsort((lo, doc, np.repeat(chunk, n), ids))] = np.arange(len(turn))
+        hit = kind.resolve(np.concatenate(bodies), np.cumsum(size) - size, size, windows, turn)  # a bool a window, end to end
+        first, cut = np.r_[0, np.cumsum(windows)].tolist(), np.r_[0, np.cumsum(n)].tolist()
+        bucket, rows = table.column("bucket")[0].as_py(), []
         for i in range(len(chunk)):
-            w = which[cut[i] : cut[i + 1]]
-            bits = stretches(hit, first[w], first[w + 1] - first[w])
+            bits = hit[first[cut[i]] : first[cut[i + 1]]]
             if bits.any():
-                rows.append((int(chunk[i]), bucket, 2, cut[i + 1] - cut[i], squeezed(np.packbits(bits).tobytes())))
+                rows.append((int(chunk[i]), bucket, 2, False, cut[i + 1] - cut[i], squeezed(np.packbits(bits).tobytes())))
         return pa.Table.from_batches([_rows(rows, ANSWER)])
 
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
+def settled(edge: np.ndarray, items: Items, state: np.ndarray, kind: Kind) -> None:
+    """Mark the windows of items that are repeats as a whole."""
+    if not len(items.lo):
+        return
+    dup = (state[items.entry] & DUP) > 0
+    if kind.ordered:
+        dup[items.lead[(state & FIRST) > 0]] = False
+    np.add.at(edge, items.lo[dup], 1)
+    np.add.at(edge, items.hi[dup] + kind.w, -1)
+
+
 def finish(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         tables = [kind.write(None)]
@@ -344,30 +441,20 @@ def finish(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> D
             ids, known, data, ends, units, cuts, items = opened(row, kind, buckets)
             answers = told.to_pylist()
             state = states_of(answers, items)
-            dup = (state[items.entry] & DUP) > 0
-            if kind.ordered:
-                stays = (state & FIRST) > 0
-                dup[items.lead[stays]] = False
             edge = np.zeros(len(units) + 1, np.int64)
-            np.add.at(edge, items.lo[dup], 1)
-            np.add.at(edge, items.hi[dup] + kind.w, -1)
+            settled(edge, items, state, kind)
             found = {a["bucket"]: a["blob"] for a in answers if a["step"] == 2}
-            members = np.argsort(items.entry, kind="stable")
-            starts = np.searchsorted(items.entry[members], np.arange(len(items.lead) + 1))
             for bucket, s in by_bucket(items):
                 if bucket not in found:
                     continue
-                e = np.flatnonzero(state[s] & NEED) + s.start
-                windows = (items.hi - items.lo)[items.lead[e]] + 1
+                lead = items.lead[asked(state, s)]
+                windows = (items.hi - items.lo)[lead] + 1
                 bits = np.unpackbits(np.frombuffer(spread(found[bucket]), np.uint8), count=int(windows.sum())).astype(bool)
-                times = starts[e + 1] - starts[e]
-                each = np.repeat(np.arange(len(e)), times)
-                item = members[np.repeat(starts[e] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())]
-                first = np.r_[0, np.cumsum(windows)[:-1]]
-                hit = stretches(bits, first[each], windows[each])
-                at = (np.repeat(items.lo[item] - np.r_[0, np.cumsum(windows[each])[:-1]], windows[each]) + np.arange(len(hit)))[hit]
+                at = (np.repeat(items.lo[lead] - (np.cumsum(windows) - windows), windows) + np.arange(len(bits)))[bits]
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + kind.w, -1)
+            own_windows = hot_windows(units, items, state, ids, kind, buckets)
+            settled(edge, own_windows, states_of(answers, own_windows), kind)
             gone = np.cumsum(edge[:-1]) > 0
             tables.append(kind.write((ids, known, data, ends, units, cuts, gone)))
         return pa.concat_tables(tables)
@@ -379,6 +466,13 @@ def repeated_windows(docs: DataFrame, kind: Kind, id_col: str, text_col: str) ->
     chunks = materialise(chunked(docs, id_col, text_col), "chunks", "none")
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET_BYTES))
-    known = materialise(survey(send_items(chunks, kind, buckets), kind), "survey")
-    more = answer_contents(send_contents(chunks, known, kind, buckets), kind)
-    return finish(chunks, known.union(more), kind, buckets)
+    sent = materialise(send_items(chunks, kind, buckets), "items", "none")
+    known = materialise(survey(sent, kind), "survey")
+    more = send_contents(chunks, known, kind, buckets)
+    if known.where("hot").isEmpty():
+        told = known.union(answer_contents(more, kind))
+    else:
+        more = materialise(more, "contents", "none")
+        anchors, singles = more.where(F.col("bucket") < buckets), more.where(F.col("bucket") >= buckets)
+        told = known.union(answer_contents(anchors, kind)).union(survey(singles, kind, whole=False))
+    return finish(chunks, told, kind, buckets)

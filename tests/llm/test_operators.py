@@ -5,12 +5,13 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from loomline.llm import bwt_dedup, exact_dedup, language_id, mixing, packing, queries, sharding, simhash, suffix_trees, token_counts, vptree  # noqa: E402
+from loomline.llm import bwt_dedup, exact_dedup, language_id, mixing, packing, queries, sharding, simhash, suffix_trees, token_counts, vptree, windows  # noqa: E402
 from loomline.llm.tokens import Encoder  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -137,6 +138,15 @@ def test_substring_dedup(docs, rows, w):
     assert got(suffix_trees.substring_dedup(docs, w), ("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_words(rows, w)
 
 
+@pytest.mark.parametrize("hot, crowd", [(0, 1 << 20), (1, 40), (1 << 13, 15)])
+def test_hot_anchors_and_crowded_buckets(docs, rows, hot, crowd):
+    """Anchors split to single windows, buckets folded by salts, or both: the same rows."""
+    kinds = [replace(k, hot=hot, crowd=crowd) for k in (bwt_dedup.kind_of(60, 16), suffix_trees.kind_of(5))]
+    by_bytes, by_words = (windows.repeated_windows(docs, k, "doc_id", "text") for k in kinds)
+    assert got(by_bytes, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(rows, 60)
+    assert got(by_words, ("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_words(rows, 5)
+
+
 def test_prefix_groups_of_any_size():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 3, 4000).astype(np.uint64)
