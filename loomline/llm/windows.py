@@ -17,8 +17,8 @@ an item: the anchor's hash, and a digest of the item's whole content, first wind
 
 No task gets an unbounded group. Items of one anchor meet in one bucket, distinct a chunk; a bucket of more than `crowd`
 of them is folded by salts of chunks first, the salts meet, and each passes on what it is told. An anchor with more than
-`hot` contents would still bring them all to one task: its windows are split to the full depth of a window instead, each
-an item of its own, which spread by their content and go through the same survey. All of a chunk's work is repeated
+`hot` contents would still bring them all to one task: its windows get a longer gram as anchor, of 3/5 of a window, and
+go through the steps again; where that is hot too, each window is its own anchor, and equal or not. All of a chunk's work is repeated
 from its row, so lost tasks can be run again.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,14 @@ class Kind:
     hot: int = 1 << 13
     crowd: int = 1 << 20
 
+    @property
+    def grams(self) -> tuple[int, ...]:
+        """Of each level the anchors' length."""
+        return self.k, max(self.k, 3 * self.w // 5), self.w
+
+    def most(self, level: int) -> int | None:
+        return self.hot if level + 1 < len(self.grams) else None
+
 
 @dataclass
 class Items:
@@ -118,35 +126,46 @@ class Items:
     bucket: np.ndarray
 
 
-def items_of(units: np.ndarray, ends: np.ndarray, ids: np.ndarray, kind: Kind, buckets: int) -> Items:
-    """ends: of each document, in units, with a leading 0. Entries are sorted by bucket, hash and content."""
+def all_windows(ends: np.ndarray, w: int) -> np.ndarray:
+    """Of each place, if a window of one document starts there. ends: of each document, in units, with a leading 0."""
+    turn = np.zeros(max(0, int(ends[-1]) - w + 1) + 1, np.int8)
+    has = np.flatnonzero(np.diff(ends) >= w)
+    np.add.at(turn, ends[has], 1)
+    np.add.at(turn, ends[has + 1] - w + 1, -1)
+    return np.cumsum(turn[:-1]) > 0
+
+
+def hot_windows(items: Items, state: np.ndarray, n: int) -> np.ndarray:
+    """Of n places, if a window starts there whose anchor is hot."""
+    turn = np.zeros(n + 1, np.int8)
+    own = np.flatnonzero(state[items.entry] & HOT)
+    np.add.at(turn, items.lo[own], 1)
+    np.add.at(turn, items.hi[own] + 1, -1)
+    return np.cumsum(turn[:-1]) > 0
+
+
+def items_of(units: np.ndarray, ends: np.ndarray, ids: np.ndarray, live: np.ndarray, kind: Kind, buckets: int, level: int = 0) -> Items:
+    """Items of the live windows. Entries are sorted by bucket, hash and content."""
     none = np.zeros(0, np.int64)
-    size = np.diff(ends)
-    if not (size >= kind.w).any():
+    if not live.any():
         z = none.astype(np.uint64)
         return Items(none, none, none, none, none, z, z, none.astype(bool), none)
-    rolling = Rolling(units)
-    gram = mixed(rolling.fixed(kind.k))
+    k, rolling = kind.grams[level], Rolling(units)
+    gram = mixed(rolling.fixed(k))
     place = np.arange(len(gram), dtype=np.uint64)
-    anchor = (sliding_least((gram & np.uint64(0xFFFFFFFF00000000)) | place, kind.w - kind.k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    turn = np.zeros(len(anchor) + 1, np.int8)  # 1 where windows begin, -1 after they end, by document
-    has = np.flatnonzero(size >= kind.w)
-    first, past = ends[has], ends[has + 1] - kind.w + 1
-    np.add.at(turn, first, 1)
-    np.add.at(turn, past, -1)
-    live = np.cumsum(turn[:-1]) > 0
-    new = np.empty(len(anchor), bool)
-    new[0] = True
-    new[1:] = anchor[1:] != anchor[:-1]
-    new[first] = True
+    anchor = (sliding_least((gram & np.uint64(0xFFFFFFFF00000000)) | place, kind.w - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | ~live[:-1]]
+    new[ends[:-1][ends[:-1] < len(new)]] = True
     lo = np.flatnonzero(new & live)
-    stop = new | ~live
-    nexts = np.r_[np.flatnonzero(stop), len(anchor)]
+    nexts = np.r_[np.flatnonzero(new | ~live), len(anchor)]
     hi = nexts[np.searchsorted(nexts, lo, "right")] - 1
     at = anchor[lo]
     mark = gram[at]
-    content = mixed(rolling.spans(lo, hi + kind.w) ^ mixed(((at - lo) * 65536 + (hi - lo)).astype(np.uint64)))
-    bucket = ((mark & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    if kind.most(level) is None:  # the anchor is the window: a second digest of it, from other numbers
+        content = Rolling(mixed(~units)).fixed(kind.w)[lo]
+    else:
+        content = mixed(rolling.spans(lo, hi + kind.w) ^ mixed(((at - lo) * 65536 + (hi - lo)).astype(np.uint64)))
+    bucket = ((mark & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64) + level * buckets
     return entries_of(lo, hi, np.searchsorted(ends, lo, "right") - 1, mark, content, bucket, ids, kind.ordered)
 
 
@@ -162,17 +181,6 @@ def entries_of(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, mark: np.ndarray
     return Items(lo, hi, doc, entry, lead, mark[lead], content[lead], np.bincount(entry) > 1, bucket[lead])
 
 
-def hot_windows(units: np.ndarray, items: Items, state: np.ndarray, ids: np.ndarray, kind: Kind, buckets: int) -> Items:
-    """The windows of items with a hot anchor, each an item; their buckets, by content, follow those of the anchors."""
-    own = np.flatnonzero(state[items.entry] & HOT) if len(items.lo) else items.lo
-    size = items.hi[own] - items.lo[own] + 1
-    each = np.repeat(own, size)
-    at = items.lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-    content = mixed(Rolling(unit_numbers(units)).fixed(kind.w)[at]) if len(at) else np.zeros(0, np.uint64)
-    bucket = (content % np.uint64(buckets)).astype(np.int64) + buckets
-    return entries_of(at, at, items.doc[each], items.hash[items.entry[each]], content, bucket, ids, kind.ordered)
-
-
 def unit_numbers(units: np.ndarray) -> np.ndarray:
     return units if units.dtype == np.uint64 else BYTES[units]
 
@@ -216,12 +224,22 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def opened(row: dict, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Items]:
-    """Of a chunk's row: ids, known, text bytes, text ends, units, unit ends, items."""
+    """Of a chunk's row: ids, known, text bytes, text ends, units, unit ends, items of level 0."""
     ends = np.frombuffer(row["ends"], np.int64)
     ids, known = unpacked(row["ids"], len(ends) - 1, np.int64, np.bool_)
     data = np.frombuffer(spread(row["body"]), np.uint8)
     units, cuts = kind.units(data, ends)
-    return ids, known, data, ends, units, cuts, items_of(unit_numbers(units), cuts, ids, kind, buckets)
+    return ids, known, data, ends, units, cuts, items_of(unit_numbers(units), cuts, ids, all_windows(cuts, kind.w), kind, buckets)
+
+
+def levels_of(units: np.ndarray, cuts: np.ndarray, ids: np.ndarray, items: Items, answers: list[dict], kind: Kind, buckets: int) -> list[tuple[Items, np.ndarray]]:
+    """Of each level the items and their states so far; the last one's are none if nothing is hot."""
+    out = [(items, states_of(answers, items))]
+    for level in range(1, len(kind.grams)):
+        live = hot_windows(*out[-1], max(0, len(units) - kind.w + 1))
+        items = items_of(unit_numbers(units), cuts, ids, live, kind, buckets, level)
+        out.append((items, states_of(answers, items)))
+    return out
 
 
 #: A number of 64 bits for each byte.
@@ -300,11 +318,10 @@ def meet(mark: np.ndarray, content: np.ndarray, many: np.ndarray, lead: list[np.
     return Met(group, order[head], times, (contents[anchor[head]] > 1) & (most is not None), crowd[anchor[head]])
 
 
-def survey(sent: DataFrame, kind: Kind, whole: bool = True) -> DataFrame:
+def survey(sent: DataFrame, kind: Kind, level: int = 0) -> DataFrame:
     """Of every entry sent: DUP if its whole content stands elsewhere too, FIRST if this chunk has the first of it,
-    NEED if its anchor has other contents, or HOT alone if it has too many. sent is read twice: written before.
-    whole: entries are items; otherwise the single windows of hot anchors."""
-    types, most = [np.uint64, np.uint64, np.bool_] + [np.int64] * kind.ordered, kind.hot if whole else None
+    NEED if its anchor has other contents, or HOT alone if it has too many. sent is read twice: written before."""
+    types, most = [np.uint64, np.uint64, np.bool_] + [np.int64] * kind.ordered, kind.most(level)
 
     def columns(table: pa.Table, types: list[type]) -> list[np.ndarray]:
         pieces = zip(table.column("blob").to_pylist(), table.column("n").to_pylist(), strict=True)
@@ -370,8 +387,8 @@ def asked(state: np.ndarray, s: slice) -> np.ndarray:
     return np.flatnonzero((state[s] & (NEED | FIRST)) == (NEED | FIRST)) + s.start
 
 
-def send_contents(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    """The units of entries asked for, and the windows of hot anchors as entries of their own."""
+def send_contents(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int, level: int) -> DataFrame:
+    """The units of the level's entries asked for, and the next level's entries."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         out = []
@@ -380,7 +397,8 @@ def send_contents(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: in
             if not answers:
                 continue
             ids, _, _, _, units, cuts, items = opened(row, kind, buckets)
-            state = states_of(answers, items)
+            levels = levels_of(units, cuts, ids, items, answers, kind, buckets)
+            items, state = levels[level]
             for bucket, s in by_bucket(items):
                 e = asked(state, s)
                 if not len(e):
@@ -390,7 +408,7 @@ def send_contents(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: in
                 head = packed(windows.astype(np.int32), ids[doc], doc.astype(np.int32), lo - cuts[doc])
                 body = squeezed(stretches(units, lo, windows + kind.w - 1).tobytes())
                 out.append((bucket, row["chunk"], len(e), len(head).to_bytes(8, "little") + head + body))
-            out += told_of(row["chunk"], hot_windows(units, items, state, ids, kind, buckets), ids, kind)
+            out += told_of(row["chunk"], levels[level + 1][0], ids, kind)
         return pa.Table.from_batches([_rows(out, SENT)])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SENT)
@@ -423,8 +441,8 @@ def answer_contents(sent: DataFrame, kind: Kind) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def settled(edge: np.ndarray, items: Items, state: np.ndarray, kind: Kind) -> None:
-    """Mark the windows of items that are repeats as a whole."""
+def settled(edge: np.ndarray, items: Items, state: np.ndarray, found: dict[int, bytes], kind: Kind) -> None:
+    """Mark the windows of items that are repeats as a whole, and those found by their contents."""
     if not len(items.lo):
         return
     dup = (state[items.entry] & DUP) > 0
@@ -432,6 +450,15 @@ def settled(edge: np.ndarray, items: Items, state: np.ndarray, kind: Kind) -> No
         dup[items.lead[(state & FIRST) > 0]] = False
     np.add.at(edge, items.lo[dup], 1)
     np.add.at(edge, items.hi[dup] + kind.w, -1)
+    for bucket, s in by_bucket(items):
+        if bucket not in found:
+            continue
+        lead = items.lead[asked(state, s)]
+        windows = (items.hi - items.lo)[lead] + 1
+        bits = np.unpackbits(np.frombuffer(spread(found[bucket]), np.uint8), count=int(windows.sum())).astype(bool)
+        at = (np.repeat(items.lo[lead] - (np.cumsum(windows) - windows), windows) + np.arange(len(bits)))[bits]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + kind.w, -1)
 
 
 def finish(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> DataFrame:
@@ -440,21 +467,9 @@ def finish(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> D
         for row in own.to_pylist():  # one
             ids, known, data, ends, units, cuts, items = opened(row, kind, buckets)
             answers = told.to_pylist()
-            state = states_of(answers, items)
-            edge = np.zeros(len(units) + 1, np.int64)
-            settled(edge, items, state, kind)
-            found = {a["bucket"]: a["blob"] for a in answers if a["step"] == 2}
-            for bucket, s in by_bucket(items):
-                if bucket not in found:
-                    continue
-                lead = items.lead[asked(state, s)]
-                windows = (items.hi - items.lo)[lead] + 1
-                bits = np.unpackbits(np.frombuffer(spread(found[bucket]), np.uint8), count=int(windows.sum())).astype(bool)
-                at = (np.repeat(items.lo[lead] - (np.cumsum(windows) - windows), windows) + np.arange(len(bits)))[bits]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + kind.w, -1)
-            own_windows = hot_windows(units, items, state, ids, kind, buckets)
-            settled(edge, own_windows, states_of(answers, own_windows), kind)
+            found, edge = {a["bucket"]: a["blob"] for a in answers if a["step"] == 2}, np.zeros(len(units) + 1, np.int64)
+            for items, state in levels_of(units, cuts, ids, items, answers, kind, buckets):
+                settled(edge, items, state, found, kind)
             gone = np.cumsum(edge[:-1]) > 0
             tables.append(kind.write((ids, known, data, ends, units, cuts, gone)))
         return pa.concat_tables(tables)
@@ -467,12 +482,15 @@ def repeated_windows(docs: DataFrame, kind: Kind, id_col: str, text_col: str) ->
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET_BYTES))
     sent = materialise(send_items(chunks, kind, buckets), "items", "none")
-    known = materialise(survey(sent, kind), "survey")
-    more = send_contents(chunks, known, kind, buckets)
-    if known.where("hot").isEmpty():
-        told = known.union(answer_contents(more, kind))
-    else:
-        more = materialise(more, "contents", "none")
-        anchors, singles = more.where(F.col("bucket") < buckets), more.where(F.col("bucket") >= buckets)
-        told = known.union(answer_contents(anchors, kind)).union(survey(singles, kind, whole=False))
-    return finish(chunks, told, kind, buckets)
+    known = told = materialise(survey(sent, kind), "survey")
+    found = []
+    for level in range(len(kind.grams) - 1):
+        more = send_contents(chunks, told, kind, buckets, level)
+        if known.where("hot").isEmpty():
+            found.append(answer_contents(more, kind))
+            break
+        more, after = materialise(more, "contents", "none"), (level + 1) * buckets
+        found.append(answer_contents(more.where(F.col("bucket") < after), kind))
+        known = materialise(survey(more.where(F.col("bucket") >= after), kind, level + 1), "survey")
+        told = told.union(known)
+    return finish(chunks, reduce(DataFrame.union, found, told), kind, buckets)

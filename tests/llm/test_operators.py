@@ -138,7 +138,7 @@ def test_substring_dedup(docs, rows, w):
     assert got(suffix_trees.substring_dedup(docs, w), ("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_words(rows, w)
 
 
-@pytest.mark.parametrize("hot, crowd", [(0, 1 << 20), (1, 40), (1 << 13, 15)])
+@pytest.mark.parametrize("hot, crowd", [(0, 1 << 20), (2, 40), (1 << 13, 15)])
 def test_hot_anchors_and_crowded_buckets(docs, rows, hot, crowd):
     """Anchors split to single windows, buckets folded by salts, or both: the same rows."""
     kinds = [replace(k, hot=hot, crowd=crowd) for k in (bwt_dedup.kind_of(60, 16), suffix_trees.kind_of(5))]
