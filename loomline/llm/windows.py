@@ -280,6 +280,18 @@ def send_items(chunks: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     return chunks.mapInArrow(run, SENT)
 
 
+def count_items(chunks: DataFrame, kind: Kind, buckets: int) -> DataFrame:
+    """(bucket, n) of what send_items sends, without its blobs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                *_, items = opened(b.slice(i, 1).to_pylist()[0], kind, buckets)
+                yield _rows([(bucket, s.stop - s.start) for bucket, s in by_bucket(items)], "bucket int, n int")
+
+    return chunks.mapInArrow(run, "bucket int, n int")
+
+
 @dataclass
 class Met:
     """Entries of several chunks: `group` of each entry, one a content or a hot anchor; of each group its first entry,
@@ -318,9 +330,9 @@ def meet(mark: np.ndarray, content: np.ndarray, many: np.ndarray, lead: list[np.
     return Met(group, order[head], times, (contents[anchor[head]] > 1) & (most is not None), crowd[anchor[head]])
 
 
-def survey(sent: DataFrame, kind: Kind, level: int = 0) -> DataFrame:
+def survey(sent: DataFrame, sizes: DataFrame, kind: Kind, level: int = 0) -> DataFrame:
     """Of every entry sent: DUP if its whole content stands elsewhere too, FIRST if this chunk has the first of it,
-    NEED if its anchor has other contents, or HOT alone if it has too many. sent is read twice: written before."""
+    NEED if its anchor has other contents, or HOT alone if it has too many. sizes: (bucket, n) of what is sent."""
     types, most = [np.uint64, np.uint64, np.bool_] + [np.int64] * kind.ordered, kind.most(level)
 
     def columns(table: pa.Table, types: list[type]) -> list[np.ndarray]:
@@ -358,9 +370,10 @@ def survey(sent: DataFrame, kind: Kind, level: int = 0) -> DataFrame:
         state = np.frombuffer(spread(told.column("blob")[0].as_py()), np.uint8)
         return answers(table, meet(*entries(table), most).dealt(state), "chunk")
 
-    crowds = materialise(sent.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") > kind.crowd), "crowds")
+    crowds = materialise(sizes.groupBy("bucket").agg(F.sum("n").alias("all")).where(F.col("all") > kind.crowd), "crowds")
     if crowds.isEmpty():
         return sent.groupBy("bucket").applyInArrow(decide, ANSWER)
+    sent = sent if level else materialise(sent, "items", "none")  # read three times
     salt = F.pmod(F.xxhash64("chunk"), F.ceil(F.col("all") / kind.crowd))
     salted = sent.join(crowds, "bucket").select("bucket", salt.cast("long").alias("salt"), "chunk", "n", "blob")
     told = materialise(salted.groupBy("bucket", "salt").applyInArrow(fold, SENT), "folded").groupBy("bucket").applyInArrow(settle, ANSWER)
@@ -481,8 +494,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, id_col: str, text_col: str) ->
     chunks = materialise(chunked(docs, id_col, text_col), "chunks", "none")
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET_BYTES))
-    sent = materialise(send_items(chunks, kind, buckets), "items", "none")
-    known = told = materialise(survey(sent, kind), "survey")
+    known = told = materialise(survey(send_items(chunks, kind, buckets), count_items(chunks, kind, buckets), kind), "survey")
     found = []
     for level in range(len(kind.grams) - 1):
         more = send_contents(chunks, told, kind, buckets, level)
@@ -491,6 +503,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, id_col: str, text_col: str) ->
             break
         more, after = materialise(more, "contents", "none"), (level + 1) * buckets
         found.append(answer_contents(more.where(F.col("bucket") < after), kind))
-        known = materialise(survey(more.where(F.col("bucket") >= after), kind, level + 1), "survey")
+        sent = more.where(F.col("bucket") >= after)
+        known = materialise(survey(sent, sent.select("bucket", "n"), kind, level + 1), "survey")
         told = told.union(known)
     return finish(chunks, reduce(DataFrame.union, found, told), kind, buckets)
