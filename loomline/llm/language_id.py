@@ -160,7 +160,8 @@ def fuse(seen: DataFrame, languages: list[str], weight: float = 20.0, floor: flo
     prior = F.array(*map(F.lit, base[0] if base and base[0] else [1.0 / k] * k))
     out = seen
     for name, parent in (("declared", prior), ("suffix", prior), ("domain", prior), ("host", F.col("domain_p"))):
-        sums = seen.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(_total(k).alias("_s"), F.count("*").alias("_n"))
+        # written, so that the join has an exchange on either side and a value that many rows share can be split
+        sums = materialise(seen.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_v")).agg(_total(k).alias("_s"), F.count("*").alias("_n")), "sums")
         value = F.when(F.col("_n").isNotNull(), _smoothed(F.col("_s"), F.col("_n"), parent, weight)).otherwise(parent)
         out = out.join(sums, out[name] == F.col("_v"), "left").withColumn(f"{name}_p", value).drop("_v", "_s", "_n")
     log = lambda a: F.transform(a, lambda x: F.log(F.greatest(x, F.lit(floor))))
