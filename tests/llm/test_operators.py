@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from loomline.llm import bwt_dedup, exact_dedup, language_id, mixing, packing, queries, sharding, simhash, suffix_trees, token_counts, vptree, windows  # noqa: E402
+from loomline.llm import bwt_dedup, common, exact_dedup, language_id, mixing, packing, queries, sharding, simhash, suffix_trees, token_counts, vptree, windows  # noqa: E402
 from loomline.llm.tokens import Encoder  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -382,3 +382,16 @@ def test_queries_with_sql(spark, sf):
         assert sorted(rel.columns) == cols
         at = [rel.columns.index(c) for c in cols]
         assert Counter(tuple(r[c] for c in cols) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_components_of_chains_and_hubs(spark):
+    """A long chain, a hub of many and a ring of pairs settle; too few rounds are an error."""
+    chain = [(i, i + 1) for i in range(1000, 1600)]
+    hub = [(5000, 6000 + i) for i in range(3000)]
+    ring = [(9000 + i, 9000 + (i + 1) % 50) for i in range(50)] + [(3, 3)]
+    edges = spark.createDataFrame(chain + hub + ring, "a long, b long")
+    got_ = {r.node: r.root for r in common.connected_components(edges).collect()}
+    want = {n: 1000 for n in range(1000, 1601)} | {5000: 5000} | {6000 + i: 5000 for i in range(3000)} | {9000 + i: 9000 for i in range(50)}
+    assert got_ == want
+    with pytest.raises(RuntimeError):
+        common.connected_components(edges, max_rounds=2)
