@@ -262,16 +262,22 @@ def linear_probe(spark, sf_dir):
     return out.select("vec_id", "label", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
 
 
-@query()
-def rag_classify(spark, sf_dir):
-    """End to end over all conversations' first turns: encode, retrieve from the benchmark texts, prompt, classify."""
+def conversation_prompts(spark, sf_dir):
+    """conv_id, turn, text, context of every row of conversations, retrieved from the benchmark texts. A hash of the row is
+    the query's id; rows that repeat are asked once and share their hits."""
     encode = probe.hashed_encoder(128)
     corpus = encode(table(spark, sf_dir, "benchmark")).select("item_id", "text", "embedding")
-    turns = encode(table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text"))
-    hits = retrieval.top_k_join(corpus, turns, 5, "item_id", "embedding", "conv_id", "embedding")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.xxhash64("conv_id", "turn", "text").alias("_row"))
+    hits = retrieval.top_k_join(corpus, encode(said.dropDuplicates(["_row"])), 5, "item_id", "embedding", "_row", "embedding")
     rows = hits.join(corpus.select("item_id", "text"), "item_id").select("query_id", "rank", "text", F.lit("").alias("citation"), F.lit("benchmark").alias("source"))
-    asked = turns.select("conv_id", "text").join(retrieval.context_blocks(rows).withColumnRenamed("query_id", "conv_id"), "conv_id", "left")
-    return classify.classify(asked, classify.RuleBackend(), "text", "context").select("conv_id", "label", "confidence", "reasoning", "error")
+    return said.join(retrieval.context_blocks(rows).withColumnRenamed("query_id", "_row"), "_row", "left").drop("_row")
+
+
+@query()
+def rag_classify(spark, sf_dir):
+    """End to end over all rows of conversations, whatever their turn and role: encode, retrieve, prompt, classify."""
+    asked = conversation_prompts(spark, sf_dir)
+    return classify.classify(asked, classify.RuleBackend(), "text", "context").select("conv_id", "turn", "label", "confidence", "reasoning", "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
