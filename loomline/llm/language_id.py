@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,10 +106,8 @@ def fit(rows: DataFrame, bound: int = 4000, seed: int = 3, id_col: str = "doc_id
     return TextModel(names, np.log(p) if names else p, (n * np.log(p)).sum(axis=1) / np.maximum(total, 1) if names else total, total / max(1, total.sum()), seen)
 
 
-def text_evidence(rows: DataFrame, model: TextModel, temper: float = 8.0, inside: str | None = None) -> DataFrame:
-    """(id, body, ...) -> the other columns and p array<double>, fit double (nats a trigram above the usual), letters long.
-
-    inside: the text is that field of the column `row`, not `body`, and so is not sent twice."""
+def text_evidence(rows: DataFrame, model: TextModel, temper: float = 8.0) -> DataFrame:
+    """(id, body, ...) -> the other columns and p array<double>, fit double (nats a trigram above the usual), letters long."""
     names = [c for c in rows.columns if c != "body"]
     schema = T.StructType([*(f for f in rows.schema if f.name != "body"), *T._parse_datatype_string("p array<double>, fit double, letters long")])
     shared = rows.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.usual, len(model.languages)))  # languages x 2^14
@@ -120,8 +117,7 @@ def text_evidence(rows: DataFrame, model: TextModel, temper: float = 8.0, inside
         weights, usual, k = shared.value
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             ps, fits, letters = [], [], []
-            body = pc.struct_field(batch.column("row"), inside) if inside else batch.column("body")
-            for data, ends in text_slices(body, 1 << 19):
+            for data, ends in text_slices(batch.column("body"), 1 << 19):
                 code, folded = trigrams(data, ends[1:])
                 live = code >= 0
                 sums = lambda v: np.diff(np.r_[0, np.cumsum(v, dtype=np.float64)][ends])  # noqa: E731, B023
@@ -218,9 +214,11 @@ def page_language_id(pages: DataFrame, model: TextModel) -> DataFrame:
     return identify(page_evidence(pages), model).select(F.col("id").alias("page_id"), "language", "confidence", "kept")
 
 
-def drop_rejected(docs: DataFrame, bound: int = 4000, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows that aren't rejected, with all their columns. Rejection rests on a row's own text, so rows go through
-    one pass and need no join."""
+def drop_rejected(docs: DataFrame, bound: int = 4000, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """The rows that identify() keeps, with all their columns. Its verdicts are written, keyed by a hash of id and text;
+    rejection rests on the text, so rows that repeat both share their verdict."""
     model = fit(docs, bound, id_col=id_col, text_col=text_col, label_col=label_col)
-    seen = text_evidence(docs.select(F.struct("*").alias("row")), model, inside=text_col)
-    return seen.where(accepted(model, slack)).select("row.*")
+    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
+    verdicts = materialise(identify(document_evidence(keyed, "__key", text_col, host_col), model, slack), "verdicts")
+    gone = verdicts.where("not kept").select(F.col("id").alias("__gone"))
+    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")

@@ -7,6 +7,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
+from loomline.llm import language_id  # noqa: E402
 from loomline.llm.common import materialise  # noqa: E402
 from test_operators import components, fingerprint, token_ids  # noqa: E402
 
@@ -33,3 +34,17 @@ def test_stages(name, request, spark, sf):
             assert not own - Counter({k: 3 * n for k, n in Counter(before).items()})
         if stage == "packing":
             assert sum(r.length for r in after) == sum(len(x) + 1 for x in token_ids([t for _, t in before]))
+
+
+def test_language_stage_runs_the_fusion(spark, sf, monkeypatch):
+    """The stage writes the fused verdicts of op8, and keeps the rows that they keep."""
+    fuse, written, materialise = language_id.fuse, {}, language_id.materialise
+    calls = []
+    monkeypatch.setattr(language_id, "fuse", lambda *a, **k: calls.append(1) or fuse(*a, **k))
+    monkeypatch.setattr(language_id, "materialise", lambda df, name, *a: written.setdefault(name, materialise(df, name, *a)) if name == "verdicts" else materialise(df, name, *a))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.language(spark, docs, sf)
+    assert calls and "verdicts" in written
+    want = language_id.language_id(docs).collect()
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in want if r.kept)
+    assert Counter((r.language, round(r.confidence, 6)) for r in written["verdicts"].collect()) == Counter((r.language, round(r.confidence, 6)) for r in want)
