@@ -6,7 +6,7 @@ documents in a permuted order, and there one document's share may be a part of i
 The draws of each source are dealt to output shards by a tree: a node with k shards and N draws gives its left half
 N * (k / 2) / k of them, and how many of these each source provides is a multivariate hypergeometric draw
 (selection sampling with hashed uniforms, so reruns agree). Leaves are exact quotas; a source's permuted draws go to
-shards by their quotas, disjoint; inside a shard `order` shuffles.
+shards by their quotas, disjoint. Inside a shard a hashed order shuffles: every draw has its place in it, from 0.
 
 Null sources are a source of their own, ranked last. Null texts and texts without words have size 0 and are taken 0
 times. Null ids are dealt by their text. Repeated rows count each. An empty table gives none.
@@ -27,7 +27,8 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, blocks:
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-        F.pmod(key, F.lit(blocks)).alias("block"), F.xxhash64(key, F.lit(seed + 1)).alias("turn"), *carry,
+        F.pmod(key, F.lit(blocks)).alias("block"), F.xxhash64(key, F.lit(seed + 1)).alias("turn"),
+        F.monotonically_increasing_id().alias("row"), *carry,
     )
 
 
@@ -93,8 +94,20 @@ def deal(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
     return drawn.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "pass", "whole", "words", found.alias("shard"))
 
 
+def places(mixed: DataFrame, seed: int) -> DataFrame:
+    """(row, size, turn, shards) -> row, places: of each draw its place in its shard by a hashed order. The order is cut into
+    256 slices a shard by its leading bits; a place is the draws of earlier slices and the rank inside its own."""
+    draw = mixed.select("row", "size", "turn", F.posexplode("shards").alias("pass", "shard"))
+    draw = draw.withColumn("order", F.xxhash64("turn", "pass", F.lit(seed + 4))).withColumn("slice", F.shiftright("order", 56))
+    earlier = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a shard
+    starts = draw.groupBy("shard", "slice").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    rank = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("order", "size", "row")) - 1
+    placed = draw.withColumn("rank", rank).join(starts, ["shard", "slice"]).select("row", "pass", (F.col("start") + F.col("rank")).alias("place"))
+    return placed.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "place"))), lambda x: x["place"]).alias("places"))
+
+
 def mix(docs: DataFrame, shards: int = 16, blocks: int = 1024, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: id, size, source_size, target, taken, shards (of each of its draws, in order of passes).
+    """One row a document: id, size, source_size, target, taken, shards (of each of its draws, in order of passes), places (of each in its shard).
 
     carry: more columns to hand through; no names that the result has."""
     d = materialise(sizes(docs, id_col, text_col, source_col, blocks, seed, carry), "sizes")
@@ -112,22 +125,32 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = 1024, seed: int = 17, i
     part = F.greatest(F.lit(0), F.least("size", F.coalesce("quota", F.lit(0)) - F.col("ahead")))
     d = d.withColumn("part", part)
     used = F.filter("dealt", lambda x: (x["whole"] | (F.col("part") > 0)) & (F.col("size") > 0))
-    return d.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.coalesce("passes", F.lit(0)) * F.col("size") + F.col("part")).cast("long").alias("taken"),
+    mixed = d.select(
+        "row", "turn", "id", "size", "source_size", "target", (F.coalesce("passes", F.lit(0)) * F.col("size") + F.col("part")).cast("long").alias("taken"),
         F.transform(F.coalesce(used, F.array().cast("array<struct<pass:int,whole:boolean,shard:int>>")), lambda x: x["shard"]).alias("shards"), *carry,
     )
+    mixed = materialise(mixed, "mixed")
+    placed = places(mixed, seed).withColumnRenamed("row", "p")
+    return mixed.join(placed, F.col("row") == F.col("p"), "left").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken", "shards", F.coalesce("places", F.array().cast("array<long>")).alias("places"), *carry,
+    )
 
 
-def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents' rows as the mix takes them, once a draw, with `__shard`, and `__turn` to order by inside a shard.
+def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 2048) -> DataFrame:
+    """The documents' rows as the mix takes them, once a draw, by `__shard` and inside it by their place `__turn`: partitions
+    hold `slice_rows` places of one shard each, and follow one another in that order.
 
     Rows that repeat id and text are one row, taken as often as they are together."""
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
     taken = mix(keyed, shards, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=("__key",))
-    taken = taken.groupBy(F.col(id_col).alias("__i"), F.col("__key").alias("__k")).agg(F.flatten(F.collect_list("shards")).alias("__s"), F.count("*").alias("__n"))
+    taken = taken.groupBy(F.col(id_col).alias("__i"), F.col("__key").alias("__k")).agg(F.flatten(F.collect_list(F.arrays_zip("shards", "places"))).alias("__s"), F.count("*").alias("__n"))
     taken = materialise(taken.where(F.size("__s") > 0), "taken")
     if not taken.where("__n > 1").isEmpty():
         keyed = keyed.dropDuplicates([id_col, "__key"])
+    last = taken.agg(F.max(F.array_max(F.transform("__s", lambda x: x["places"])))).first()[0]
+    slices = (last or 0) // slice_rows + 1  # of a shard
     out = keyed.join(taken.hint("shuffle_hash"), keyed[id_col].eqNullSafe(taken["__i"]) & (keyed["__key"] == taken["__k"]))
-    out = out.select(*(out[c] for c in docs.columns), "__key", F.posexplode("__s").alias("__pass", "__shard"))
-    return out.withColumn("__turn", F.xxhash64(id_col, "__key", "__pass", F.lit(seed + 4))).drop("__key", "__pass")
+    out = out.select(*(out[c] for c in docs.columns), F.explode("__s").alias("__d"))
+    out = out.select(*(out[c] for c in docs.columns), F.col("__d")["shards"].alias("__shard"), F.col("__d")["places"].alias("__turn"))
+    to = F.col("__shard") * slices + F.floor(F.col("__turn") / slice_rows)
+    return out.repartitionById(shards * slices, to.cast("int")).sortWithinPartitions("__shard", "__turn")

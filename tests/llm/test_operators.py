@@ -242,6 +242,27 @@ def test_mixed_rows(docs, rows):
     assert Counter(r.doc_id for r in out.collect()) == +want
 
 
+def test_mix_shuffles_inside_a_shard(docs):
+    table = mixing.mix(docs)
+    at = defaultdict(list)
+    for r in table.collect():
+        assert len(r.shards) == len(r.places)
+        for s, p in zip(r.shards, r.places, strict=True):
+            at[s].append(p)
+    assert all(sorted(p) == list(range(len(p))) for p in at.values())
+    turn = F.xxhash64(F.xxhash64(F.xxhash64("doc_id", F.lit(17)), F.lit(18)), "pass", F.lit(21))
+    draws = table.where("doc_id is not null").select("doc_id", F.posexplode(F.arrays_zip("shards", "places")).alias("pass", "d"))
+    rows = sorted((r.s, r.p, r.t) for r in draws.select(F.col("d.shards").alias("s"), F.col("d.places").alias("p"), turn.alias("t")).collect())
+    assert rows == sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+
+
+def test_mixed_rows_come_in_order(docs):
+    for slice_rows in (3, 2048):
+        rows = [(r["__shard"], r["__turn"]) for r in mixing.mixed_rows(docs, slice_rows=slice_rows).collect()]
+        seen = set(rows)
+        assert rows == sorted(seen) and all(p == 0 or (s, p - 1) in seen for s, p in rows)
+
+
 def fingerprint(text):
     from xxhash import xxh64_intdigest
 

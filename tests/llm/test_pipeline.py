@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from loomline.llm import language_id  # noqa: E402
+from loomline.llm import language_id, mixing  # noqa: E402
 from loomline.llm.common import materialise  # noqa: E402
 from test_operators import components, fingerprint, token_ids  # noqa: E402
 
@@ -48,3 +48,9 @@ def test_language_stage_runs_the_fusion(spark, sf, monkeypatch):
     want = language_id.language_id(docs).collect()
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in want if r.kept)
     assert Counter((r.language, round(r.confidence, 6)) for r in written["verdicts"].collect()) == Counter((r.language, round(r.confidence, 6)) for r in want)
+
+
+def test_mixing_stage_is_written_by_shard(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted((r["__shard"], r["__turn"], r.doc_id) for r in mixing.mixed_rows(docs).collect())
+    assert [r.doc_id for r in corpus_pipeline.mixture(spark, docs, sf).collect()] == [i for *_, i in want]
