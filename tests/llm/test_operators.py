@@ -391,6 +391,20 @@ def test_evidence_decides_where_text_can_not(spark):
     assert out[900].language == "de" and out[901].language == "en" and not out[902].kept
 
 
+def test_unknown_scripts_and_random_letters_go(spark, sf):
+    """With 50 labelled rows or more the likelihood rejects; with fewer nothing that has a letter goes."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = np.random.default_rng(5)
+    odd = ["Съешь ещё этих мягких французских булок да выпей чаю, потом ложись спать и не забудь закрыть окно", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈" * 2,
+           " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(30))]
+    extra = spark.createDataFrame([(-1 - i, t, None, "src0") for i, t in enumerate(odd)], docs.schema)
+    assert docs.where("lang is not null").count() >= language_id.ROWS
+    for labelled, want in ((docs, set()), (docs.where("lang is not null").limit(language_id.ROWS - 1), {-1, -2, -3})):
+        rows = labelled.union(extra)
+        assert {r.doc_id for r in language_id.language_id(rows).where("kept and doc_id < 0").collect()} == want
+        assert {r.doc_id for r in language_id.drop_rejected(rows).where("doc_id < 0").collect()} == want
+
+
 def test_queries_with_sql(spark, sf):
     import duckdb
 
