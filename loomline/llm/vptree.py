@@ -4,11 +4,12 @@ A shard's vectors are cut into bands of about equal length, a tree each. There t
 nearest distance by one more coordinate: if the band's longest vector has length M, x becomes (x, sqrt(M^2 - |x|^2))
 and a query is scaled to length M. Bands are searched from the longest on, with the k best so far. A node holds a vantage point and splits the rest at
 the median distance. A child is left out for a query if the triangle inequality's lower bound, times `relax`, exceeds
-the query's k-th distance so far: relax = 1 is exact search, more prunes more. Equal vectors are one point with the
-smallest ids it needs. Scores are inner products of the original vectors in double precision.
+the query's k-th distance so far: relax = 1 is exact search, more prunes more. Equal vectors are one point, named after
+their smallest id, and of equal scores the smaller name is kept, so ties go to smaller ids. Scores are inner products of
+the original vectors in double precision.
 
-Shards are cut by hash of the id, queries into blocks; a (shard, block) pair is one task with bounded rows on both
-sides. Each gives k rows a query, ranked again over the shards.
+Shards are cut by hash of the id, queries into blocks. A shard's trees are built once and written; a (shard, block) pair
+is one task with bounded rows on both sides, which loads the shard's trees. Each gives k rows a query, ranked again over the shards.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; candidates are those
 of the query's own length. Rows that repeat an id are one row (the least vector). An empty table gives none.
@@ -16,25 +17,42 @@ of the query's own length. Rows that repeat an id are one row (the least vector)
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
+TREES = "shard long, dim int, trees binary"
 HIT = "query_id long, vec_id long, score double"
 
 
+def best_of(score: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k largest scores, largest first, of equal ones the smaller names."""
+    if score.shape[1] > k:
+        edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        tied = np.flatnonzero((score >= edge).sum(axis=1) > k)  # more than k reach the k-th score
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        if len(tied):
+            top[tied] = np.lexsort((name[tied], -score[tied]), axis=1)[:, :k]
+        score, name = np.take_along_axis(score, top, 1), np.take_along_axis(name, top, 1)
+    order = np.lexsort((name, -score), axis=1)
+    return np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
+
+
 class VPTree:
-    def __init__(self, points: np.ndarray, rows: np.ndarray, leaf: int = 256, seed: int = 5):
-        """points: distinct, float64; rows: their numbers in the shard, which search gives back."""
-        self.raw, self.rows = points, rows
+    def __init__(self, points: np.ndarray, names: np.ndarray, leaf: int = 256, seed: int = 5):
+        """points: distinct, float64; names: their numbers in the shard, which search gives back."""
         norm = np.einsum("ij,ij->i", points, points)
         self.top = float(np.sqrt(norm.max())) if len(points) else 0.0
         lifted = np.c_[points, np.sqrt(np.maximum(self.top**2 - norm, 0))]
         rng, order = np.random.default_rng(seed), np.arange(len(points))
         self.nodes: list[tuple] = []
         self.root = self._build(lifted, order, 0, len(order), leaf, rng) if len(order) else None
-        self.order, self.lifted = order, lifted
+        self.raw, self.names = points[order], names[order]  # a leaf's points stand together
 
     def _build(self, x: np.ndarray, order: np.ndarray, lo: int, hi: int, leaf: int, rng: np.random.Generator) -> int:
         """A leaf is (lo, hi); an inner node (vantage, inside, outside, near and far distance of each)."""
@@ -72,14 +90,11 @@ class VPTree:
             return
         at = self.nodes[node]
         if len(at) == 2:
-            rows = self.order[at[0] : at[1]]
-            self.visited += len(rows) * len(who)
-            got = np.c_[self.score[who], self.q[who] @ self.raw[rows].T]
-            names = np.c_[self.best[who], np.broadcast_to(self.rows[rows], (len(who), len(rows)))]
-            k = self.best.shape[1]
-            top = np.argpartition(-got, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(got, top, 1), axis=1), 1)
-            self.score[who], self.best[who] = np.take_along_axis(got, top, 1), np.take_along_axis(names, top, 1)
+            raw, names = self.raw[at[0] : at[1]], self.names[at[0] : at[1]]
+            self.visited += len(raw) * len(who)
+            got = np.c_[self.score[who], self.q[who] @ raw.T]
+            names = np.c_[self.best[who], np.broadcast_to(names, (len(who), len(names)))]
+            self.score[who], self.best[who] = best_of(got, names, self.best.shape[1])
             return
         vantage, inside, outside, in_lo, in_hi, out_lo, out_hi = at
         d = np.sqrt(np.maximum(2 * self.top**2 - 2 * (self.lift[who] @ vantage), 0))
@@ -93,18 +108,36 @@ class VPTree:
 
 
 class Bands:
-    """Trees over bands of length; neighbours differ by a tenth."""
+    """A shard's trees, over bands of length; neighbours differ by a tenth. ids: of each point its ids, ascending, end to end."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 256):
-        band = np.round(np.log(np.sqrt(np.einsum("ij,ij->i", points, points))) / np.log(1.1)).astype(np.int64)
-        self.trees = [VPTree(points[rows], rows, leaf) for b in np.unique(band)[::-1] for rows in [np.flatnonzero(band == b)]]
-        self.points = points
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 256):
+        order = np.argsort(ids, kind="stable")
+        x = vectors[order]
+        _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        turn = np.argsort(first)  # points are numbered by their smallest ids
+        number = np.empty(len(turn), np.int64)
+        number[turn] = np.arange(len(turn))
+        which = number[which.ravel()]
+        self.ids, self.starts = ids[order][np.argsort(which, kind="stable")], np.r_[0, np.cumsum(np.bincount(which, minlength=len(turn)))]
+        self.points = x[first[turn]]
+        band = np.round(np.log(np.sqrt(np.einsum("ij,ij->i", self.points, self.points))) / np.log(1.1)).astype(np.int64)
+        self.trees = [VPTree(self.points[own], own, leaf) for b in np.unique(band)[::-1] for own in [np.flatnonzero(band == b)]]
 
     def search(self, queries: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        best, score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf)
+        best, score = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64), np.full((len(queries), k), -np.inf)
         self.visited = sum(t.search(queries, best, score, relax) for t in self.trees)
         return best, score
 
+    def hits(self, own: int, query: np.ndarray, best: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the query's k best: its points' ids without its own."""
+        best = best[best < len(self.points)]
+        exact = np.einsum("j,ij->i", query, self.points[best])
+        each = [self.ids[self.starts[p] : min(self.starts[p] + k + 1, self.starts[p + 1])] for p in best]
+        score, ids = np.repeat(exact, [len(o) for o in each]), np.concatenate([np.zeros(0, np.int64), *each])
+        score, ids = score[ids != own], ids[ids != own]
+        pick = np.lexsort((ids, -score))[:k]
+        return ids[pick], score[pick]
+
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     flat = col.combine_chunks()
@@ -112,30 +145,27 @@ def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
-def _search(k: int, relax: float, leaf: int):
-    def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["query_id", "vec_id", "score"])
-        if not queries.num_rows or not vectors.num_rows:
-            return empty
-        ids, x = vectors.column("id").to_numpy(), _matrix(vectors.column("v"))
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
-        members = np.argsort(which.ravel(), kind="stable")  # of each point its ids, ascending
-        starts = np.r_[0, np.cumsum(np.bincount(which.ravel()))]
-        index = Bands(x[first], leaf)
-        qid, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
-        out = []
-        for lo in range(0, len(qid), 1024):
-            best, _ = index.search(q[lo : lo + 1024], k + 1, relax)
-            for i, row in enumerate(best):
-                row = row[row >= 0]
-                exact = np.einsum("j,ij->i", q[lo + i], index.points[row])
-                own = [members[starts[p] : min(starts[p] + k + 1, starts[p + 1])] for p in row]
-                score, got = np.repeat(exact, [len(o) for o in own]), ids[np.concatenate(own)] if own else np.zeros(0, np.int64)
-                score, got = score[got != qid[lo + i]], got[got != qid[lo + i]]
-                pick = np.lexsort((got, -score))[:k]
-                out.append((np.full(len(pick), qid[lo + i]), got[pick], score[pick]))
+def _build(leaf: int):
+    def run(key: tuple[pa.Scalar, ...], vectors: pa.Table) -> pa.Table:
+        shard, dim = (x.as_py() for x in key)
+        trees = pickle.dumps(Bands(vectors.column("id").to_numpy(), _matrix(vectors.column("v")), leaf), protocol=5)
+        return pa.table([pa.array([shard], pa.int64()), pa.array([dim], pa.int32()), pa.array([trees], pa.binary())], names=["shard", "dim", "trees"])
+
+    return run
+
+
+def _search(k: int, relax: float):
+    def run(key, queries: pa.Table, shard: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        out = [(none, none, none.astype(float))]
+        if queries.num_rows and shard.num_rows:
+            bands = pickle.loads(shard.column("trees")[0].as_py())  # noqa: S301  our own, from _build
+            own, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
+            for lo in range(0, len(own), 1024):
+                best, _ = bands.search(q[lo : lo + 1024], k + 1, relax)
+                for i, row in enumerate(best):
+                    ids, score = bands.hits(own[lo + i], q[lo + i], row, k)
+                    out.append((np.full(len(ids), own[lo + i]), ids, score))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
@@ -149,16 +179,40 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(~bad & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, shard_rows: int = 16384, block_rows: int = 16384, leaf: int = 256,
-    id_col: str = "vec_id", vec_col: str = "embedding",
-) -> DataFrame:
+def _copies(df: DataFrame, col: str, n: int) -> DataFrame:
+    """A row for each of the n values of col."""
+    return df.withColumn(col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+
+def build_index(vectors: DataFrame, shard_rows: int = 16384, leaf: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", path: str | None = None) -> DataFrame:
+    """shard, dim, trees: a row a shard, written to path (a table kept for later searches), or to the shared folder."""
+    x = usable(vectors, id_col, vec_col)
+    shards = max(1, -(-vectors.count() // shard_rows))
+    trees = x.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard", "dim").applyInArrow(_build(leaf), TREES)
+    if path is None:
+        return materialise(trees, "vp-trees")
+    trees.write.parquet(path)
+    return open_index(vectors.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TREES).parquet(path)
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, block_rows: int = 16384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k nearest found, itself left out."""
-    x, q = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    shards, blocks = (max(1, -(-n // rows)) for n, rows in ((vectors.count(), shard_rows), (queries.count(), block_rows)))
-    spread = lambda df, own, n, other, m: df.select("*", F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
-    x, q = spread(x, "shard", shards, "block", blocks), spread(q, "block", blocks, "shard", shards)
+    q = usable(queries, id_col, vec_col)
+    blocks, shards = max(1, -(-queries.count() // block_rows)), (index.agg(F.max("shard")).first()[0] or 0) + 1
+    q = _copies(q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "shard", shards)
     at = ["shard", "block", "dim"]
-    hits = q.groupBy(*at).cogroup(x.groupBy(*at)).applyInArrow(_search(k, relax, leaf), HIT)
+    hits = q.groupBy(*at).cogroup(_copies(index, "block", blocks).groupBy(*at)).applyInArrow(_search(k, relax), HIT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, shard_rows: int = 16384, block_rows: int = 16384, leaf: int = 256,
+    id_col: str = "vec_id", vec_col: str = "embedding",
+) -> DataFrame:
+    """build_index() and search_index() in one call."""
+    return search_index(build_index(vectors, shard_rows, leaf, id_col, vec_col), queries, k, relax, block_rows, id_col, vec_col)
