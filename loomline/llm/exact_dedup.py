@@ -1,31 +1,40 @@
 """Exact dedup through a cuckoo-filter index over content digests, bucketed by digest.
 
-A bucket of the index is a cuckoo filter of 16-bit tags beside the bucket's stored contents (digest -> entry). A new
-row asks the filter first: a miss is new for certain; a hit is verified against the stored digests, so a false hit
-can't drop a row. When an insertion runs out of kicks, the filter is rebuilt at twice the size from the stored keys.
-Deletion removes a live digest's tag and its entry.
-
-The index runs twice: each task folds its own rows first, so a text that a third of the rows share leaves one entry a
-task; the entries then meet by digest bucket. Digests are SHA-256 of the text without `[\\x20\\x09-\\x0D]`.
-
-Null text counts as empty; null ids rank last; repeated rows are one group; an empty table gives none.
+A bucket of the index holds the digests that begin with its number's bits: a cuckoo filter of 16-bit tags beside the
+stored content, an entry for each live digest (SHA-256 of the text without `[\\x20\\x09-\\x0D]`, with the rows that have
+it and the row that stays). A new row asks the filter first: a miss is new for certain, and the content isn't looked
+at; a hit is verified against the bucket's content, so a false hit can't drop a row. When an insertion runs out of
+kicks, the filter is rebuilt at twice the size from the stored keys. Deletion removes a live digest's tag and its entry.
+The index is a table, a row a bucket with its filter as it stands: `update_index` takes new rows and digests to delete,
+`probe_index` asks it.
+
+Rows are reduced to narrow ones first and written. Each task folds its own through an index, so a text that a third of
+the rows share leaves one entry a task; the entries then meet by bucket. Buckets follow the number of entries.
+
+Null text counts as empty; null ids rank last; rows that repeat id and length are told apart by their place in the
+table, so one row of a group stays; repeated rows are one group; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import pickle
 import random
 from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty, without_white
 
 SLOTS = 4
 NULL_ID = (1 << 63) - 1
-ENTRY = "digest binary, n long, chars long, keep long, keep_null boolean"
+ENTRY = "digest binary, n long, chars long, keep long, keep_null boolean, row long"
+INDEX = "slot long, bits int, live long, bucket binary"
+FIELDS = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+NAMES = ("digest", "n", "chars", "keep", "keep_null", "row")
 
 
 class CuckooFilter:
@@ -113,9 +122,9 @@ class CuckooIndex:
 
 
 def better(a: tuple, b: tuple) -> tuple:
-    """Entries (rows, code points, id, id is null): most code points, then the smallest id, null ids last."""
-    first = min((-a[1], a[3], a[2]), (-b[1], b[3], b[2]))
-    return a[0] + b[0], -first[0], first[2], first[1]
+    """Entries (rows, code points, id, id is null, row): most code points, then the smallest id, null ids last, then the first row."""
+    first = min((-a[1], a[3], a[2], a[4]), (-b[1], b[3], b[2], b[4]))
+    return a[0] + b[0], -first[0], first[2], first[1], first[3]
 
 
 def fold(rows: Iterable[tuple[bytes, tuple]], index: CuckooIndex) -> CuckooIndex:
@@ -125,9 +134,13 @@ def fold(rows: Iterable[tuple[bytes, tuple]], index: CuckooIndex) -> CuckooIndex
 
 
 def _batch(index: CuckooIndex) -> pa.RecordBatch:
-    cols = list(zip(*((k, *v) for k, v in index.kept.items()), strict=True)) or [()] * 5
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["digest", "n", "chars", "keep", "keep_null"])
+    cols = list(zip(*((k, *v) for k, v in index.kept.items()), strict=True)) or [()] * len(NAMES)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, FIELDS, strict=True)], names=NAMES)
+
+
+def _entries(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[bytes, tuple]]:
+    cols = [table.column(c).to_pylist() for c in NAMES]
+    return ((k, tuple(v)) for k, *v in zip(*cols, strict=True))
 
 
 def fold_entries(entries: DataFrame, most: int = 200_000) -> DataFrame:
@@ -136,8 +149,7 @@ def fold_entries(entries: DataFrame, most: int = 200_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex(4096)
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            fold(((k, (n, c, i, z)) for k, n, c, i, z in zip(*cols, strict=True)), index)
+            fold(_entries(b), index)
             if len(index.kept) > most:
                 yield _batch(index)
                 index = CuckooIndex(4096)
@@ -146,71 +158,105 @@ def fold_entries(entries: DataFrame, most: int = 200_000) -> DataFrame:
     return entries.mapInArrow(run, ENTRY)
 
 
-def merge_buckets(entries: DataFrame, bucket_digests: int = 50_000) -> DataFrame:
-    """One entry a live digest. Rows are dealt by digest and sorted by bucket (its leading 16 bits), and the index
-    moves on at each bucket: what is in memory is a bucket's share of one partition."""
-    dealt = entries.withColumn("slot", F.substring("digest", 3, 2)).repartition("digest").sortWithinPartitions("slot")
+def slot_of(digest: str | Column, bits: int) -> Column:
+    """The bucket of a digest: its leading bits."""
+    return F.shiftright(F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long"), 32 - bits)
+
+
+def bits_for(n: int, bucket_digests: int = 25_000) -> int:
+    return max(0, min(32, (max(1, n) - 1) // bucket_digests).bit_length())
+
+
+def _stored(slot: int, bits: int, index: CuckooIndex) -> pa.Table:
+    cols = [[slot], [bits], [len(index.kept)], [pickle.dumps(index, protocol=5)]]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slot", "bits", "live", "bucket"])
+
+
+def update_index(index: DataFrame | None, entries: DataFrame | None = None, gone: DataFrame | None = None, bits: int = 0) -> DataFrame:
+    """The index after inserting `entries` (ENTRY) and deleting the digests of `gone` (digest binary), in this order. Each
+    bucket's filter is taken up as it was stored. index None: a new one of 2^bits buckets."""
+    spark = next(x for x in (index, entries, gone) if x is not None).sparkSession
+    if index is None:
+        index = spark.createDataFrame([], INDEX)
+    elif row := index.select("bits").first():
+        bits = row.bits
+    none = spark.createDataFrame([], ENTRY)
+    new = (none if entries is None else entries.select(*NAMES)).withColumn("live", F.lit(True))
+    old = (none if gone is None else gone.select("digest", *(F.lit(None).cast(c.dataType).alias(c.name) for c in none.schema.fields[1:]))).withColumn("live", F.lit(False))
+    changes = new.union(old).withColumn("slot", slot_of("digest", bits))
+
+    def run(key, stored: pa.Table, changed: pa.Table) -> pa.Table:
+        own = pickle.loads(stored.column("bucket")[0].as_py()) if stored.num_rows else CuckooIndex(changed.num_rows)  # noqa: S301  our own, from _stored
+        live = changed.column("live")
+        fold(_entries(changed.filter(live)), own)
+        for digest in changed.filter(pc.invert(live)).column("digest").to_pylist():
+            own.delete(digest)
+        return _stored(key[0].as_py(), bits, own)
+
+    return index.groupBy("slot").cogroup(changes.groupBy("slot")).applyInArrow(run, INDEX)
+
+
+def live_entries(index: DataFrame) -> DataFrame:
+    """The stored content: an entry a live digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, slot = CuckooIndex(4096), None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for k, n, c, i, z, s in zip(*cols, strict=True):
-                if s != slot:
-                    if len(index.kept) >= bucket_digests:
-                        yield _batch(index)
-                        index = CuckooIndex(4096)
-                    slot = s
-                index.upsert(k, (n, c, i, z), better)
-        yield _batch(index)
+            for blob in b.column("bucket").to_pylist():
+                yield _batch(pickle.loads(blob))  # noqa: S301
 
-    return dealt.mapInArrow(run, ENTRY)
+    return index.select("bucket").mapInArrow(run, ENTRY)
 
 
-def delete_digests(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """The index without the digests of `gone` (digest binary): a bucket's filter and entries are rebuilt in the task
-    that holds both, the deletions go through CuckooIndex.delete."""
+def probe_index(index: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest, keep, n for each row of `digests` (digest binary) that the index holds: the filter lets through, the content decides."""
+    row = index.select("bits").first()
+    bits = row.bits if row else 0
 
-    def run(key, live: pa.Table, dead: pa.Table) -> pa.Table:
-        cols = [live.column(i).to_pylist() for i in range(5)]
-        idx = fold(((k, (n, c, i, z)) for k, n, c, i, z in zip(*cols, strict=True)), CuckooIndex(live.num_rows or 1))
-        for k in dead.column(0).to_pylist():
-            idx.delete(k)
-        return pa.Table.from_batches([_batch(idx)])
+    def run(key, stored: pa.Table, asked: pa.Table) -> pa.Table:
+        own = pickle.loads(stored.column("bucket")[0].as_py()) if stored.num_rows else CuckooIndex()  # noqa: S301
+        found = [(d, e[2], e[0]) for d in asked.column("digest").to_pylist() if (e := own.get(d)) is not None]
+        cols = list(zip(*found, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "keep", "n"])
 
-    cut = F.substring("digest", 3, 2)
-    return index.groupBy(cut.alias("slot")).cogroup(gone.select("digest").groupBy(cut.alias("slot"))).applyInArrow(lambda key, a, b: run(key, a.select(["digest", "n", "chars", "keep", "keep_null"]), b.select(["digest"])), ENTRY)
+    return index.groupBy("slot").cogroup(digests.select("digest", slot_of("digest", bits).alias("slot")).groupBy("slot")).applyInArrow(run, "digest binary, keep long, n long")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("chars"), F.sha2(without_white(text), 256).alias("hex"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("chars"), F.unhex(F.sha2(without_white(text), 256)).alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
-def build_index(rows: DataFrame) -> DataFrame:
-    """rows of digests() -> entries, one a live digest."""
+def entries_of(rows: DataFrame) -> DataFrame:
+    """rows of digests() -> entries, folded by each task."""
     null = F.col("id").isNull()
-    entries = rows.select(F.unhex("hex").alias("digest"), F.lit(1).cast("long").alias("n"), "chars", F.coalesce("id", F.lit(NULL_ID)).alias("keep"), null.alias("keep_null"))
-    return merge_buckets(fold_entries(entries))
+    return fold_entries(rows.select("digest", F.lit(1).cast("long").alias("n"), "chars", F.coalesce("id", F.lit(NULL_ID)).alias("keep"), null.alias("keep_null"), "row"))
+
+
+def build_index(rows: DataFrame) -> DataFrame:
+    """rows of digests() -> the index, a row a bucket."""
+    entries = materialise(entries_of(rows), "entries")
+    return update_index(None, entries, bits=bits_for(entries.count()))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, chars, digest, row of each document, and of its group the entry: keep_id, group_size, its length and the row that stays."""
+    rows = materialise(digests(docs, id_col, text_col), "digests")
+    found = live_entries(materialise(build_index(rows), "index")).select("digest", F.when(~F.col("keep_null"), F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"), F.col("chars").alias("longest"), F.col("row").alias("first"))
+    return rows.join(found, "digest", "left")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_chars: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs, id_col, text_col)
-    found = build_index(rows).select(F.lower(F.hex("digest")).alias("hex"), F.when(~F.col("keep_null"), F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"), F.col("chars").alias("most"))
-    out = rows.join(found, "hex", "left")
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("most"))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("hex").alias("text_sha256"), *(["chars"] if with_chars else []))
+    out = marked(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one of each group of equal texts."""
-    own = exact_dedup(docs, id_col, text_col, with_chars=True).where("kept")
-    own = materialise(own.select(F.col(id_col).alias("__i"), F.col("text_sha256").alias("__h"), F.col("chars").alias("__c")), "kept")
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("longest"))
+    own = materialise(marked(docs, id_col, text_col).where(same).select("id", "chars", "digest", (F.col("row") == F.col("first")).alias("stays")), "kept")
     text = text_or_empty(text_col)
-    hit = docs[id_col].eqNullSafe(own["__i"]) & (F.sha2(without_white(text), 256) == own["__h"]) & (F.length(text) == own["__c"])
-    out = docs.join(own.hint("shuffle_hash"), hit, "left_semi")
-    # rows that repeat id and text are all marked kept; only then are they told apart
-    if own.count() > own.select("__h").distinct().count():
-        out = out.withColumn("__h", F.sha2(without_white(text), 256)).dropDuplicates(["__h"]).drop("__h")
-    return out
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).cast("long").alias("i"), F.length(text).cast("long").alias("c"), F.unhex(F.sha2(without_white(text), 256)).alias("d"))
+    out = whole.join(own.where("stays"), F.col("i").eqNullSafe(F.col("id")) & (F.col("d") == F.col("digest")) & (F.col("c") == F.col("chars")), "left_semi")
+    # rows that repeat id, length and digest all have come through; only then are they told apart
+    return (out if own.where("not stays").isEmpty() else out.dropDuplicates(["d"])).select("doc.*")
