@@ -166,9 +166,10 @@ def drop_near_copies(docs: DataFrame, bits: int = 4, width: int = 4, id_col: str
     """One row of each component with all its columns: the least id, nulls last."""
     found = near_components(materialise(fingerprints(docs, width, id_col, text_col), "fingerprints"), bits)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
-    first = materialise(first.select(F.col("x.id").alias("__i"), F.col("x.key").alias("__k")), "kept")
-    out = docs.join(first.hint("shuffle_hash"), docs[id_col].eqNullSafe(first["__i"]) & (F.xxhash64(docs[text_col]) == first["__k"]), "left_semi")
-    rows = found.join(first, found["id"].eqNullSafe(first["__i"]) & (found["key"] == first["__k"]), "left_semi")
+    first = materialise(first.select(F.col("x.id").alias("own"), F.col("x.key").alias("hash")), "kept")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("k"))
+    out = whole.join(first, F.col("i").eqNullSafe(F.col("own")) & (F.col("k") == F.col("hash")), "left_semi")
+    rows = found.join(first, found["id"].eqNullSafe(first["own"]) & (found["key"] == first["hash"]), "left_semi")
     if rows.count() > first.count():  # rows that repeat id and text: one stays
-        out = out.withColumn("__k", F.xxhash64(text_col)).dropDuplicates([id_col, "__k"]).drop("__k")
-    return out
+        out = out.dropDuplicates(["i", "k"])
+    return out.select("doc.*")

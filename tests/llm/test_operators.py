@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, on the small tables and on a table of odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -48,6 +49,22 @@ def test_token_counts(docs, rows, tmp_path):
     assert kept.count() == kept.select("digest").distinct().count() <= len({r[1] for r in rows})
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_cache_of_hits_misses_and_a_digest_twice(docs, rows, tmp_path, few, monkeypatch):
+    """Half the rows fill the cache, which then holds every digest twice; all rows are counted once, only the rest is encoded."""
+    monkeypatch.setattr(token_counts.fill_cache, "__defaults__", (few,))
+    cache, half = str(tmp_path / "cache"), docs.where("coalesce(doc_id, 0) % 2 = 0")
+    token_counts.token_counts(half, TOKENIZER, cache=cache)
+    kept = docs.sparkSession.read.parquet(cache)
+    first = kept.count()
+    if first:
+        docs.sparkSession.createDataFrame(kept.collect(), kept.schema).write.mode("append").parquet(cache)
+    want = Counter((i, len(t.encode()), n) for (i, t, *_), n in zip(rows, map(len, token_ids([r[1] for r in rows])), strict=True))
+    assert got(token_counts.token_counts(docs, TOKENIZER, cache=cache), ("doc_id", "n_bytes", "n_tokens")) == want
+    kept = docs.sparkSession.read.parquet(cache)
+    assert kept.count() == first + kept.select("digest").distinct().count()
+
+
 def test_word_table_is_exact():
     rng = np.random.default_rng(1)
     marks = [chr(c) for c in (*range(1, 300), 0x301, 0x308, 0x3C3, 0x3A3, 0x130, 0x2028, 0xFB01, 0x1100, 0x1161, 0x200D, 0x3000)] + ["<|endoftext|>", "<|startoftext|>", " ", " "]
@@ -62,30 +79,48 @@ def test_exact_dedup(docs, rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
     for i, t, *_ in rows:
         groups[norm(t)].append((-len(t), i is None, i or 0, i))
-    want = Counter()
-    for i, t, *_ in rows:
-        best = min(groups[norm(t)])
-        want[i, best[3], len(groups[norm(t)]), i == best[3] and len(t) == -best[0], hashlib.sha256(norm(t).encode()).hexdigest()] += 1
-    assert got(exact_dedup.exact_dedup(docs), ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) == want
+    table = exact_dedup.exact_dedup(docs)
+    want = Counter((i, min(groups[norm(t)])[3], len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t, *_ in rows)
+    assert got(table, ("doc_id", "keep_id", "group_size", "text_sha256")) == want
+    # one row of each group stays, rows that repeat its id and length included
+    stays = [(r.doc_id, r.keep_id, r.text_sha256) for r in table.collect() if r.kept]
+    assert Counter(h for *_, h in stays) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups) and all(i == k for i, k, _ in stays)
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
-    assert Counter(norm(r.text or "") for r in kept.collect()) == Counter(list(groups))
+    assert Counter((r.doc_id, len(r.text or ""), norm(r.text or "")) for r in kept.collect()) == Counter((min(g)[3], -min(g)[0], k) for k, g in groups.items())
 
 
 def test_cuckoo_index():
     index, keys = exact_dedup.CuckooIndex(8), [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
-    assert all(index.upsert(k, (1, 0, n, False), exact_dedup.better) for n, k in enumerate(keys))
-    assert index.resizes and not any(index.upsert(k, (1, 0, 9, False), exact_dedup.better) for k in keys)
+    assert all(index.upsert(k, (1, 0, n, False, n), exact_dedup.better) for n, k in enumerate(keys))
+    assert index.resizes and not any(index.upsert(k, (1, 0, 9, False, 9), exact_dedup.better) for k in keys)
     assert all(map(index.delete, keys[:2500])) and not any(map(index.delete, keys[:2500]))
     assert all(index.get(k) is None for k in keys[:2500]) and all(index.get(k)[0] == 2 for k in keys[2500:])
-    assert all(index.upsert(k, (1, 0, 1, False), exact_dedup.better) for k in keys[:100])
+    assert all(index.upsert(k, (1, 0, 1, False, 1), exact_dedup.better) for k in keys[:100])
 
 
-def test_delete_digests(docs):
-    index = exact_dedup.build_index(exact_dedup.digests(docs))
-    gone = index.select("digest").orderBy("digest").limit(3)
-    left = {bytes(r.digest) for r in exact_dedup.delete_digests(index, gone).collect()}
-    assert left == {bytes(r.digest) for r in index.collect()} - {bytes(r.digest) for r in gone.collect()}
+@pytest.mark.parametrize("bits", [0, 3])
+def test_a_stored_index_takes_rows_and_deletions(docs, bits):
+    """Half the rows, then the other half and three deletions: as if built at once without them; false hits are found out."""
+    rows = common.materialise(exact_dedup.digests(docs), "digests")
+    halves = [exact_dedup.entries_of(rows.where(f"row % 2 = {i}")) for i in (0, 1)]
+    gone = rows.select("digest").distinct().orderBy("digest").limit(3)
+    index = common.materialise(exact_dedup.update_index(None, halves[0], bits=bits), "index")
+    index = common.materialise(exact_dedup.update_index(index, halves[1], gone), "index")
+    dead = {bytes(r.digest) for r in gone.collect()}
+    whole = {bytes(r.digest): tuple(r)[1:] for r in exact_dedup.live_entries(exact_dedup.build_index(rows)).collect()}
+    assert {bytes(r.digest): tuple(r)[1:] for r in exact_dedup.live_entries(index).collect()} == {k: v for k, v in whole.items() if k not in dead}
+    assert {bytes(r.digest) for r in exact_dedup.probe_index(index, rows.select("digest").distinct()).collect()} == set(whole) - dead
+    assert index.count() <= 1 << bits
+
+
+def test_false_hits_are_verified():
+    """Digests of one tag and bucket: the filter can't tell them apart, the content does."""
+    index, keys = exact_dedup.CuckooIndex(8), [bytes(10) + bytes([i]) * 22 for i in range(1, 9)]
+    for n, k in enumerate(keys[:4]):
+        assert index.upsert(k, (1, 0, n, False, n), exact_dedup.better)
+    assert all(k in index.filter for k in keys) and index.get(keys[7]) is None and index.false_hits
+    assert index.delete(keys[0]) and index.get(keys[1])[2] == 1 and index.get(keys[0]) is None
 
 
 def brute_bytes(rows, w):
@@ -113,7 +148,7 @@ def test_bwt_merge_is_a_sort():
     units = np.frombuffer(bytes(rng.choice(list(b"ab"), 6000).tolist()), np.uint8)
     start, size = np.arange(0, 6000, 100), np.full(60, 100)
     windows = np.full(60, 100 - 12 + 1)
-    hit = bwt_dedup.resolve(12, 4, 300)(units, start, size, windows, np.arange(60))
+    hit, _ = bwt_dedup.resolve(12, 4, 300)(units, start, size, windows, np.arange(60), np.zeros(60, bool))
     all_ = [units[a + o : a + o + 12].tobytes() for a in start for o in range(89)]
     n = Counter(all_)
     assert hit.tolist() == [n[x] > 1 for x in all_]
@@ -138,10 +173,10 @@ def test_substring_dedup(docs, rows, w):
     assert got(suffix_trees.substring_dedup(docs, w), ("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_words(rows, w)
 
 
-@pytest.mark.parametrize("hot, crowd", [(0, 1 << 20), (2, 40), (1 << 13, 15)])
-def test_hot_anchors_and_crowded_buckets(docs, rows, hot, crowd):
-    """Anchors split to single windows, buckets folded by salts, or both: the same rows."""
-    kinds = [replace(k, hot=hot, crowd=crowd) for k in (bwt_dedup.kind_of(60, 16), suffix_trees.kind_of(5))]
+@pytest.mark.parametrize("room, crowd, batch", [(0, 1 << 20, 1 << 19), (2, 40, 1), (1 << 13, 15, 5000)])
+def test_long_prefixes_and_crowded_buckets(docs, rows, room, crowd, batch):
+    """Grams lengthened to single windows, buckets folded by salts, small batches: the same rows."""
+    kinds = [replace(k, room=room, crowd=crowd, batch=batch) for k in (bwt_dedup.kind_of(60, 16), suffix_trees.kind_of(5, 2))]
     by_bytes, by_words = (windows.repeated_windows(docs, k, "doc_id", "text") for k in kinds)
     assert got(by_bytes, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == brute_bytes(rows, 60)
     assert got(by_words, ("doc_id", "n_words", "n_removed", "kept_sha256")) == brute_words(rows, 5)
@@ -152,8 +187,9 @@ def test_prefix_groups_of_any_size():
     words = rng.integers(0, 3, 4000).astype(np.uint64)
     rows = np.arange(4000 - 8)
     want = Counter(words[r : r + 8].tobytes() for r in rows)
+    alone = np.zeros(4000, bool)
     for group in (7, 100, 1 << 18):
-        found = {int(r) for own, _ in suffix_trees.deep_nodes(words, rows, 8, group) for r in own}
+        found = {int(r) for own, _ in suffix_trees.deep_nodes(words, alone, rows, 8, group) for r in own}
         assert found == {int(r) for r in rows if want[words[r : r + 8].tobytes()] > 1}
 
 
@@ -220,6 +256,30 @@ def test_mixing(docs, rows):
     assert got(again, ("doc_id", "size", "taken")) == Counter((r.doc_id, r.size, r.taken) for r in table)
 
 
+def test_the_tree_decides_which_documents_are_taken(spark, sf):
+    """Another tree: other documents, the same words of each source, each document three times at most."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    one, two = ({r.doc_id: r for r in mixing.mix(docs, tree_seed=i, carry=("source",)).collect()} for i in (1, 2))
+    sums = [Counter(), Counter()]
+    for table, own in ((one, sums[0]), (two, sums[1])):
+        for r in table.values():
+            own[r.source] += r.taken
+            assert 0 <= r.taken <= 3 * r.size
+    assert sums[0] == sums[1] and all(abs(sums[0][r.source] - r.target) <= 0.51 for r in one.values())
+    other = sum(r.taken != two[i].taken for i, r in one.items())
+    assert other > 0.02 * len(one)
+
+
+def test_mixing_of_integer_sources_and_odd_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.withColumn("source", F.substring("source", 4, 2).cast("int")).withColumns({c: F.lit(1) for c in ("__i", "__k", "__s", "doc", "i", "t", "s", "draw", "own", "a.b")})
+    assert mixing.mix(odd.drop("a.b")).count() == docs.count()
+    out = mixing.mixed_rows(odd)
+    assert out.columns == [*odd.columns, "__shard", "__turn"] and out.count() > 0
+    for f in (exact_dedup.drop_copies, simhash.drop_near_copies, language_id.drop_rejected):
+        assert f(odd).columns == odd.columns
+
+
 def test_split_quotas_are_exact(spark):
     counts = spark.createDataFrame([("a", 700), ("b", 31), (None, 5), ("c", 1)], "source string, n long")
     table = mixing.split_quotas(counts, 6, 1).collect()
@@ -250,7 +310,7 @@ def test_mix_shuffles_inside_a_shard(docs):
         for s, p in zip(r.shards, r.places, strict=True):
             at[s].append(p)
     assert all(sorted(p) == list(range(len(p))) for p in at.values())
-    turn = F.xxhash64(F.xxhash64(F.xxhash64("doc_id", F.lit(17)), F.lit(18)), "pass", F.lit(21))
+    turn = F.xxhash64(F.xxhash64(F.xxhash64("doc_id", F.lit(17)), F.lit(18)), "pass", F.lit(21))  # of its draws, from 0
     draws = table.where("doc_id is not null").select("doc_id", F.posexplode(F.arrays_zip("shards", "places")).alias("pass", "d"))
     rows = sorted((r.s, r.p, r.t) for r in draws.select(F.col("d.shards").alias("s"), F.col("d.places").alias("p"), turn.alias("t")).collect())
     assert rows == sorted(rows, key=lambda r: (r[0], r[2], r[1]))
@@ -361,18 +421,95 @@ def test_nearest(spark, sf, relax):
     assert hit / total >= 0.9
 
 
+def test_ties_of_distinct_vectors_go_to_smaller_ids(spark):
+    """2000 distinct vectors of one score, in several leaves and shards, by exact search."""
+    rows = [(i, [1.0] + [float(j == i % 50) * (1 + i) for j in range(50)]) for i in range(2000)] + [(5000, [1.0] + [0.0] * 50)]
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (4096, 300):
+        got_ = vptree.nearest(x, x.where("vec_id = 5000"), 20, 1.0, shard_rows=shard_rows, leaf=64).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got_] == [(i, 1.0) for i in range(20)]
+
+
+def test_stored_trees(spark, sf, tmp_path):
+    x = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vptree.build_index(x, 100, path=str(tmp_path / "trees"))
+    found = vptree.search_index(vptree.open_index(spark, str(tmp_path / "trees")), x.where("vec_id % 20 = 0"), 20, 1.0)
+    assert got(found, ("query_id", "rank", "vec_id")) == got(vptree.nearest(x, x.where("vec_id % 20 = 0"), 20, 1.0), ("query_id", "rank", "vec_id"))
+
+
 def test_nearest_of_nothing(spark, sf):
     x = spark.read.parquet(f"{sf}/embeddings.parquet").where("false")
     assert vptree.nearest(x, x).count() == 0
 
 
+FOLDED = {b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)}
+MARKS = set("#$%&*+/<=>@[]\\^_`{|}~")
+
+
+def brute_language(rows, labels):
+    """(language, confidence) of each row, with every row labelled in the sample: plain Python over trigram dictionaries."""
+    def grams(t):
+        b = [FOLDED[x] for x in t.encode()]
+        out = [tuple(b[i : i + 3]) for i in range(len(b) - 2)]
+        out = [g for g in out if not (g[1] == 32 and 32 in (g[0], g[2]))]
+        return [((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % 2**32) >> 18 for g in out], sum(x != 32 for x in b), sum(c in MARKS for c in t)
+
+    names = sorted({x for x in labels if x is not None})
+    counts = {n: Counter() for n in names}
+    seen = [grams(t) for _, t, *_ in rows]
+    for (g, *_), label in zip(seen, labels, strict=True):
+        if label is not None:
+            counts[label].update(g)
+    k, text = len(names) + 1, []
+    for g, letters, marks in seen:
+        by = [sum(math.log((counts[n][x] + 0.5) / (counts[n].total() + 0.5 * 2**14)) for x in g) for n in names]
+        say = lambda r: marks * math.log(r) + letters * math.log(1 - r)  # noqa: B023, E731
+        log = [(x + say(0.01)) / 8 for x in by] + [max(-len(g) * 14 * math.log(2) + say(0.01), max(by) + say(0.5)) / 8 + math.log(1e-3)]
+        p = [math.exp(x - max(log)) for x in log] if letters else [0.0] * len(names) + [1.0]
+        text.append([x / sum(p) for x in p])
+    prior = [(sum(p[j] for p in text) + 1 / k) / (len(text) + 1) for j in range(k)]
+
+    def smoothed(values):
+        sums, n = defaultdict(lambda: [0.0] * k), Counter(values)
+        for v, p in zip(values, text, strict=True):
+            sums[v] = [a + b for a, b in zip(sums[v], p, strict=True)]
+        return [prior if v is None else [(max(a - b, 0) + 20 * q) / (n[v] - 1 + 20) for a, b, q in zip(sums[v], p, prior, strict=True)] for v, p in zip(values, text, strict=True)]
+
+    found = [re.search(r"(?:@|://)[A-Za-z0-9.-]*\.([A-Za-z]{2,})\b", t) for _, t, *_ in rows]
+    hosts, suffixes = smoothed([s for _, _, s, _ in rows]), smoothed([m and m[1].lower() for m in found])
+    out = []
+    for p, h, f in zip(text, hosts, suffixes, strict=True):
+        score = [math.log(max(a, 1e-12)) + math.log(max(b, 1e-6)) + math.log(max(c, 1e-6)) - math.log(max(q, 1e-6)) for a, b, c, q in zip(p, h, f, prior, strict=True)]
+        e = [math.exp(x - max(score)) for x in score]
+        out.append(([*names, "und"][e.index(max(e))], max(e) / sum(e)))
+    return out
+
+
 def test_language_id(docs, rows):
     out = language_id.language_id(docs).collect()
+    want = brute_language(rows, [r.lang for r in docs.collect()]) if rows else []
     assert Counter(r.doc_id for r in out) == Counter(i for i, *_ in rows)
     assert all(r.kept == (r.language != "und") and 0 <= r.confidence <= 1 + 1e-9 for r in out)
+    close = lambda x: round(x, 2)
+    assert Counter((r.doc_id, r.language, close(r.confidence)) for r in out) == Counter((i, n, close(c)) for (i, *_), (n, c) in zip(rows, want, strict=True))
     kept = language_id.drop_rejected(docs)
     assert kept.columns == docs.columns
-    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, raw) for i, t, _, raw in rows if re.search(r"[A-Za-z\x80-\U0010ffff]", t))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, raw) for (i, _, _, raw), (n, _) in zip(rows, want, strict=True) if n != "und")
+
+
+def test_without_labels_no_language_is_known(spark):
+    rows = spark.createDataFrame([(1, "some words here", None, "a"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert [(r.language, r.kept) for r in language_id.language_id(rows).collect()] == [("und", False)] * 2
+
+
+def test_a_very_long_text_is_tallied_in_pieces():
+    rng = np.random.default_rng(8)
+    text = bytes(rng.choice(list(b"abc d$.Z\xc3\xa9"), 5 * language_id.PIECE + 1).tolist())
+    data, ends, weights = np.frombuffer(text, np.uint8), np.array([0, len(text)]), rng.random((2, 1 << 14))
+    whole = language_id.tallies(data, ends, weights)
+    code, folded = language_id.trigrams(data, ends[1:])
+    live = code[code >= 0]
+    assert whole[0] == pytest.approx([weights[0][live].sum(), weights[1][live].sum(), len(live), (folded != 32).sum(), language_id.SYMBOL[data].sum()])
 
 
 def test_language_accuracy_on_held_out_rows(spark, sf):
@@ -380,7 +517,8 @@ def test_language_accuracy_on_held_out_rows(spark, sf):
     model = language_id.fit(docs.where("doc_id % 2 = 0"))
     seen = language_id.identify(language_id.document_evidence(docs.where("doc_id % 2 = 1")), model)
     hits = docs.select("doc_id", "lang").join(seen, F.col("doc_id") == F.col("id"))
-    assert hits.agg(F.avg((F.col("lang") == F.col("language")).cast("int"))).first()[0] > 0.97
+    right, kept = hits.agg(F.avg(F.when(F.col("kept"), (F.col("lang") == F.col("language")).cast("int"))), F.avg(F.col("kept").cast("int"))).first()
+    assert right > 0.99 and kept > 0.94  # junk, words drowned in symbols, goes: some 4 % of these tables
 
 
 def test_evidence_decides_where_text_can_not(spark):
@@ -391,18 +529,21 @@ def test_evidence_decides_where_text_can_not(spark):
     assert out[900].language == "de" and out[901].language == "en" and not out[902].kept
 
 
-def test_unknown_scripts_and_random_letters_go(spark, sf):
-    """With 50 labelled rows or more the likelihood rejects; with fewer nothing that has a letter goes."""
-    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source")
+@pytest.mark.parametrize("labelled", [10_000, 30])
+def test_junk_and_unknown_scripts_go(spark, sf, labelled):
+    """Unknown scripts, random letters and words drowned in symbols are rejected whatever the size of the table; clean rows stay."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source").where(f"doc_id < {labelled}")
     rng = np.random.default_rng(5)
-    odd = ["Съешь ещё этих мягких французских булок да выпей чаю, потом ложись спать и не забудь закрыть окно", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈" * 2,
-           " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(30))]
-    extra = spark.createDataFrame([(-1 - i, t, None, "src0") for i, t in enumerate(odd)], docs.schema)
-    assert docs.where("lang is not null").count() >= language_id.ROWS
-    for labelled, want in ((docs, set()), (docs.where("lang is not null").limit(language_id.ROWS - 1), {-1, -2, -3})):
-        rows = labelled.union(extra)
-        assert {r.doc_id for r in language_id.language_id(rows).where("kept and doc_id < 0").collect()} == want
-        assert {r.doc_id for r in language_id.drop_rejected(rows).where("doc_id < 0").collect()} == want
+    odd = ["Съешь ещё этих мягких французских булок да выпей чаю, потом ложись спать и не забудь закрыть окно " * 3, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈" * 4,
+           " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(60))]
+    clean = [r.text for r in docs.where("lang = 'en'").orderBy("doc_id").limit(5).collect()]
+    drowned = [" ".join(w + "$%#&"[i % 4] * 4 for i, w in enumerate(t.split())) for t in clean if len(t.split()) > 40]
+    extra = spark.createDataFrame([(-1 - i, t, None, "src0") for i, t in enumerate(odd + drowned)], docs.schema)
+    out = language_id.language_id(docs.union(extra)).cache()
+    assert drowned and not out.where("kept and doc_id < 0").count()
+    marks = F.length(F.regexp_replace("text", r"[^#$%&*]", "")) > 0.1 * F.length("text")
+    plain = docs.where(~marks & F.col("text").rlike("[A-Za-z]{2}")).select("doc_id")
+    assert out.join(plain, "doc_id").where("kept").count() >= 0.99 * plain.count()
 
 
 def test_queries_with_sql(spark, sf):
