@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters of the contracts, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+WHITE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir or, where driver and executors are one process, a temporary one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
     if not (found := spark.sparkContext.getCheckpointDir()):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -30,9 +34,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by this process, for sweep().
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
+    WRITTEN.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,6 +51,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes what materialise() has written so far; frames made of it, results not written elsewhere included, are gone. Gives the number of tables."""
+    done = len(WRITTEN)
+    while WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return done
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -59,6 +77,16 @@ def text_slices(col: pa.Array, most: int = 2 << 20) -> Iterator[tuple[np.ndarray
         lo = hi
 
 
+def cut_words(raw: bytes, most: int = 1 << 16) -> Iterator[list[bytes]]:
+    """The text's words, those of about `most` bytes at a time."""
+    at = 0
+    while at < len(raw):
+        end = WHITE_BYTE.search(raw, at + most)
+        end = end.start() if end else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def word_count(col: Column) -> Column:
     """Number of WORD in the text without an array of them: each word to a letter, white space away, letters counted."""
     return F.length(F.translate(F.regexp_replace(F.coalesce(col, F.lit("")), WORD, "x"), WHITE, "")).cast("long")

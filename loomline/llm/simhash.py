@@ -21,27 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, cut_words, materialise
 
 
 def fingerprint(text: str | bytes | None, width: int = 4) -> bytes:
-    """8 bytes, most significant first: a bit is 1 if set in over half the hashes of the shingles (XXH64, seed 42)."""
+    """8 bytes, most significant first: a bit is 1 if set in over half the hashes of the shingles (XXH64, seed 42). The
+    words are taken some at a time, with the last of those before."""
     from xxhash import xxh64_intdigest
 
     raw = (text or "").encode() if isinstance(text, str) or text is None else text
-    words = raw.lower().split()  # of bytes: A-Z only, and the six ASCII white-space characters
-    if not words:
-        return bytes(8)
-    norm, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts, k = (ends - size).tolist(), min(width, len(words)) - 1
-    ends = ends.tolist()
-    hashes = np.array([xxh64_intdigest(norm[a:b], 42) for a, b in zip(starts, ends[k:], strict=False)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        own = hashes[at : at + 65536].byteswap().view(np.uint8)
-        ones += np.unpackbits(own).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes)).tobytes()
+    ones, total, kept = np.zeros(64, np.int64), 0, []
+
+    def add(words: list[bytes], k: int) -> int:
+        norm, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size + 1) - 1
+        starts, ends = (ends - size).tolist(), ends.tolist()
+        hashes = np.array([xxh64_intdigest(norm[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+        ones[:] += np.unpackbits(hashes.byteswap().view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        return len(hashes)
+
+    for words in cut_words(raw.lower()):  # of bytes: A-Z only, and the six ASCII white-space characters
+        kept += words
+        if len(kept) >= width:
+            total += add(kept, width)
+            kept = kept[len(kept) - width + 1 :]
+    if kept and not total:
+        total = add(kept, len(kept))
+    return np.packbits(ones * 2 > total).tobytes() if total else bytes(8)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -358,6 +358,16 @@ def test_simhash(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len(set(roots))
 
 
+def test_fingerprints_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 50, n)) + end for n in (0, 1, 2, 3, 4, 5, 40, 30_000) for end in ("", " ", "\n\n x")]
+    for text in texts:
+        assert int.from_bytes(simhash.fingerprint(text), "big") == fingerprint(text)
+    cut = simhash.cut_words
+    monkeypatch.setattr(simhash, "cut_words", lambda raw: cut(raw, 3))
+    assert all(int.from_bytes(simhash.fingerprint(t), "big") == fingerprint(t) for t in texts[:-3])
+
+
 @pytest.mark.parametrize("hot", [100_000, 20])
 def test_simhash_of_a_crowd(spark, hot):
     rng = np.random.default_rng(7)
