@@ -25,7 +25,7 @@ from .tokens import drops_white, encoder
 
 CACHE = "version string, digest binary, n_tokens long"
 #: Rows of some 60 bytes that a broadcast may hold.
-FEW = 100_000
+FEW = 10_000
 
 
 def version_of(path: str) -> str:
@@ -78,5 +78,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: str
     cache, version = cache or fresh_path(spark, "token-cache"), version_of(tokenizer)
     narrow = materialise(digested(docs, tokenizer, id_col, text_col), "digests")
     fill_cache(docs, narrow, tokenizer, version, cache, id_col, text_col)
-    out = narrow.select("id", "n_bytes", "digest").join(read_cache(spark, cache, version), "digest", "left")
+    # written, so that the join has an exchange on either side and a digest that many rows share can be split
+    known = materialise(read_cache(spark, cache, version), "known")
+    out = narrow.select("id", "n_bytes", "digest").join(known, "digest", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
