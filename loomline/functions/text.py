@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +97,28 @@ def path_parts(c: Column | str) -> Column:
 
 def folder_name(c: Column | str) -> Column:
     return F.replace(col(c), F.lit("/"), F.lit("__"))
+
+
+def any_word(c: Column | str, query: str) -> Column:
+    """If the text holds a term of an `a OR b OR "c d"` query, as whole words, whatever their case: the local stand-in for a
+    remote search, without its relevance."""
+    terms = [x.strip().strip('"') for x in re.split(r"\s+OR\s+", query) if x.strip().strip('"')]
+    body = "|".join(re.sub(r"([^\w\s])", r"\\\1", x).replace(" ", r"\s+") for x in terms)
+    return col(c).rlike(rf"(?i)\b({body})\b") if terms else F.lit(False)
+
+
+def map_get(m: Column | str, key: str, default: str = "") -> Column:
+    """The value of a key; a missing key gives the default, an explicit null stays null."""
+    return F.when(F.coalesce(F.map_contains_key(col(m), F.lit(key)), F.lit(False)), col(m)[key]).otherwise(default)
+
+
+def inverted(m: Column | str) -> Column:
+    """Values to keys; values have to differ."""
+    return F.map_from_arrays(F.map_values(col(m)), F.map_keys(col(m)))
+
+
+def padded(c: Column | str, width: int, left: bool = False) -> Column:
+    """At least `width` code points, spaces after (left: before); longer ones stay whole."""
+    c = F.coalesce(col(c).cast("string"), F.lit(""))
+    gap = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(c)))
+    return F.concat(gap, c) if left else F.concat(c, gap)

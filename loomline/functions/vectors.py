@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,15 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def with_bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once a row however often f names it: also inside a lambda over an array."""
+    return F.transform(F.array(value), f)[0]
+
+
 def unit(v: Column | str) -> Column:
     """Length one; a zero vector stays as it is."""
     v = doubles(v)
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
+    return with_bound(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
 
 
 def argmax(v: Column | str) -> Column:
@@ -32,5 +38,6 @@ def argmax(v: Column | str) -> Column:
 
 
 def softmax(v: Column | str) -> Column:
-    e = F.transform(doubles(v), lambda x: F.exp(x - F.array_max(doubles(v))))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    v = doubles(v)
+    powers = with_bound(F.array_max(v), lambda most: F.transform(v, lambda x: F.exp(x - most)))
+    return with_bound(powers, lambda e: with_bound(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))

@@ -79,10 +79,28 @@ def leaderboard(results: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
     return out.orderBy(F.col("macro_f1").desc_nulls_last(), "model")
 
 
+def probe_rows(results: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+    """The leaderboard with the seconds: embed_s to 1 place, fit_s to 3; an error's numbers are null."""
+    ok = F.col("error").isNull()
+    seconds = results.select("model", F.when(ok, F.bround("embed_seconds", 1)).alias("embed_s"), F.when(ok, F.bround("fit_seconds", 3)).alias("fit_s"))
+    return leaderboard(results, labels).join(seconds, "model").orderBy(F.col("macro_f1").desc_nulls_last(), "model")
+
+
 def winner(board: DataFrame) -> DataFrame:
     return board.orderBy(F.col("macro_f1").desc_nulls_last(), "model").limit(1)
 
 
+def of_winner(board: DataFrame, table: DataFrame) -> DataFrame:
+    """The winner's rows of a table by model: its report, or its settings."""
+    return winner(board).select("model").join(table, "model")
+
+
+def best_epoch(epochs: DataFrame, score: str = "macro_f1") -> DataFrame:
+    """Of each model's epochs the one of the highest score, the earliest of equals; unscored ones don't count."""
+    best = F.max_by(F.struct("epoch", score), F.struct(score, -F.col("epoch")))
+    return epochs.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy("model").agg(best.alias("x")).select("model", "x.*")
+
+
 def chart_rows(board: DataFrame) -> DataFrame:
     return board.dropna(subset=["macro_f1"])
 

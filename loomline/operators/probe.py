@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -25,12 +26,27 @@ def quotas(rows: DataFrame, label: str = "label", test_size: float = 0.33) -> Da
     return q.select("label", "n", (F.col("low") + extra.cast("int")).cast("long").alias("n_test"))
 
 
-def stratified_split(rows: DataFrame, id_col: str, label: str = "label", test_size: float = 0.33, seed: int = 42) -> DataFrame:
-    """The rows with split = train or test; a class's test rows are the first of a hashed order. The quota holds exactly."""
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col))
+def stratified_split(rows: DataFrame, id_col: str, label: str = "label", test_size: float = 0.33, seed: int = 42, bits: int = 12) -> DataFrame:
+    """The rows with split = train or test; a class's test rows are the first of a hashed order. The quota holds exactly.
+
+    The order is cut into 2^bits ranges a class, which are counted: ranges before the one on the quota's edge are test rows
+    whole, and only the edge's rows are ranked, so no task gets a class."""
+    turn = F.xxhash64(F.col(id_col), F.lit(seed))
+    own = rows.withColumn("_turn", turn).withColumn("_range", F.shiftright("_turn", 64 - bits))
+    counts = own.groupBy(F.col(label).alias("label"), "_range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("_range")) - F.col("n")  # at most 2^bits rows a class
     q = quotas(rows, label, test_size).select(F.col("label").alias("_l"), "n_test")
-    out = rows.withColumn("_n", turn).join(q, F.col(label).eqNullSafe(F.col("_l")))
-    return out.withColumn("split", F.when(F.col("_n") <= F.col("n_test"), "test").otherwise("train")).drop("_n", "_l", "n_test")
+    spread = counts.withColumn("_before", before).join(q, F.col("label").eqNullSafe(F.col("_l")))
+    edge = spread.where((F.col("_before") <= F.col("n_test")) & (F.col("n_test") < F.col("_before") + F.col("n")))
+    edge = edge.select("_l", F.col("_range").alias("_edge"), (F.col("n_test") - F.col("_before")).alias("_left"))
+    whole = q.join(edge.withColumnRenamed("_l", "_e"), F.col("_l").eqNullSafe(F.col("_e")), "left").select(F.col("_l").alias("_k"), "_edge", "_left")
+    out = own.join(whole, F.col(label).eqNullSafe(F.col("_k")))
+    # a null edge: the whole class is test rows
+    sure = out.where(F.col("_edge").isNull() | (F.col("_range") != F.col("_edge"))).withColumn("_test", F.col("_edge").isNull() | (F.col("_range") < F.col("_edge")))
+    near = out.where(F.col("_range") == F.col("_edge"))
+    near = near.withColumn("_test", F.row_number().over(Window.partitionBy(label).orderBy("_turn", id_col)) <= F.col("_left"))
+    both = sure.unionByName(near)
+    return both.select(*rows.columns, F.when(F.col("_test"), "test").otherwise("train").alias("split"))
 
 
 def fit(train: DataFrame, label: str = "label", vec: str = "embedding", c: float = 1.0, max_iter: int = 2000) -> LogisticRegressionModel:
@@ -51,15 +67,30 @@ def predict(model: LogisticRegressionModel, rows: DataFrame, vec: str = "embeddi
     return out
 
 
+def save(model: LogisticRegressionModel, names: tuple[str, ...], path: str) -> None:
+    """The model and its labels' names beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame(list(enumerate(names)), "label int, name string").coalesce(1).write.mode("overwrite").json(f"{path}/labels")
+
+
+def load(spark: SparkSession, path: str) -> tuple[LogisticRegressionModel, tuple[str, ...]]:
+    rows = spark.read.schema("label int, name string").json(f"{path}/labels").orderBy("label").collect()  # as many rows as classes
+    return LogisticRegressionModel.load(f"{path}/model"), tuple(r["name"] for r in rows)
+
+
 RESULT = "model string, macro_f1 double, accuracy double, per_class_f1 array<double>, embed_seconds double, fit_seconds double, report string, dim int, error string"
 
 
 def linear_probe(model: str, encode: Callable[[DataFrame], DataFrame], train: DataFrame, test: DataFrame, names: tuple[str, ...], label: str = "label", c: float = 1.0) -> DataFrame:
     """One row of results; a failure is a row too. encode adds `embedding`."""
-    spark = train.sparkSession
+    spark, held = train.sparkSession, []
     try:
         t = time.time()
-        x, y = encode(train), encode(test)
+        x, y = encode(train).persist(), encode(test).persist()
+        held = [x, y]
+        for part in held:  # Spark is lazy: an action that reads every embedding
+            part.select("embedding").write.format("noop").mode("overwrite").save()
         dim = x.select(F.size("embedding")).first()[0]
         t, embed = time.time(), time.time() - t
         lr = fit(x, label, c=c)
@@ -70,6 +101,9 @@ def linear_probe(model: str, encode: Callable[[DataFrame], DataFrame], train: Da
     except Exception as e:  # noqa: BLE001  an error is a row
         nan = float("nan")
         row = (model, nan, nan, [], nan, nan, "", 0, f"{type(e).__name__}: {e}")
+    finally:
+        for part in held:
+            part.unpersist()
     return spark.createDataFrame([row], RESULT)
 
 
@@ -92,3 +126,19 @@ def hashed_encoder(dim: int = 256, text: str = "text") -> Callable[[DataFrame],
         return out.withColumn("embedding", unit(vector_to_array("_counts")).cast("array<float>")).drop("_words", "_counts")
 
     return encode
+
+
+def tokenised(rows: DataFrame, tokenizer: str, most: int, text: str = "text") -> DataFrame:
+    """The rows with input_ids, at most `most` of them, and `cut`, if there were more: batches of texts by a tokenizer file of
+    the `tokenizers` library. Null texts have none. The file has to be at the same path on every executor."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", input_ids array<int>, cut boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(tokenizer)
+        for b in batches:
+            ids = [x.ids for x in own.encode_batch([x or "" for x in b[text]], add_special_tokens=False)]
+            yield b.assign(input_ids=[x[:most] for x in ids], cut=[len(x) > most for x in ids])
+
+    return rows.mapInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import or_else, prefixed, section_suffix, squash, strip_tags, truncate
+from ..functions.text import or_else, padded, prefixed, section_suffix, squash, strip_tags, truncate
 
 SCHEMA = "id string, text string, source string, citation string, type string, metadata map<string,string>"
 FIELDS = ("id", "text", "source", "citation", "type", "metadata")
@@ -97,6 +97,18 @@ def judgments(hits: DataFrame, opinions: DataFrame | None = None, max_chars: int
     )
 
 
+def display_label(meta: Column | str = "metadata") -> Column:
+    """A statute's heading, or a judgment's case name."""
+    m = F.col(meta) if isinstance(meta, str) else meta
+    return F.coalesce(F.nullif(m["heading"], F.lit("")), m["case_name"], F.lit(""))
+
+
+def hit_line(score: Column, source: Column, citation: Column, label: Column) -> Column:
+    """A retrieved record as a line of fixed places: score, source, citation and label cut to 30 and 55."""
+    cut = lambda c, n: F.left(c, F.lit(n))
+    return F.concat(F.lit("  "), F.format_number(score, 3), F.lit("  ["), padded(source, 14, left=True), F.lit("]  "), padded(cut(citation, 30), 30), F.lit("  "), cut(label, 55))
+
+
 def union_all(*corpora: DataFrame) -> DataFrame:
     """End to end, duplicates kept, columns by name."""
     out = corpora[0]

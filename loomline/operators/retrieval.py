@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import or_else, strip, truncate
 from ..functions.vectors import dot, doubles, unit
 
-HEAD = "Relevant legal context (retrieved):"
+#: Queries whose scores are held at a time, each against a shard.
+STRIP = 256
+HEAD = "Passages found for this text:"
 
 
 def top_k(corpus: DataFrame, query: list[float], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -25,6 +27,18 @@ def _blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
     return df.select("id", "v", cut.alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
 
 
+def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores the k largest and their ids, largest first, ties to the smaller id; a tie at the edge is settled among all it holds."""
+    k = min(k, score.shape[1])
+    edge = np.partition(score, -k, axis=1)[:, -k, None]
+    out, own = np.empty((len(score), k)), np.empty((len(score), k), np.int64)
+    for i, reach in enumerate(score >= edge):
+        at = np.flatnonzero(reach)
+        at = at[np.lexsort((ids[at], -score[i, at]))[:k]]
+        out[i], own[i] = score[i, at], ids[at]
+    return out, own
+
+
 def top_k_join(
     corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "vec_id", query_vec: str = "embedding", shard_rows: int = 16384, block_rows: int = 4096,
 ) -> DataFrame:
@@ -35,15 +49,15 @@ def top_k_join(
     n, m = max(1, -(-x.count() // shard_rows)), max(1, -(-q.count() // block_rows))
     x, q = _blocks(x, "shard", n, "block", m), _blocks(q, "block", m, "shard", n)
 
-    def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        if not queries.num_rows or not vectors.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["query_id", "id", "score"])
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         flat = lambda t: np.stack(t.column("v").to_numpy())
-        ids = vectors.column("id").to_numpy()
-        order = np.argsort(ids)
-        ids, scores = ids[order], flat(queries) @ flat(vectors)[order].T
-        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pa.table([pa.array(np.repeat(queries.column("id").to_numpy(), keep.shape[1])), pa.array(ids[keep].ravel()), pa.array(np.take_along_axis(scores, keep, 1).ravel())], names=["query_id", "id", "score"])
+        rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and vectors.num_rows:
+            own, q, x, ids = queries.column("id").to_numpy(), flat(queries), flat(vectors), vectors.column("id").to_numpy()
+            for lo in range(0, len(own), STRIP):
+                score, found = best_rows(q[lo : lo + STRIP] @ x.T, ids, k)
+                rows.append((np.repeat(own[lo : lo + STRIP], found.shape[1]), found.ravel(), score.ravel()))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["query_id", "id", "score"])
 
     hits = q.groupBy("shard", "block").cogroup(x.groupBy("shard", "block")).applyInArrow(run, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))

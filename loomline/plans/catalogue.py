@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import classify, metrics, probe, records, retrieval
-from ..sources import files
+from ..sources import files, parsers
 from ..sources.parsers import HtmlRules
 
 SPACES = tx.SPACES
@@ -83,15 +83,70 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.squash(tx.strip_tags("html")).alias("body"))
 
 
-@query(f"""SELECT page_id, trim(regexp_replace(coalesce(CASE WHEN length(text) < 1000 THEN nullif(text, '') END, regexp_replace(html, '<[^>]+>', ' ', 'g')), '{SPACES}', ' ', 'g'), ' ') AS body
+@query(f"""SELECT page_id, trim(regexp_replace(coalesce(CASE WHEN lang = 'en' THEN nullif(text, '') END, regexp_replace(html, '<[^>]+>', ' ', 'g')), '{SPACES}', ' ', 'g'), ' ') AS body
 FROM pages LEFT JOIN documents ON page_id = doc_id""")
 def opinion_text_fallback(spark, sf_dir):
-    p, d = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    """English documents stand in for plain texts; without one, the page's tags are stripped."""
+    p, d = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = p.join(d, F.col("page_id") == F.col("doc_id"), "left")
-    plain = F.when(F.length("text") < 1000, F.col("text"))
+    plain = F.when(F.col("lang") == "en", F.col("text"))
     return rows.select("page_id", records.opinion_text(plain, F.lit(""), F.col("html")).alias("body"))
 
 
+#: Letters, digits and plain punctuation of a text: what XML and HTML hold without escapes.
+_CLEAN = "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g')"
+
+
+def _clean() -> Column:
+    return F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,]", " ")
+
+
+def _tight(sql: str) -> str:
+    return f"trim(regexp_replace({sql}, '{SPACES}', ' ', 'g'), ' ')"
+
+
+def _cut(sql: str, most: int) -> str:
+    return f"CASE WHEN length({sql}) > {most} THEN regexp_replace(left({sql}, {most - 1}), '{SPACES}$', '') || '…' ELSE {sql} END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, doc_id % 50 AS t, source, {_tight("'§ ' || doc_id || '. ' || source || ' ' || " + _CLEAN)} AS body FROM documents)
+SELECT 'usc-' || t || '-' || doc_id AS id, t || ' U.S.C. § ' || doc_id || '. ' || source || chr(10) || chr(10) || body AS text, t || ' U.S.C. § ' || doc_id AS citation, source AS heading FROM x""")
+def code_xml_records(spark, sf_dir):
+    """Documents as sections of a code in XML, parsed again: the number and heading are heads, the body is all text."""
+    n = F.col("doc_id").cast("string")
+    parts = ["<c:doc xmlns:c='urn:x'><c:title><c:num>Title ", (F.col("doc_id") % 50).cast("string"), "</c:num><c:section><c:num>§ ", n, ".</c:num><c:heading>", F.col("source"), "</c:heading><c:p>", _clean(), "</c:p></c:section><c:section><c:num></c:num></c:section></c:title></c:doc>"]
+    rows = table(spark, sf_dir, "documents").select(n.alias("path"), F.encode(_joined(parts), "utf-8").alias("content"))
+    return records.code_sections(files.code_rows(rows)).select("id", "text", "citation", F.col("metadata")["heading"].alias("heading"))
+
+
+def _joined(parts: list[str | Column]) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, source, {_tight("doc_id || ' ' || " + _CLEAN)} AS body FROM documents)
+SELECT 'uk-ukpga-2000-' || doc_id || '-s' || doc_id AS id, 'Act of ' || source || ', s.' || doc_id || '. ' || source || lang || chr(10) || chr(10) || body AS text,
+'Act of ' || source || ', s.' || doc_id AS citation, 'https://www.legislation.gov.uk/ukpga/2000/' || doc_id || '/section/' || doc_id AS url FROM x""")
+def act_xml_records(spark, sf_dir):
+    """Documents as sections of acts in XML, parsed again: own numbers only, headings of the group, no schedules."""
+    n = F.col("doc_id").cast("string")
+    parts = [
+        f"<L xmlns='{parsers.LEGISLATION}' xmlns:dc='{parsers.DUBLIN_CORE}'><dc:title> Act  of ", F.col("source"), "</dc:title><Body><P1group><Title>", F.col("source"), "<E>", F.col("lang"), "</E></Title><P1><Pnumber>", n, "</Pnumber><P>",
+        _clean(), "</P></P1></P1group><P1><P><Pnumber>7</Pnumber></P></P1></Body><Schedule><P1><Pnumber>9</Pnumber><P>out</P></P1></Schedule></L>",
+    ]
+    rows = table(spark, sf_dir, "documents").select(F.lit("ukpga").alias("act_type"), F.lit(2000).alias("year"), F.col("doc_id").cast("int").alias("number"), F.encode(_joined(parts), "utf-8").alias("body"))
+    return records.act_sections(files.acts_xml(rows)).select("id", "text", "citation", F.col("metadata")["url"].alias("url"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, source || ' & ' || lang AS heading, ltrim({_CLEAN} || chr(10) || 'end', ' ' || chr(10)) AS body FROM documents)
+SELECT 'x-sec' || doc_id AS id, lang || ' U.S.C. § ' || doc_id || '. ' || heading || chr(10) || chr(10) || body AS text, heading FROM x""")
+def code_html_records(spark, sf_dir):
+    """Documents as section pages, parsed again: entities, classes and line ends."""
+    parts = ["<html><h3>no</h3><h3 class='section-head'>", F.col("source"), " &amp; ", F.col("lang"), "</h3><p class='statutory-body-1em'>", _clean(), "</p><p class='note'>x</p><p class='statutory-body'>end</p></html>"]
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("x-sec"), F.col("doc_id").cast("string")).alias("granule_id"), F.col("lang").alias("title"), F.lit(2023).alias("year"), _joined(parts).alias("html"))
+    rows = files.html_sections(d, "granule_id", "html", keep=("title", "year")).withColumnRenamed("id", "granule_id")
+    return records.code_granules(rows).select("id", "text", F.col("metadata")["heading"].alias("heading"))
+
+
 @query("""SELECT 'sec' || doc_id AS id, lang || ' U.S.C. § ' || doc_id || '. ' || source || chr(10) || chr(10) || text AS text, 'us_code' AS source,
 lang || ' U.S.C. § ' || doc_id AS citation, 'statute' AS type, source AS heading, 'USCODE-2023-title' || lang AS package_id FROM documents WHERE text <> ''""")
 def record_build(spark, sf_dir):
@@ -124,12 +179,22 @@ def full_body_count(spark, sf_dir):
     return records.full_bodies(table(spark, sf_dir, "documents").select(F.create_map(F.lit("fetched_full_body"), flag).alias("metadata")))
 
 
-@query("SELECT d.doc_id, coalesce(nullif(CASE WHEN l.quality = 1 THEN d.text ELSE '' END, ''), left(d.text, 80)) AS body, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query(f"""WITH x AS (SELECT doc_id, source, lang, CASE lang WHEN 'fr' THEN '' ELSE {_tight("coalesce(CASE WHEN lang = 'en' THEN nullif(text, '') END, regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g'))")} END AS body,
+  {_tight("left(text, 80)")} AS snippet FROM documents), y AS (SELECT *, coalesce(nullif(body, ''), snippet) AS chosen FROM x)
+SELECT 'cl-op-' || doc_id AS id, source || ' (Ct, 2020-01-01)' || chr(10) || chr(10) || {_cut("chosen", 8000)} AS text, lang AS citation, (body <> '')::VARCHAR AS fetched, 'https://www.courtlistener.com/o/' || doc_id AS url
+FROM y WHERE chosen <> ''""")
 def snippet_left_join(spark, sf_dir):
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")
-    rows = d.join(lab, F.col("doc_id") == F.col("l_id"), "left")
-    full = F.when(F.col("quality") == 1, F.col("text")).otherwise("")
-    return rows.select("doc_id", tx.or_else(full, F.left("text", F.lit(80))).alias("body"), F.col("l_id").isNotNull().alias("labelled"))
+    """Documents as search hits with snippets; but for the French ones an opinion is there too, as text or marked up."""
+    d = table(spark, sf_dir, "documents")
+    n, none = F.col("doc_id").cast("string"), F.lit("")
+    hits = d.select(
+        F.col("doc_id").alias("position"), F.array(F.struct(n.alias("id"), F.left("text", F.lit(80)).alias("snippet"))).alias("opinions"), F.col("source").alias("caseName"), none.alias("caseNameFull"), F.col("lang").alias("citation"),
+        none.alias("court"), none.alias("court_id"), F.lit("Ct").alias("court_citation_string"), F.lit("2020-01-01").alias("dateFiled"), none.alias("docketNumber"), none.alias("cluster_id"), F.concat(F.lit("/o/"), n).alias("absolute_url"),
+    )
+    html = F.concat(F.lit("<p>"), "text", F.lit("</p>"))
+    opinions = d.where("lang <> 'fr'").select(n.alias("id"), F.when(F.col("lang") == "en", F.col("text")).alias("plain_text"), none.alias("html_with_citations"), html.alias("html"), none.alias("author_str"), none.alias("page_count"))
+    meta = F.col("metadata")
+    return records.judgments(hits, opinions).select("id", "text", "citation", meta["fetched_full_body"].alias("fetched"), meta["absolute_url"].alias("url"))
 
 
 @query("SELECT doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END::INTEGER AS label FROM documents")
@@ -215,24 +280,23 @@ def clamp_confidence(spark, sf_dir):
 
 @query(f"""WITH h AS (SELECT source AS query_id, doc_id, text, lang, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 l AS (SELECT query_id, rank, replace(regexp_replace(text, '^{SPACES}|{SPACES}$', '', 'g'), chr(10), ' ') AS s, lang FROM h WHERE rank <= 5),
-x AS (SELECT query_id, rank, '[' || rank || '] (' || lang || '): "' || CASE WHEN length(s) > 600 THEN regexp_replace(left(s, 599), '{SPACES}$', '') || '…' ELSE s END || '"' AS line FROM l)
-SELECT query_id, 'Relevant legal context (retrieved):' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM x GROUP BY query_id""")
+x AS (SELECT query_id, rank, '[' || rank || '] (' || lang || '): "' || {_cut("s", 600)} || '"' AS line FROM l)
+SELECT query_id, '{retrieval.HEAD}' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS context FROM x GROUP BY query_id""")
 def context_block(spark, sf_dir):
     """The five longest documents of each source stand in for hits."""
-    d = table(spark, sf_dir, "documents")
-    hits = records.first_of_group(d, ["source"], [F.col("n_chars").desc(), "doc_id"], 5)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
-    rows = hits.select(F.col("source").alias("query_id"), rank.alias("rank"), F.lit("").alias("citation"), F.col("lang").alias("source"), "text")
-    return retrieval.context_blocks(rows)
+    hits = table(spark, sf_dir, "documents").withColumn("rank", rank).where("rank <= 5")
+    return retrieval.context_blocks(hits.select(F.col("source").alias("query_id"), "rank", F.lit("").alias("citation"), F.col("lang").alias("source"), "text"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id""")
+@query(f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, 'system' AS role, {len(classify.RULES)} AS size, CASE WHEN coalesce(before, '') = '' THEN text ELSE before || chr(10) || chr(10) || '{classify.ASK}' || chr(10) || chr(10) || text END AS prompt FROM c""")
 def prompt_messages(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("m", F.struct("turn", "role", "text"))
-    g = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list("m")).alias("chat"))
-    return g.select("conv_id", "turns", F.array_join(F.transform("chat", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("prompt"))
+    """Each row of conversations as a request, the row before it as its context."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").withColumn("before", before)
+    chat = classify.messages(classify.user_message(F.col("text"), F.col("before")))
+    return c.withColumn("chat", chat).select("conv_id", "turn", F.col("chat")[0]["role"].alias("role"), F.length(F.col("chat")[0]["content"]).alias("size"), F.col("chat")[1]["content"].alias("prompt"))
 
 
 @query()
@@ -256,12 +320,91 @@ def parse_llm_json(spark, sf_dir):
 @query()
 def linear_probe(spark, sf_dir):
     """Fit on the train part, predict the test part: label, prediction, its probability."""
-    s = probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    s = probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id").persist()
     model = probe.fit(s.where("split = 'train'"))
     out = probe.predict(model, s.where("split = 'test'"))
     return out.select("vec_id", "label", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
 
 
+@query("""SELECT doc_id, source AS truth, CASE WHEN n_chars % 2 = 0 THEN 'src0' ELSE 'src1' END AS pred, n_chars % 2 / 2 AS conf,
+source IN ('src0', 'src1') AND source = CASE WHEN n_chars % 2 = 0 THEN 'src0' ELSE 'src1' END AS correct FROM documents WHERE source IN ('src0', 'src1', 'src2')""")
+def prediction_frame(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source in ('src0', 'src1', 'src2')")
+    even = F.col("n_chars") % 2 == 0
+    said = d.select("doc_id", "text", F.when(even, "src0").otherwise("src1").alias("label"), (F.col("n_chars") % 2 / 2).alias("confidence"), F.lit("").alias("reasoning"))
+    truth = d.select("doc_id", F.substring("source", 4, 2).cast("int").alias("label"))
+    return classify.with_truth(said, truth, "doc_id", ("src0", "src1", "src2")).select("doc_id", "truth", "pred", "conf", "correct")
+
+
+_RESULTS = "SELECT source AS model, avg(n_chars) / 10000 AS v, min(n_chars) AS low, max(n_chars) AS high, count(*) AS n FROM documents GROUP BY source"
+
+
+def _results(spark, sf_dir):
+    """A source stands in for a model; one with few rows failed."""
+    r = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("model")).agg((F.avg("n_chars") / 10000).alias("macro_f1"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.count("*").alias("n"))
+    bad = F.col("low") % 3 == 0
+    return r.select(
+        "model", "macro_f1", F.lit(0.5).alias("accuracy"), F.array().cast("array<double>").alias("per_class_f1"), (F.col("high") / 7).alias("embed_seconds"), (F.col("low") / 7).alias("fit_seconds"),
+        F.col("n").alias("dim"), F.when(bad, "failed").alias("error"), F.concat(F.lit("report of "), "model").alias("report"), (F.col("n") % 2 == 0).alias("trust"),
+    )
+
+
+_ROUND = lambda x, n: f"round_even(({x})::DECIMAL(18, 8), {n})::DOUBLE"
+
+
+@query(f"""WITH r AS ({_RESULTS})
+SELECT model, CASE WHEN low % 3 = 0 THEN NULL ELSE {_ROUND("high / 7", 1)} END AS embed_s, CASE WHEN low % 3 = 0 THEN NULL ELSE {_ROUND("low / 7", 3)} END AS fit_s, n AS dim, CASE WHEN low % 3 = 0 THEN 'failed' END AS error FROM r""")
+def probe_rows(spark, sf_dir):
+    return metrics.probe_rows(_results(spark, sf_dir)).select("model", "embed_s", "fit_s", "dim", "error")
+
+
+@query(f"""WITH r AS ({_RESULTS}) SELECT model, 'report of ' || model AS report, n % 2 = 0 AS trust FROM r WHERE low % 3 <> 0 ORDER BY {_ROUND("v", 4)} DESC, model LIMIT 1""")
+def winner_report(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return metrics.of_winner(metrics.leaderboard(r), r.select("model", "report", "trust"))
+
+
+@query("""WITH e AS (SELECT source AS model, (doc_id % 5)::BIGINT AS epoch, max(n_chars // 100) AS macro_f1 FROM documents GROUP BY 1, 2)
+SELECT model, epoch, macro_f1::DOUBLE AS macro_f1 FROM e QUALIFY row_number() OVER (PARTITION BY model ORDER BY macro_f1 DESC, epoch) = 1""")
+def best_epoch(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    e = d.groupBy(F.col("source").alias("model"), (F.col("doc_id") % 5).alias("epoch")).agg(F.max(F.floor(F.col("n_chars") / 100)).cast("double").alias("macro_f1"))
+    return metrics.best_epoch(e)
+
+
+@query("""SELECT doc_id, regexp_matches(text, '(?i)\\b(the|para|nicht\\s+sch|des)\\b') AS hit FROM documents""".replace("\\\\", "\\"))
+def boolean_text_query(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.any_word("text", 'the OR para OR "nicht sch" OR des').alias("hit"))
+
+
+@query("""SELECT doc_id, source AS got, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS explicit, '' AS missing, 'lang' AS back, 2 AS size, CASE WHEN lang = 'en' THEN source ELSE 'head ' || lang END AS label FROM documents""")
+def map_functions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    m = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.when(F.col("lang") != "en", F.col("lang")))
+    meta = F.create_map(F.lit("heading"), F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("head "), "lang")), F.lit("case_name"), F.col("source"))
+    back = tx.inverted(F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")))[F.col("lang")]
+    return d.select("doc_id", tx.map_get(m, "source").alias("got"), tx.map_get(m, "lang").alias("explicit"), tx.map_get(m, "none").alias("missing"), back.alias("back"), F.size(m).alias("size"), records.display_label(meta).alias("label"))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM x)
+SELECT vec_id, list_transform(e, lambda x: round(x / list_sum(e), 9)) AS p FROM m""")
+def softmax(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vx.softmax("embedding"), lambda x: F.round(x, 9)).alias("p"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(url, '[0-9]+', 0), '') AS digits, rtrim(ltrim(url, 'htps:/'), 'hlmt.x') AS trimmed, 'https' || '__' AS folder, 'u:' || url AS prefixed, rpad(left(url, 12), 12, ' ') AS padded FROM pages""")
+def text_functions(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", tx.first_digits(url).alias("digits"), tx.trim_chars(url, "htps:/", "hlmt.x").alias("trimmed"), tx.folder_name(F.lit("https/")).alias("folder"), tx.prefixed("u:", url).alias("prefixed"), tx.padded(F.left(url, F.lit(12)), 12).alias("padded"))
+
+
+@query("""SELECT doc_id, string_split(text, ' ')[4:] AS answer FROM documents WHERE text IS NOT NULL""")
+def after_prompt(spark, sf_dir):
+    words = F.split("text", " ")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", classify.after_prompt(words, F.slice(words, 1, 3)).alias("answer"))
+
+
 def conversation_prompts(spark, sf_dir):
     """conv_id, turn, text, context of every row of conversations, retrieved from the benchmark texts. A hash of the row is
     the query's id; rows that repeat are asked once and share their hits."""

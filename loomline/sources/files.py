@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from ..operators.records import SCHEMA
 from . import parsers
 
-#: Labels as the classes of the examples: 0 no, 1 yes, 2 unclear.
+#: Made-up examples. Labels as the classes: 0 no, 1 yes, 2 unclear.
 SAMPLE = (
-    ("A man took a parcel from a doorstep and sold what was in it.", 1), ("She filled in the form and posted it on time.", 0),
-    ("Voices were raised behind the door late at night.", 2), ("He copied a signature onto a cheque and cashed it.", 1),
-    ("They planted two trees in the school garden.", 0), ("Something happened at the yard, but nobody says what.", 2),
+    ("The bakery opens at six and sells out of rye by nine.", 0), ("Our train was late, so we walked along the canal.", 0), ("A letter arrived that should not have been opened.", 2),
+    ("The cashier kept two twenties from the till each Friday.", 1), ("The dog next door barked at the postman.", 0), ("She set the rival's delivery van alight.", 1),
+    ("Money changed hands before the vote, or so people say.", 2), ("He sold tickets to a concert that never existed.", 1), ("The gate was open, the horse gone.", 2), ("We repainted the hall in pale green.", 0),
 )
 
 
+#: The spellings that pandas' CSV reader takes for a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def labelled_csv(spark: SparkSession, path: str, text_col: str = "text", label_col: str = "label", num_labels: int = 3) -> DataFrame:
-    """text, label. Rows that lack either are dropped; a label that is no number, or out of range, is an error."""
+    """text, label. Rows that lack either, or hold one of MISSING, are dropped; a label that is no number, or out of range, is an error."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
-    rows = raw.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).dropna()
+    some = lambda c: F.when(~F.col(c).isin(*MISSING), F.col(c))
+    rows = raw.select(some(text_col).alias("text"), some(label_col).alias("label")).dropna()
     return checked_labels(rows.select("text", F.col("label").cast("double").cast("int").alias("label")), num_labels)
 
 
@@ -65,8 +70,12 @@ ACT_ROWS = "act_type string, year int, number int, position int, act_title strin
 
 def code_xml(spark: SparkSession, path: str, title: str | None = None) -> DataFrame:
     """A file, or a folder's *.xml, of a code in XML -> a row a section; order by path and position for document order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select("path", "content")
-    return _parsed(files, CODE_ROWS, lambda p, content: ((p, i, *row) for i, row in enumerate(parsers.code_sections(bytes(content), title))))
+    return code_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path), title)
+
+
+def code_rows(documents: DataFrame, title: str | None = None) -> DataFrame:
+    """path, content (XML bytes) -> a row a section."""
+    return _parsed(documents.select("path", "content"), CODE_ROWS, lambda p, content: ((p, i, *row) for i, row in enumerate(parsers.code_sections(bytes(content), title))))
 
 
 def acts_xml(acts: DataFrame, max_sections: int | None = None) -> DataFrame:
@@ -75,10 +84,17 @@ def acts_xml(acts: DataFrame, max_sections: int | None = None) -> DataFrame:
     return out if max_sections is None else out.where(F.col("position") < max_sections)
 
 
-def html_sections(pages: DataFrame, id_col: str, html_col: str, rules: parsers.HtmlRules = parsers.HtmlRules()) -> DataFrame:  # noqa: B008
-    """id, heading, body of each page."""
-    schema = "id long, heading string, body string" if dict(pages.dtypes)[id_col] in ("bigint", "int") else "id string, heading string, body string"
-    return _parsed(pages.select(id_col, html_col), schema, lambda i, html: [(i, *parsers.html_section(html or "", rules))])
+def html_sections(pages: DataFrame, id_col: str, html_col: str, rules: parsers.HtmlRules = parsers.HtmlRules(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """id, heading, body of each page, and the columns to keep."""
+    rows = pages.select(F.col(id_col).alias("id"), *keep, html_col)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parsed = [parsers.html_section(x or "", rules) for x in b.iloc[:, -1]]
+            yield b.iloc[:, :-1].assign(heading=[h for h, _ in parsed], body=[x for _, x in parsed])
+
+    return rows.mapInPandas(run, f"{kinds}, heading string, body string")
 
 
 def present_or(spark: SparkSession, path: str, build) -> DataFrame:

@@ -10,28 +10,24 @@ from pyspark.sql import SparkSession
 from . import files, remote
 
 
+#: The command's interface, its flags with their defaults and choices.
+OPTIONS: dict[str, dict[str, dict]] = {
+    "us-code": {"titles": {"nargs": "*", "default": ["18"]}, "year": {"type": int, "default": 2023}, "api-key": {}, "max-sections": {"type": int}, "xml": {}},
+    "courtlistener": {
+        "query": {"default": remote.DEFAULT_QUERY}, "court": {}, "max-docs": {"type": int, "default": 50}, "api-token": {},
+        "order-by": {"choices": ["score desc", "dateFiled desc"], "default": "score desc"}, "snippets-only": {"action": "store_true"}, "max-chars": {"type": int, "default": 8000},
+    },
+    "uk": {"statutes": {"nargs": "*"}, "max-sections-per-act": {"type": int}},
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomline.sources.ingest", description=__doc__)
     sub = p.add_subparsers(dest="source", required=True)
-    c = sub.add_parser("us-code")
-    c.add_argument("--titles", nargs="*", default=["18"])
-    c.add_argument("--year", type=int, default=2023)
-    c.add_argument("--api-key")
-    c.add_argument("--max-sections", type=int)
-    c.add_argument("--xml")
-    j = sub.add_parser("courtlistener")
-    j.add_argument("--query", default=remote.DEFAULT_QUERY)
-    j.add_argument("--court")
-    j.add_argument("--max-docs", type=int, default=50)
-    j.add_argument("--api-token")
-    j.add_argument("--order-by", choices=["score desc", "dateFiled desc"], default="score desc")
-    j.add_argument("--snippets-only", action="store_true")
-    j.add_argument("--max-chars", type=int, default=8000)
-    u = sub.add_parser("uk")
-    u.add_argument("--statutes", nargs="*")
-    u.add_argument("--max-sections-per-act", type=int)
-    for s in (c, j, u):
-        s.add_argument("--out", required=True)
+    for source, options in OPTIONS.items():
+        own = sub.add_parser(source)
+        for flag, how in (options | {"out": {"required": True}}).items():
+            own.add_argument(f"--{flag}", **how)
     return p
 
 

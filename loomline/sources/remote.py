@@ -1,7 +1,8 @@
-"""Remote sources: a fetch stage lands raw bodies, DataFrame stages parse them. The transport is a parameter.
+"""Remote sources. Listings and searches are rows that a task follows page after page (one partition a package or
+query); what they and the fetches bring is landed once as a table, and DataFrame stages parse the table.
 
-transport(url, params, headers) -> (status, headers, body bytes). Only status 429 is tried again; other failures by
-status skip the row, failures of the connection end the job."""
+transport(url, params, headers) -> (status, headers, body bytes), and goes to the executors. Only status 429 is tried
+again; other failures by status skip the row, failures of the connection, or of a listing, end the job."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records
 from . import files
+from .landing import landed
 
 Transport = Callable[[str, dict | None, dict], tuple[int, dict, bytes]]
 
@@ -52,7 +54,7 @@ def get(transport: Transport, url: str, params: dict | None = None, headers: dic
 
 
 def fetch(rows: DataFrame, url: str = "url", transport: Transport = http, params: dict | None = None, headers: dict | None = None, pause: float = 0.0, at_once: int = 4) -> DataFrame:
-    """The rows with status and body; the connections at once are bounded by the partitions. Land the result before it is used twice."""
+    """The rows with status and body, landed: a row is one request. The connections at once are bounded by the partitions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -63,29 +65,51 @@ def fetch(rows: DataFrame, url: str = "url", transport: Transport = http, params
                     time.sleep(pause)
             yield b.assign(status=[s for s, _ in got], body=[x for _, x in got])
 
-    return rows.coalesce(at_once).mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", status int, body binary")
+    out = rows.repartition(at_once).mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", status int, body binary")
+    return landed(out, "bodies")
+
+
+def paged(jobs: DataFrame, pages: Callable[..., Iterator[dict]]) -> DataFrame:
+    """A row of `jobs` is a listing that a task of its own follows: its columns, position, and raw (JSON) of each entry of
+    pages(*row), page after page. Landed, so no page is asked for twice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for job in b.itertuples(index=False):
+                rows = [(*job, i, json.dumps(entry)) for i, entry in enumerate(pages(*job))]
+                yield pd.DataFrame(rows, columns=[*b.columns, "position", "raw"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in jobs.dtypes)
+    spread = jobs.repartitionByRange(max(1, jobs.count()), *jobs.columns)
+    return landed(spread.mapInPandas(run, f"{kinds}, position int, raw string"), "listing")
 
 
 def _ok(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("status").between(200, 299))
 
 
-def granules(package: str, key: str, transport: Transport = http, page: int = 100) -> Iterator[dict]:
-    """The leaves of a package, page after page."""
-    url, params = f"{CODE_API}/packages/{package}/granules", {"pageSize": page, "offsetMark": "*", "api_key": key}
-    while url:
-        status, body = get(transport, url, params)
-        if not 200 <= status < 300:
-            raise OSError(f"{url}: status {status}")
-        data = json.loads(body)
-        yield from (g for g in data.get("granules", []) if g.get("granuleClass") == "LEAF")
+def _json(transport: Transport, url: str, params: dict | None, headers: dict | None = None) -> dict:
+    status, body = get(transport, url, params, headers)
+    if not 200 <= status < 300:
+        raise OSError(f"{url}: status {status}")
+    return json.loads(body)
+
+
+def granules(package: str, key: str, most: int | None = None, transport: Transport = http, page: int = 100) -> Iterator[dict]:
+    """The leaves of a package, page after page, up to `most`."""
+    url, params, left = f"{CODE_API}/packages/{package}/granules", {"pageSize": page, "offsetMark": "*", "api_key": key}, most
+    while url and left != 0:
+        data = _json(transport, url, params)
+        leaves = [g for g in data.get("granules", []) if g.get("granuleClass") == "LEAF"][:left]
+        yield from leaves
+        left = None if left is None else left - len(leaves)
         url, params = data.get("nextPage"), {"api_key": key}
 
 
 def _granule_records(rows: DataFrame) -> DataFrame:
     """granule_id, title, year, fallback, status, body -> records; no heading in the page: the listing's title."""
-    parsed = files.html_sections(_ok(rows).select("granule_id", F.decode("body", "utf-8").alias("html")), "granule_id", "html")
-    out = rows.select("granule_id", "title", "year", "fallback").join(parsed, F.col("granule_id") == F.col("id")).drop("id")
+    pages = _ok(rows).select("granule_id", "title", "year", "fallback", F.decode("body", "utf-8").alias("html"))
+    out = files.html_sections(pages, "granule_id", "html", keep=("title", "year", "fallback")).withColumnRenamed("id", "granule_id")
     return records.code_granules(out.withColumn("heading", F.coalesce(F.nullif("heading", F.lit("")), "fallback", F.lit(""))))
 
 
@@ -98,41 +122,51 @@ def code_sections(spark: SparkSession, granule_ids: list[str], year: int = 2023,
 
 def code(spark: SparkSession, titles: tuple[str, ...] = ("18",), year: int = 2023, key: str | None = None, max_sections: int | None = None, xml: str | None = None, transport: Transport = http) -> DataFrame:
     """All sections of some titles: from local XML, or by listing and fetching. max_sections bounds what is fetched of
-    each title by what earlier ones have written, so a failed fetch isn't made up for."""
+    each title by what earlier ones have written, so a failed fetch isn't made up for; then titles come one after the other."""
     if xml is not None:
         return records.code_sections(files.code_xml(spark, xml))
     from .settings import setting
 
     key = key or setting("GOVINFO_API_KEY", "DEMO_KEY")
-    out, left = None, max_sections
+    out = spark.createDataFrame([], records.SCHEMA)
+
+    def part(some: tuple[str, ...], most: int | None) -> DataFrame:
+        jobs = spark.createDataFrame([(t, f"USCODE-{year}-title{t}") for t in some], "title string, package string")
+        listed = paged(jobs, lambda _, package: granules(package, key, most, transport))
+        g = F.from_json("raw", "granuleId string, title string")
+        url = F.concat(F.lit(f"{CODE_API}/packages/"), "package", F.lit("/granules/"), g["granuleId"], F.lit("/htm"))
+        rows = listed.select(g["granuleId"].alias("granule_id"), "title", F.lit(year).alias("year"), F.coalesce(g["title"], F.lit("")).alias("fallback"), url.alias("url"))
+        return _granule_records(fetch(rows, transport=transport, params={"api_key": key}))
+
+    if max_sections is None:
+        return part(tuple(titles), None) if titles else out
+    left = max_sections
     for title in titles:
-        package = f"USCODE-{year}-title{title}"
-        if left is not None and left <= 0:
+        if left <= 0:
             break
-        listed = [g for _, g in zip(range(left), granules(package, key, transport), strict=False)] if left is not None else list(granules(package, key, transport))
-        rows = [(g["granuleId"], title, year, g.get("title", ""), f"{CODE_API}/packages/{package}/granules/{g['granuleId']}/htm") for g in listed]
-        part = _granule_records(fetch(spark.createDataFrame(rows, "granule_id string, title string, year int, fallback string, url string"), transport=transport, params={"api_key": key}))
-        if left is not None:
-            left -= part.count()
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], records.SCHEMA)
+        got = landed(part((title,), left), "records")
+        left -= got.count()
+        out = out.unionByName(got)
+    return out
 
 
-HIT = """position int, opinions array<struct<id:string,snippet:string>>, caseName string, caseNameFull string, citation string, court string, court_id string,
+HIT = """opinions array<struct<id:string,snippet:string>>, caseName string, caseNameFull string, citation string, court string, court_id string,
  court_citation_string string, dateFiled string, docketNumber string, cluster_id string, absolute_url string"""
 OPINION = "id string, plain_text string, html_with_citations string, html string, author_str string, page_count string"
 
 
 def search_hits(query: str, court: str | None, most: int, token: str | None, page: int = 20, order: str = "score desc", transport: Transport = http) -> Iterator[dict]:
-    """Hits page after page; the caller stops when it has enough."""
+    """Hits page after page, until `most` of them have a snippet: those are sure to become records."""
     url, params = f"{JUDGMENT_API}/search/", {"type": "o", "q": query, "page_size": page, "order_by": order} | ({"court": court} if court else {})
-    headers = {"Authorization": f"Token {token}"} if token else {}
-    while url:
-        status, body = get(transport, url, params, headers)
-        if not 200 <= status < 300:
-            raise OSError(f"{url}: status {status}")
-        data = json.loads(body)
-        yield from data.get("results", [])
+    headers, sure = {"Authorization": f"Token {token}"} if token else {}, 0
+    while url and sure < most:
+        data = _json(transport, url, params, headers)
+        for hit in data.get("results", []):
+            if sure >= most:
+                break
+            sure += bool(((hit.get("opinions") or [{}])[0].get("snippet") or "").strip())
+            cites = hit.get("citation")
+            yield hit | {"citation": json.dumps(cites) if isinstance(cites, list) else cites}
         url, params = data.get("next"), None
 
 
@@ -144,16 +178,10 @@ def judgments(
     from .settings import setting
 
     token = token or setting("COURTLISTENER_API_TOKEN")
-    bodies, hits, sure = full_bodies and bool(token), [], 0
-    for h in search_hits(query, court, max_docs, token, page_size, order_by, transport):
-        if sure >= max_docs:
-            break
-        first = (h.get("opinions") or [{}])[0]
-        sure += bool((first.get("snippet") or "").strip())
-        hits.append(h)
-    lines = [json.dumps(h | {"position": i, "citation": json.dumps(c) if isinstance(c := h.get("citation"), list) else c}) for i, h in enumerate(hits)]
-    table = spark.createDataFrame([(x,) for x in lines], "raw string").select(F.from_json("raw", HIT).alias("h")).select("h.*")
-    if not bodies:
+    jobs = spark.createDataFrame([(query, court)], "query string, court string")
+    listed = paged(jobs, lambda q, c: search_hits(q, c, max_docs, token, page_size, order_by, transport))
+    table = listed.select("position", F.from_json("raw", HIT).alias("h")).select("position", "h.*")
+    if not (full_bodies and token):
         return records.judgments(table, None, max_chars, max_docs)
     ids = table.select(F.try_element_at("opinions", F.lit(1))["id"].alias("id")).where("id is not null").distinct()
     got = _ok(fetch(ids.withColumn("url", F.concat(F.lit(f"{JUDGMENT_API}/opinions/"), "id", F.lit("/"))), transport=transport, headers={"Authorization": f"Token {token}"}, pause=pause))

@@ -39,7 +39,7 @@ def test_same_as_sql(name, spark, sf, con):
     want = sorted(repr([plain(list(r[i]) if isinstance(r[i], tuple) else r[i]) for i in at]) for r in rel.fetchall())
     assert len(got) == len(want)
     assert got == want
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<double>": "DOUBLE[]"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<double>": "DOUBLE[]", "array<string>": "VARCHAR[]"}
     assert {c: kinds[t] for c, t in df.dtypes} == dict(zip(rel.columns, map(str, rel.types), strict=True))
 
 
@@ -78,3 +78,43 @@ def test_rag_classify_takes_every_row(spark, sf, tmp_path):
         hits = [m[1] for m in re.finditer(r'^\[\d\] \(benchmark\): "(.*)"$', r.context, re.M)]
         assert len(hits) == 5
         np.testing.assert_allclose([own[at[h]] for h in hits], np.sort(own)[::-1][:5], atol=1e-9)
+
+
+def test_linear_probe_is_at_the_minimum(spark, sf):
+    """The gradient of the weighted, penalised loss vanishes at the fitted coefficients, and predictions are the model's argmax."""
+    rows = probe.stratified_split(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id").persist()
+    train, c = rows.where("split = 'train'"), 1.0
+    model = probe.fit(train, c=c)
+    got = train.select("embedding", "label").collect()
+    x, y = np.array([r.embedding for r in got], float), np.array([r.label for r in got])
+    k = model.numClasses
+    n = np.bincount(y, minlength=k)
+    w = (len(y) / ((n > 0).sum() * np.maximum(n, 1)))[y]
+    b, a = model.coefficientMatrix.toArray(), np.array(model.interceptVector)
+    z = x @ b.T + a
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    off = (p - np.eye(k)[y]) * w[:, None]
+    assert np.abs(off.T @ x + b / c).max() < 1e-2 * len(y) ** 0.5 and np.abs(off.sum(axis=0)).max() < 1e-2 * len(y) ** 0.5
+    out = catalogue.queries()["linear_probe"](spark, sf).collect()
+    test = {r.vec_id: np.array(r.embedding, float) for r in rows.where("split = 'test'").collect()}
+    assert {r.vec_id for r in out} == set(test) and all(int(np.argmax(test[r.vec_id] @ b.T + a)) == r.prediction for r in out)
+
+
+def test_html_sections_of_pages(spark, sf):
+    """Headings and paragraphs of the pages by regular expressions over their source."""
+    from html import unescape
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in catalogue.queries()["html_sections"](spark, sf).collect():
+        html = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "", pages[r.id])
+        heads = "".join(re.sub(r"<[^>]*>", "", m) for m in re.findall(r"(?is)<h1\b[^>]*>(.*?)</h1>", html))
+        assert r.heading == " ".join(unescape(heads).split())
+        depth, head, inside = 0, False, []
+        for part in re.split(r"(<[^>]*>)", html):
+            tag = re.match(r"<(/?)(\w+)", part)
+            name, closing = (tag[2].lower(), bool(tag[1])) if tag else ("", False)
+            head = not closing if name == "h1" else head
+            depth += (-1 if depth else 0) if name == "p" and closing else name == "p"
+            inside += [unescape(part)] * (not part.startswith("<") and depth > 0 and not head)
+        assert "".join(r.body.split()) == "".join("".join(inside).split())

@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -128,6 +129,46 @@ def test_probe(spark):
     assert board[0].model == "hashed" and board[0].macro_f1 == 1.0 and board[1].macro_f1 is None and board[1].error
 
 
+def test_split_by_ranges(spark):
+    """Any number of ranges gives the same rows as a rank over whole classes; a class may be test rows whole, a label null."""
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "b" if i % 10 else "a", 1, 2) for i in range(500)], "id int, label string, n int, _range int").drop("_range")
+    out = [{r.id for r in probe.stratified_split(rows, "id", bits=b).where("split = 'test'").collect()} for b in (1, 4, 12)]
+    assert out[0] == out[1] == out[2] and len(out[0]) == 165
+    quota = {r.label: r.n_test for r in probe.quotas(rows).collect()}
+    kinds = {r.id: r.label for r in rows.collect()}
+    assert Counter(kinds[i] for i in out[0]) == Counter(quota)
+
+
+def test_a_model_is_kept_with_its_labels(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(20)], "id int, embedding array<double>, label int")
+    model = probe.fit(rows)
+    probe.save(model, ("no", "yes"), str(tmp_path / "m"))
+    back, names = probe.load(spark, str(tmp_path / "m"))
+    said = lambda m: [(r.id, r.prediction, r.label_name) for r in probe.predict(m, rows, names=names).orderBy("id").collect()]
+    assert names == ("no", "yes") and said(back) == said(model) and said(back)[1][2] == "yes"
+
+
+def test_tokens_are_cut(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path = tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    rows = spark.createDataFrame([(1, "some words " * 40), (2, "a"), (3, None)], "id int, text string")
+    whole = Tokenizer.from_file(path).encode("some words " * 40, add_special_tokens=False).ids
+    out = {r.id: r for r in probe.tokenised(rows, path, 16).collect()}
+    assert out[1].input_ids == whole[:16] and out[1].cut and not out[2].cut and out[3].input_ids == []
+
+
+def test_reply_after_its_prompt(spark):
+    assert one(spark, classify.after_prompt("a", "b"), a=[1.0, 2.0, 3.0], b=[1.0, 2.0]) == [3.0] and one(spark, classify.after_prompt("a", "b"), a=[1.0], b=[1.0, 2.0]) == []
+
+
+def test_lines(spark):
+    hit = records.hit_line(F.lit(0.51234), F.lit("us_code"), F.lit("c" * 40), F.lit("label"))
+    assert one(spark, hit, a=1) == f"  0.512  [       us_code]  {'c' * 30}  label"
+    assert one(spark, tx.any_word("s", 'bank robbery OR fraud OR "tax (evasion)"'), s="A Bank  ROBBERY here") and not one(spark, tx.any_word("s", "fraud"), s="defrauded")
+
+
 CODE = b"""<u:doc xmlns:u="urn:x"><!-- note --><u:title><u:num value="18">Title 18</u:num>
 <u:section><u:num>\xc2\xa7 1111.</u:num><u:heading>Murder &amp; more</u:heading><u:p>Body</u:p> inner<u:section><u:num>2</u:num><u:p>Nested</u:p></u:section></u:section> tail
 <u:section><u:heading>No number</u:heading></u:section></u:title></u:doc>"""

@@ -1,6 +1,8 @@
 """Sources and sinks on small files, and the connectors over canned pages."""
 
 import json
+import uuid
+from collections import Counter
 
 import pytest
 from loomline.sources import files, ingest, remote, settings
@@ -75,6 +77,37 @@ def test_connectors(spark):
         remote.bailii()
 
 
+def counted(folder):
+    """The canned pages; each request leaves a file, whichever process asks."""
+    def ask(url, params, headers):
+        (folder / uuid.uuid4().hex).write_text(url)
+        return canned(url, params, headers)
+    return ask
+
+
+def requests(folder):
+    seen = Counter(p.read_text() for p in folder.iterdir())
+    for p in folder.iterdir():
+        p.unlink()
+    return seen
+
+
+def test_every_page_is_asked_for_once(spark, tmp_path):
+    ask = counted(tmp_path)
+    remote.code_sections(spark, ["a-sec1", "a-sec2", "a-sec3"], transport=ask).collect()
+    assert len(seen := requests(tmp_path)) == 3 and set(seen.values()) == {1}
+    rows = remote.code(spark, ("18",), key="k", transport=ask)
+    assert rows.count() == 2 and rows.collect()
+    assert len(seen := requests(tmp_path)) == 5 and set(seen.values()) == {1}  # two pages of the listing, three sections
+    assert remote.code(spark, ("18", "19"), key="k", max_sections=1, transport=ask).count() == 1
+    assert len(seen := requests(tmp_path)) == 2 and set(seen.values()) == {1}
+    rows = remote.judgments(spark, token="t", pause=0, transport=ask)
+    assert rows.count() == 2 and len(rows.collect()) == 2
+    assert len(seen := requests(tmp_path)) == 4 and set(seen.values()) == {1}
+    remote.acts(spark, (("ukpga", 2006, 35), ("ukpga", 1968, 60)), transport=ask).collect()
+    assert len(seen := requests(tmp_path)) == 2 and set(seen.values()) == {1}
+
+
 def test_retry():
     tries, waits = [], []
     busy = lambda url, params, headers: (tries.append(url), (429, {"Retry-After": "7"} if len(tries) == 1 else {}, b"") if len(tries) < 3 else (200, {}, b"x"))[1]
