@@ -29,7 +29,7 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
-        key.alias("key"), F.xxhash64(key, F.lit(seed + 1)).alias("turn"), F.monotonically_increasing_id().alias("row"), *carry,
+        key.alias("key"), F.xxhash64(key, F.lit(seed + 1)).alias("turn"), F.monotonically_increasing_id().alias("row"), *([F.struct(*carry).alias("carried")] if carry else []),
     )
 
 
@@ -129,7 +129,7 @@ def mix(
     """One row a document: id, size, source_size, target, taken, shards (of each of its draws, in order of passes), places (of each in its shard).
 
     blocks: of a source, by its number of rows if None; carry: more columns to hand through, no names that the result has."""
-    tree_seed = seed if tree_seed is None else tree_seed
+    tree_seed, held = seed if tree_seed is None else tree_seed, ["carried"] if carry else []
     d = materialise(sizes(docs, id_col, text_col, source_col, seed, carry), "sizes")
     d = d.withColumn("block", F.pmod("key", F.lit(blocks or blocks_for(d.count())))).drop("key")
     by_block = d.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
@@ -148,12 +148,12 @@ def mix(
     used = F.filter("dealt", lambda x: (x["whole"] | (F.col("part") > 0)) & (F.col("size") > 0))
     mixed = d.select(
         "row", "turn", "id", "size", "source_size", "target", (F.coalesce("passes", F.lit(0)) * F.col("size") + F.col("part")).cast("long").alias("taken"),
-        F.transform(F.coalesce(used, F.array().cast("array<struct<pass:int,whole:boolean,shard:int>>")), lambda x: x["shard"]).alias("shards"), *carry,
+        F.transform(F.coalesce(used, F.array().cast("array<struct<pass:int,whole:boolean,shard:int>>")), lambda x: x["shard"]).alias("shards"), *held,
     )
     mixed = materialise(mixed, "mixed")
     placed = places(mixed, seed).withColumnRenamed("row", "p")
     return mixed.join(placed, F.col("row") == F.col("p"), "left").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "taken", "shards", F.coalesce("places", F.array().cast("array<long>")).alias("places"), *carry,
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken", "shards", F.coalesce("places", F.array().cast("array<long>")).alias("places"), *(f"{c}.*" for c in held),
     )
 
 
