@@ -33,6 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -505,7 +506,7 @@ def send_contents(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: in
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SENT)
 
 
-def verdicts(sent: DataFrame, kind: Kind) -> DataFrame:
+def judge(kind: Kind) -> Callable[[pa.Table], pa.Table]:
     """Of a bucket's classes: digest, windows, and of each window if it stands more than once, and if it stands earlier."""
     head_types = (np.uint64, np.uint64, np.uint32, np.bool_, np.int32, np.int64, np.int32, np.int64)
 
@@ -537,11 +538,11 @@ def verdicts(sent: DataFrame, kind: Kind) -> DataFrame:
         bits = b"".join(np.packbits(np.concatenate(x)).tobytes() for x in ([again, later] if kind.ordered else [again]))
         return pa.Table.from_batches([_rows([(table.column("bucket")[0].as_py(), len(order), len(head).to_bytes(8, "little") + head + squeezed(bits))], VERDICT)])
 
-    return sent.groupBy("bucket").applyInArrow(run, VERDICT)
+    return run
 
 
-def dispatch(members: DataFrame, judged: DataFrame, crowds: DataFrame | None, kind: Kind) -> DataFrame:
-    """To each chunk the verdicts on its entries asked for or members, in their order."""
+def deliver(kind: Kind) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a bucket's members and verdicts: to each chunk the verdicts on its entries asked for or members, in their order."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
@@ -568,6 +569,22 @@ def dispatch(members: DataFrame, judged: DataFrame, crowds: DataFrame | None, ki
                     rows.append((chunk, own.column("bucket")[0].as_py(), BITS, False, len(out), squeezed(np.packbits(out).tobytes())))
         return pa.Table.from_batches([_rows(rows, ANSWER)])
 
+    return run
+
+
+def settled(sent: DataFrame, kind: Kind) -> DataFrame:
+    """Judged and delivered in one task a bucket; of contents and members of buckets without salts."""
+    judged, delivered = judge(kind), deliver(kind)
+
+    def run(table: pa.Table) -> pa.Table:
+        contents, members = (table.filter(pc.equal(table.column("kind"), x)) for x in (CONTENT, MEMBERS))
+        return delivered(members, judged(contents)) if contents.num_rows else pa.Table.from_batches([_rows([], ANSWER)])
+
+    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def dispatch(members: DataFrame, judged: DataFrame, crowds: DataFrame | None, kind: Kind) -> DataFrame:
+    """deliver(), with the verdicts on crowded buckets to each of their salts."""
     judged = judged.withColumn("salt", F.lit(0).cast("long"))
     if crowds is None:
         members = members.withColumn("salt", F.lit(0).cast("long"))
@@ -575,7 +592,7 @@ def dispatch(members: DataFrame, judged: DataFrame, crowds: DataFrame | None, ki
         members = members.join(crowds, "bucket", "left").withColumn("salt", salt_of(kind))
         salts = F.coalesce(F.ceil(F.col("all") / kind.crowd), F.lit(1)).cast("long")
         judged = judged.drop("salt").join(crowds, "bucket", "left").select("bucket", "n", "blob", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-    return members.select("bucket", "salt", "chunk", "n", "blob").groupBy("bucket", "salt").cogroup(judged.groupBy("bucket", "salt")).applyInArrow(run, ANSWER)
+    return members.select("bucket", "salt", "chunk", "n", "blob").groupBy("bucket", "salt").cogroup(judged.groupBy("bucket", "salt")).applyInArrow(deliver(kind), ANSWER)
 
 
 def runs_of(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -651,8 +668,12 @@ def repeated_windows(docs: DataFrame, kind: Kind, id_col: str, text_col: str) ->
         told = materialise(survey(sent, crowds, kind, level), "survey")
         known = told if known is None else known.union(told)
         heavy = not told.where("heavy").isEmpty()
-        more = materialise(send_contents(chunks, known, kind, buckets, level), "contents", "none")
-        judged = verdicts(more.where(F.col("kind") == CONTENT), kind)
+        more = send_contents(chunks, known, kind, buckets, level)
+        if crowds is None and not heavy:  # read once, so it needs no table, and finish() meets the chunks of the same exchange
+            found.append(settled(more, kind))
+            break
+        more = materialise(more, "contents", "none")
+        judged = more.where(F.col("kind") == CONTENT).groupBy("bucket").applyInArrow(judge(kind), VERDICT)
         found.append(dispatch(more.where(F.col("kind") == MEMBERS), judged, crowds, kind))
         if not heavy:
             break
