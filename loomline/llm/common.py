@@ -34,16 +34,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Texts of a batch that goes to Python.
+TEXTS = 1024
 #: Tables written by this process, for sweep().
 WRITTEN: list[str] = []
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, compression: str = "zstd", arrow_rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors. arrow_rows: rows of a batch that
+    goes to Python in this write, fewer than the session's for rows with whole texts."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     WRITTEN.append(path)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, arrow_rows or before)
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

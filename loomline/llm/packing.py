@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import TEXTS, materialise
 from .tokens import encoder
 
 PIECE = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -106,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces", arrow_rows=TEXTS)
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))

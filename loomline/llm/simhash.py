@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut_words, materialise
+from .common import TEXTS, connected_components, cut_words, materialise
 
 
 def fingerprint(text: str | bytes | None, width: int = 4) -> bytes:
@@ -164,13 +164,13 @@ def near_components(marked: DataFrame, bits: int = 4, hot: int = 100_000) -> Dat
 
 def simhash_dedup(docs: DataFrame, bits: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id."""
-    found = near_components(materialise(fingerprints(docs, width, id_col, text_col), "fingerprints"), bits)
+    found = near_components(materialise(fingerprints(docs, width, id_col, text_col), "fingerprints", arrow_rows=TEXTS), bits)
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, bits: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component with all its columns: the least id, nulls last."""
-    found = near_components(materialise(fingerprints(docs, width, id_col, text_col), "fingerprints"), bits)
+    found = near_components(materialise(fingerprints(docs, width, id_col, text_col), "fingerprints", arrow_rows=TEXTS), bits)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x"))
     first = materialise(first.select(F.col("x.id").alias("own"), F.col("x.key").alias("hash")), "kept")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("k"))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import TEXTS, materialise, text_slices
 
 CHUNK = 1 << 20
 SLICE = 1 << 16
@@ -659,7 +659,7 @@ def finish(chunks: DataFrame, answers: DataFrame, kind: Kind, buckets: int) -> D
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> DataFrame:
-    chunks = materialise(chunked(docs, id_col, text_col), "chunks", "none")
+    chunks = materialise(chunked(docs, id_col, text_col), "chunks", "none", TEXTS)
     total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET_BYTES))
     sent, sizes, known, found = send_items(chunks, kind, buckets), count_items(chunks, kind, buckets), None, []
