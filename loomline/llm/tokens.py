@@ -11,7 +11,7 @@ import numpy as np
 
 #: Words kept by each Python worker in either of two tables: when the young one is full it becomes the old one, so memory
 #: is bounded, common words stay, and results are the same.
-WORDS_KEPT, PARTS_KEPT = 250_000, 200_000
+WORDS_KEPT, PARTS_KEPT = 400_000, 300_000
 #: Latin letters that lower-casing and NFC map one to one, then ASCII punctuation but the apostrophe: such a word is two
 #: pieces, or one, for the splitter, and the first needs no more of the normaliser than lower case.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
