@@ -386,6 +386,26 @@ def test_sharding(docs, rows):
     for r in table:
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
+    # equal texts share a shard; the fullest shard is at most the even share or the largest group above it
+    of, groups, shards = {(r.doc_id, r.text_crc32): r.shard for r in table}, defaultdict(set), Counter()
+    for r in table:
+        shards[r.shard] += r.size
+    for i, t, *_ in rows:
+        groups[t].add(of[i, zlib.crc32(t.encode())])
+    assert all(len(g) == 1 for g in groups.values())
+    largest = Counter()
+    for _, t, *_ in rows:
+        largest[t] += len(t.encode()) + 1
+    if rows:
+        assert max(shards.values()) <= sum(shards.values()) / 16 + max(largest.values())
+
+
+def test_shards_of_documents_are_even(spark, sf):
+    table = sharding.shard_documents(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), 16).collect()
+    shards = Counter()
+    for r in table:
+        shards[r.shard] += r.size
+    assert len(shards) == 16 and max(shards.values()) - min(shards.values()) <= 0.001 * max(shards.values())
 
 
 def test_differencing():
