@@ -94,7 +94,9 @@ def fit(rows: DataFrame, bound: int = 4000, seed: int = 3, id_col: str = "doc_id
     names = sorted(set(got["label"]))
     n = np.zeros((len(names), 1 << BITS))
     n[[names.index(x) for x in got["label"]], got["feature"]] = got["n"]
-    return TextModel(names, np.log((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True)))
+    # half a count for each feature, less where the sample is smaller than the features: else a language of a few words is as flat as noise
+    n += 0.5 * np.minimum(1, n.sum(axis=1, keepdims=True) / (1 << BITS))
+    return TextModel(names, np.log(n / n.sum(axis=1, keepdims=True)))
 
 
 def tallies(data: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:

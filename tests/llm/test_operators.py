@@ -391,7 +391,8 @@ def test_sharding(docs, rows):
     for r in table:
         shards[r.shard] += r.size
     for i, t, *_ in rows:
-        groups[t].add(of[i, zlib.crc32(t.encode())])
+        if t:  # null texts are a group beside empty ones
+            groups[t].add(of[i, zlib.crc32(t.encode())])
     assert all(len(g) == 1 for g in groups.values())
     largest = Counter()
     for _, t, *_ in rows:
@@ -492,7 +493,8 @@ def brute_language(rows, labels):
             counts[label].update(g)
     k, text = len(names) + 1, []
     for g, letters, marks in seen:
-        by = [sum(math.log((counts[n][x] + 0.5) / (counts[n].total() + 0.5 * 2**14)) for x in g) for n in names]
+        half = {n: 0.5 * min(1, counts[n].total() / 2**14) for n in names}
+        by = [sum(math.log((counts[n][x] + half[n]) / (counts[n].total() + half[n] * 2**14)) for x in g) for n in names]
         say = lambda r: marks * math.log(r) + letters * math.log(1 - r)  # noqa: B023, E731
         log = [(x + say(0.01)) / 8 for x in by] + [max(-len(g) * 14 * math.log(2) + say(0.01), max(by) + say(0.5)) / 8 + math.log(1e-3)]
         p = [math.exp(x - max(log)) for x in log] if letters else [0.0] * len(names) + [1.0]
