@@ -179,7 +179,7 @@ def fuse(seen: DataFrame, classes: list[str], weight: float = 20.0, floor: float
 
 def identify(evidence: DataFrame, model: TextModel, weight: float = 20.0) -> DataFrame:
     """evidence: id, body, declared, suffix, domain, host -> id, language, confidence (its posterior), kept."""
-    seen = materialise(text_evidence(evidence, model), "evidence", arrow_rows=TEXTS)
+    seen = materialise(text_evidence(evidence, model), "evidence", "zstd", TEXTS)
     names, best = F.array(*map(F.lit, model.classes)), F.array_max("posterior")
     out = fuse(seen, model.classes, weight).withColumn("language", names[F.array_position("posterior", best).cast("int") - 1])
     return out.select("id", "language", best.alias("confidence"), (F.col("language") != "und").alias("kept"))
