@@ -36,6 +36,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 #: Texts of a batch that goes to Python.
 TEXTS = 1024
+#: Edges that one task writes in a round of connected_components().
+EDGES = 1 << 18
 #: Tables written by this process, for sweep().
 WRITTEN: list[str] = []
 
@@ -112,24 +114,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternating large and small stars, each a group minimum and a join. A hub is pre-aggregated by the partial minimum;
     minima are written before they are joined, so that each join has an exchange on either side and adaptive
-    execution can split a hub. Every round is written to the shared folder. Rounds grow with the logarithm of the nodes;
-    if `max_rounds` don't suffice, that is an error, not a result.
+    execution can split a hub. Every round is written to the shared folder, by as many tasks as its edges are worth
+    (`EDGES` each, at most the shuffle's). Rounds grow with the logarithm of the nodes; if `max_rounds` don't suffice, that
+    is an error, not a result.
     """
     flip = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = materialise(flip(edges.select("a", "b")), "edges")
     mark = None
+    tasks = now.count() // EDGES + 1
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "minima")
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks), "minima")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(flip(large), "edges")
-        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        large = materialise(flip(large).coalesce(tasks), "edges")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), "minima")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = materialise(flip(small), "edges")
+        now = materialise(flip(small).coalesce(tasks), "edges")
         new = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if tuple(new) == mark:
             break
-        mark = tuple(new)
+        mark, tasks = tuple(new), new[0] // EDGES + 1
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select("b", F.col("b")).distinct().toDF("node", "root"))
