@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from . import bwt_dedup, exact_dedup, language_id, mixing, packing, sharding, simhash, spelling, suffix_trees, token_counts, vptree
+from . import bwt_dedup, exact_dedup, hard_negatives, language_id, mixing, packing, sharding, simhash, spelling, suffix_trees, token_counts, vptree
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,6 +77,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_vptree_search, op2_token_counts, op3_exact_dedup, op4_bwt_dedup, op5_best_fit_packing, op6_mix_sources,
-        op7_simhash_dedup, op8_language_id, op9_balanced_shards, op10_substring_dedup, op12_spelling_variants, language_id_pages, pipeline,
+        op7_simhash_dedup, op8_language_id, op9_balanced_shards, op10_substring_dedup, op12_spelling_variants, op13_hard_negatives, language_id_pages, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -125,5 +131,24 @@ FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
 """
 
 
+OP13_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id, br) AS n FROM s WHERE same),
+h AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, p.n ORDER BY s.score DESC, s.other_id, s.br)::INTEGER AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op10_substring_dedup": OP10_SQL, "op13_hard_negatives": OP13_SQL}
