@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from . import bwt_dedup, exact_dedup, hard_negatives, language_id, mixing, packing, sharding, simhash, spelling, suffix_trees, token_counts, vptree
+from . import bwt_dedup, exact_dedup, hard_negatives, language_id, mixing, packing, sharding, simhash, spelling, suffix_trees, token_counts, vptree, wrappers
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -73,6 +73,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.substring_dedup(table(spark, sf_dir, "documents"), 20)
 
 
+def op11_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -92,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_vptree_search, op2_token_counts, op3_exact_dedup, op4_bwt_dedup, op5_best_fit_packing, op6_mix_sources,
-        op7_simhash_dedup, op8_language_id, op9_balanced_shards, op10_substring_dedup, op12_spelling_variants, op13_hard_negatives, language_id_pages, pipeline,
+        op7_simhash_dedup, op8_language_id, op9_balanced_shards, op10_substring_dedup, op11_wrapper_text, op12_spelling_variants, op13_hard_negatives, language_id_pages, pipeline,
     )
     return {f.__name__: f for f in own}
 
