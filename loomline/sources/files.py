@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.records import SCHEMA
 from . import parsers
+from .landing import complete
 
 #: Made-up examples. Labels as the classes: 0 no, 1 yes, 2 unclear.
 SAMPLE = (
@@ -98,8 +99,7 @@ def html_sections(pages: DataFrame, id_col: str, html_col: str, rules: parsers.H
 
 
 def present_or(spark: SparkSession, path: str, build) -> DataFrame:
-    """The Parquet table at path; built and written first if it isn't there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        build().write.mode("errorifexists").parquet(path)
+    """The Parquet table at path; built and written first if none was written there to its end."""
+    if not complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

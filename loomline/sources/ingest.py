@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from . import files, remote
 
 
-#: The command's interface, its flags with their defaults and choices.
+#: The command's interface, its flags with their defaults and choices. --landed, our own, names the folder of a run to take up.
 OPTIONS: dict[str, dict[str, dict]] = {
     "us-code": {"titles": {"nargs": "*", "default": ["18"]}, "year": {"type": int, "default": 2023}, "api-key": {}, "max-sections": {"type": int}, "xml": {}},
     "courtlistener": {
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="source", required=True)
     for source, options in OPTIONS.items():
         own = sub.add_parser(source)
-        for flag, how in (options | {"out": {"required": True}}).items():
+        for flag, how in (options | {"out": {"required": True}, "landed": {}}).items():
             own.add_argument(f"--{flag}", **how)
     return p
 
@@ -40,11 +40,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     if a.source == "us-code":
-        found = remote.code(spark, tuple(a.titles), a.year, a.api_key, a.max_sections, a.xml, transport)
+        found = remote.code(spark, tuple(a.titles), a.year, a.api_key, a.max_sections, a.xml, transport, a.landed)
     elif a.source == "courtlistener":
-        found = remote.judgments(spark, a.query, a.court, a.max_docs, a.api_token, order_by=a.order_by, full_bodies=not a.snippets_only, max_chars=a.max_chars, transport=transport)
+        found = remote.judgments(spark, a.query, a.court, a.max_docs, a.api_token, order_by=a.order_by, full_bodies=not a.snippets_only, max_chars=a.max_chars, transport=transport, folder=a.landed)
     else:
-        found = remote.acts(spark, tuple(map(statute, a.statutes)) if a.statutes else remote.DEFAULT_ACTS, a.max_sections_per_act, transport)
+        found = remote.acts(spark, tuple(map(statute, a.statutes)) if a.statutes else remote.DEFAULT_ACTS, a.max_sections_per_act, transport, a.landed)
     print(f"{files.write_jsonl(found, a.out)} records -> {a.out}")
     return 0
 

@@ -1,22 +1,25 @@
-"""Remote sources. Listings and searches are rows that a task follows page after page (one partition a package or
-query); what they and the fetches bring is landed once as a table, and DataFrame stages parse the table.
+"""Remote sources. Listings and searches are read by the data source of listing.py, a partition a package or query, pages
+landed one by one; bodies are asked for row by row and landed in waves. DataFrame stages parse what is landed. With `folder`
+a later run takes up one that died: neither a landed page nor a landed body is asked for again.
 
 transport(url, params, headers) -> (status, headers, body bytes), and goes to the executors. Only status 429 is tried
-again; other failures by status skip the row, failures of the connection, or of a listing, end the job."""
+again; other failures by status skip the row. A failed connection loses its row, which the next run with the folder asks for;
+in a listing it ends the task, and Spark's next attempt goes on from the page."""
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records
 from . import files
-from .landing import landed
+from .landing import answers, fresh, landed
+from .listing import Walk, listing
 
 Transport = Callable[[str, dict | None, dict], tuple[int, dict, bytes]]
 
@@ -53,57 +56,54 @@ def get(transport: Transport, url: str, params: dict | None = None, headers: dic
     return status, body
 
 
-def fetch(rows: DataFrame, url: str = "url", transport: Transport = http, params: dict | None = None, headers: dict | None = None, pause: float = 0.0, at_once: int = 4) -> DataFrame:
-    """The rows with status and body, landed: a row is one request. The connections at once are bounded by the partitions."""
+def fetch(
+    rows: DataFrame, url: str = "url", transport: Transport = http, params: dict | None = None, headers: dict | None = None, pause: float = 0.0, at_once: int = 4, folder: str | None = None,
+) -> DataFrame:
+    """The rows with status, body and error, one request a url: no body is landed of a failed connection. The connections at
+    once are bounded by `at_once` tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = []
-            for u in b[url]:
-                got.append(get(transport, u, params, headers))
-                if pause:
-                    time.sleep(pause)
-            yield b.assign(status=[s for s, _ in got], body=[x for _, x in got])
+    def start() -> Callable[[tuple], tuple]:
+        return lambda values: get(transport, values[0], params, headers)
 
-    out = rows.repartition(at_once).mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", status int, body binary")
-    return landed(out, "bodies")
+    return answers(rows, [url], start, "status int, body binary", f"{folder.rstrip('/')}/bodies" if folder else fresh(rows.sparkSession, "bodies"), tasks=at_once, pause=pause)
 
 
-def paged(jobs: DataFrame, pages: Callable[..., Iterator[dict]]) -> DataFrame:
-    """A row of `jobs` is a listing that a task of its own follows: its columns, position, and raw (JSON) of each entry of
-    pages(*row), page after page. Landed, so no page is asked for twice."""
+def _ok(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("status").between(200, 299))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for job in b.itertuples(index=False):
-                rows = [(*job, i, json.dumps(entry)) for i, entry in enumerate(pages(*job))]
-                yield pd.DataFrame(rows, columns=[*b.columns, "position", "raw"])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in jobs.dtypes)
-    spread = jobs.repartitionByRange(max(1, jobs.count()), *jobs.columns)
-    return landed(spread.mapInPandas(run, f"{kinds}, position int, raw string"), "listing")
+def _json(transport: Transport) -> Callable[[str, dict | None, dict], dict]:
+    def ask(url: str, params: dict | None, headers: dict) -> dict:
+        status, body = get(transport, url, params, headers)
+        if not 200 <= status < 300:
+            raise OSError(f"{url}: status {status}")
+        return json.loads(body)
 
+    return ask
 
-def _ok(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("status").between(200, 299))
 
+@dataclass
+class Granules(Walk):
+    """The leaves of a package, page after page, up to `most`."""
+
+    key: str = field(repr=False)
+    most: int | None = None
+    size: int = 100
 
-def _json(transport: Transport, url: str, params: dict | None, headers: dict | None = None) -> dict:
-    status, body = get(transport, url, params, headers)
-    if not 200 <= status < 300:
-        raise OSError(f"{url}: status {status}")
-    return json.loads(body)
+    def name(self, job):
+        return super().name(job) | {"most": self.most, "size": self.size}
 
+    def first(self, job):
+        return None if self.most == 0 else {"url": f"{CODE_API}/packages/{job['package']}/granules", "params": {"pageSize": self.size, "offsetMark": "*"}, "left": self.most}
 
-def granules(package: str, key: str, most: int | None = None, transport: Transport = http, page: int = 100) -> Iterator[dict]:
-    """The leaves of a package, page after page, up to `most`."""
-    url, params, left = f"{CODE_API}/packages/{package}/granules", {"pageSize": page, "offsetMark": "*", "api_key": key}, most
-    while url and left != 0:
-        data = _json(transport, url, params)
-        leaves = [g for g in data.get("granules", []) if g.get("granuleClass") == "LEAF"][:left]
-        yield from leaves
-        left = None if left is None else left - len(leaves)
-        url, params = data.get("nextPage"), {"api_key": key}
+    def request(self, cursor):
+        return cursor["url"], cursor["params"] | {"api_key": self.key}, {}
+
+    def page(self, cursor, data):
+        leaves = [g for g in data.get("granules", []) if g.get("granuleClass") == "LEAF"][: cursor["left"]]
+        left = None if cursor["left"] is None else cursor["left"] - len(leaves)
+        onward = data.get("nextPage")
+        return leaves, {"url": onward, "params": {}, "left": left} if onward and left != 0 else None
 
 
 def _granule_records(rows: DataFrame) -> DataFrame:
@@ -113,14 +113,16 @@ def _granule_records(rows: DataFrame) -> DataFrame:
     return records.code_granules(out.withColumn("heading", F.coalesce(F.nullif("heading", F.lit("")), "fallback", F.lit(""))))
 
 
-def code_sections(spark: SparkSession, granule_ids: list[str], year: int = 2023, title: str = "18", transport: Transport = http) -> DataFrame:
+def code_sections(spark: SparkSession, granule_ids: list[str], year: int = 2023, title: str = "18", transport: Transport = http, folder: str | None = None) -> DataFrame:
     """Hand-picked sections by their content addresses; no key."""
     base = f"{CODE_CONTENT}/USCODE-{year}-title{title}/html/"
     rows = spark.createDataFrame([(g, title, year, None, f"{base}{g}.htm") for g in granule_ids], "granule_id string, title string, year int, fallback string, url string")
-    return _granule_records(fetch(rows, transport=transport))
+    return _granule_records(fetch(rows, transport=transport, folder=folder))
 
 
-def code(spark: SparkSession, titles: tuple[str, ...] = ("18",), year: int = 2023, key: str | None = None, max_sections: int | None = None, xml: str | None = None, transport: Transport = http) -> DataFrame:
+def code(
+    spark: SparkSession, titles: tuple[str, ...] = ("18",), year: int = 2023, key: str | None = None, max_sections: int | None = None, xml: str | None = None, transport: Transport = http, folder: str | None = None,
+) -> DataFrame:
     """All sections of some titles: from local XML, or by listing and fetching. max_sections bounds what is fetched of
     each title by what earlier ones have written, so a failed fetch isn't made up for; then titles come one after the other."""
     if xml is not None:
@@ -131,12 +133,12 @@ def code(spark: SparkSession, titles: tuple[str, ...] = ("18",), year: int = 202
     out = spark.createDataFrame([], records.SCHEMA)
 
     def part(some: tuple[str, ...], most: int | None) -> DataFrame:
-        jobs = spark.createDataFrame([(t, f"USCODE-{year}-title{t}") for t in some], "title string, package string")
-        listed = paged(jobs, lambda _, package: granules(package, key, most, transport))
+        jobs = [{"title": t, "package": f"USCODE-{year}-title{t}"} for t in some]
+        listed = listing(spark, jobs, "title string, package string", Granules(key, most), _json(transport), f"{folder.rstrip('/')}/listings" if folder else None)
         g = F.from_json("raw", "granuleId string, title string")
         url = F.concat(F.lit(f"{CODE_API}/packages/"), "package", F.lit("/granules/"), g["granuleId"], F.lit("/htm"))
         rows = listed.select(g["granuleId"].alias("granule_id"), "title", F.lit(year).alias("year"), F.coalesce(g["title"], F.lit("")).alias("fallback"), url.alias("url"))
-        return _granule_records(fetch(rows, transport=transport, params={"api_key": key}))
+        return _granule_records(fetch(rows, transport=transport, params={"api_key": key}, folder=folder))
 
     if max_sections is None:
         return part(tuple(titles), None) if titles else out
@@ -155,44 +157,59 @@ HIT = """opinions array<struct<id:string,snippet:string>>, caseName string, case
 OPINION = "id string, plain_text string, html_with_citations string, html string, author_str string, page_count string"
 
 
-def search_hits(query: str, court: str | None, most: int, token: str | None, page: int = 20, order: str = "score desc", transport: Transport = http) -> Iterator[dict]:
-    """Hits page after page, until `most` of them have a snippet: those are sure to become records."""
-    url, params = f"{JUDGMENT_API}/search/", {"type": "o", "q": query, "page_size": page, "order_by": order} | ({"court": court} if court else {})
-    headers, sure = {"Authorization": f"Token {token}"} if token else {}, 0
-    while url and sure < most:
-        data = _json(transport, url, params, headers)
+@dataclass
+class Hits(Walk):
+    """Hits of a query, page after page, until `most` of them have a snippet: those are sure to become records."""
+
+    most: int
+    token: str | None = field(default=None, repr=False)
+    size: int = 20
+    order: str = "score desc"
+
+    def name(self, job):
+        return super().name(job) | {"most": self.most, "size": self.size, "order": self.order}
+
+    def first(self, job):
+        asked = {"type": "o", "q": job["query"], "page_size": self.size, "order_by": self.order} | ({"court": job["court"]} if job.get("court") else {})
+        return {"url": f"{JUDGMENT_API}/search/", "params": asked, "sure": 0} if self.most > 0 else None
+
+    def request(self, cursor):
+        return cursor["url"], cursor["params"], {"Authorization": f"Token {self.token}"} if self.token else {}
+
+    def page(self, cursor, data):
+        out, sure = [], cursor["sure"]
         for hit in data.get("results", []):
-            if sure >= most:
+            if sure >= self.most:
                 break
             sure += bool(((hit.get("opinions") or [{}])[0].get("snippet") or "").strip())
             cites = hit.get("citation")
-            yield hit | {"citation": json.dumps(cites) if isinstance(cites, list) else cites}
-        url, params = data.get("next"), None
+            out.append(hit | {"citation": json.dumps(cites) if isinstance(cites, list) else cites})
+        return out, {"url": data["next"], "params": None, "sure": sure} if data.get("next") and sure < self.most else None
 
 
 def judgments(
     spark: SparkSession, query: str = DEFAULT_QUERY, court: str | None = None, max_docs: int = 50, token: str | None = None, page_size: int = 20,
-    order_by: str = "score desc", full_bodies: bool = True, max_chars: int = 8000, pause: float = 0.4, transport: Transport = http,
+    order_by: str = "score desc", full_bodies: bool = True, max_chars: int = 8000, pause: float = 0.4, transport: Transport = http, folder: str | None = None,
 ) -> DataFrame:
     """Search, then bodies if there is a token. A hit counts if it has a snippet, or a body is to be fetched for it."""
     from .settings import setting
 
     token = token or setting("COURTLISTENER_API_TOKEN")
-    jobs = spark.createDataFrame([(query, court)], "query string, court string")
-    listed = paged(jobs, lambda q, c: search_hits(q, c, max_docs, token, page_size, order_by, transport))
+    jobs = [{"query": query, "court": court}]
+    listed = listing(spark, jobs, "query string, court string", Hits(max_docs, token, page_size, order_by), _json(transport), f"{folder.rstrip('/')}/listings" if folder else None)
     table = listed.select("position", F.from_json("raw", HIT).alias("h")).select("position", "h.*")
     if not (full_bodies and token):
         return records.judgments(table, None, max_chars, max_docs)
     ids = table.select(F.try_element_at("opinions", F.lit(1))["id"].alias("id")).where("id is not null").distinct()
-    got = _ok(fetch(ids.withColumn("url", F.concat(F.lit(f"{JUDGMENT_API}/opinions/"), "id", F.lit("/"))), transport=transport, headers={"Authorization": f"Token {token}"}, pause=pause))
+    got = _ok(fetch(ids.withColumn("url", F.concat(F.lit(f"{JUDGMENT_API}/opinions/"), "id", F.lit("/"))), transport=transport, headers={"Authorization": f"Token {token}"}, pause=pause, folder=folder))
     opinions = got.select("id", F.from_json(F.decode("body", "utf-8"), OPINION).alias("o")).select("id", *(f"o.{c}" for c in ("plain_text", "html_with_citations", "html", "author_str", "page_count")))
     return records.judgments(table, opinions, max_chars, max_docs)
 
 
-def acts(spark: SparkSession, statutes: tuple = DEFAULT_ACTS, max_sections: int | None = None, transport: Transport = http) -> DataFrame:
+def acts(spark: SparkSession, statutes: tuple = DEFAULT_ACTS, max_sections: int | None = None, transport: Transport = http, folder: str | None = None) -> DataFrame:
     """One request an act; acts that fail by status are left out."""
     rows = spark.createDataFrame([(t, y, n, f"{ACT_SITE}/{t}/{y}/{n}/data.xml") for t, y, n in statutes], "act_type string, year int, number int, url string")
-    return records.act_sections(files.acts_xml(_ok(fetch(rows, transport=transport)), max_sections))
+    return records.act_sections(files.acts_xml(_ok(fetch(rows, transport=transport, folder=folder)), max_sections))
 
 
 def bailii(*_: object, **__: object) -> DataFrame:

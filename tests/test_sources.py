@@ -1,11 +1,15 @@
 """Sources and sinks on small files, and the connectors over canned pages."""
 
 import json
+import os
+import re
 import uuid
 from collections import Counter
 
 import pytest
 from loomline.sources import files, ingest, remote, settings
+from loomline.sources.landing import answers
+from loomline.sources.listing import listing
 from loomline.streaming.ingest import follow
 from test_functions import ACT, CODE
 
@@ -37,8 +41,14 @@ def test_xml_folder(spark, tmp_path):
     (tmp_path / "y.txt").write_text("no")
     assert files.code_xml(spark, str(tmp_path)).count() == 2
     assert ingest.main(["us-code", "--out", str(tmp_path / "o"), "--xml", str(tmp_path)], spark) == 0
-    built = files.present_or(spark, str(tmp_path / "p"), lambda: spark.range(3))
-    assert built.count() == 3 and files.present_or(spark, str(tmp_path / "p"), None).count() == 3
+
+
+def test_present_or(spark, tmp_path):
+    path = tmp_path / "p"
+    assert files.present_or(spark, str(path), lambda: spark.range(3)).count() == 3
+    assert files.present_or(spark, str(path), None).count() == 3
+    (path / "_SUCCESS").unlink()  # as a write leaves it that died half-way
+    assert files.present_or(spark, str(path), lambda: spark.range(5)).count() == 5
 
 
 HTML = b'<h3 class="section-head">Head</h3><p class="statutory-body">body</p>'
@@ -108,6 +118,76 @@ def test_every_page_is_asked_for_once(spark, tmp_path):
     assert len(seen := requests(tmp_path)) == 2 and set(seen.values()) == {1}
 
 
+def dying(folder, when):
+    """counted(), whose process dies when it is to ask for what `when` names, once."""
+    ask = counted(folder)
+
+    def run(url, params, headers):
+        mark = folder.parent / "died"
+        if when in url and not mark.exists():
+            mark.touch()
+            os._exit(1)
+        return ask(url, params, headers)
+
+    return run
+
+
+def paged(url, params, headers):
+    """A listing of 6 pages for each of two packages."""
+    title, n = re.search(r"title(\d+)", url)[1], int((re.search(r"page(\d)", url) or (0, 1))[1])
+    leaves = [{"granuleId": f"t{title}-sec{n}{i}", "granuleClass": "LEAF", "title": "T"} for i in range(3)]
+    return 200, {}, json.dumps({"granules": leaves, "nextPage": f"http://title{title}/page{n + 1}" if n < 6 else None}).encode()
+
+
+def test_a_listing_goes_on_from_the_page_where_its_task_died(spark, tmp_path, monkeypatch):
+    (tmp_path / "asked").mkdir()
+    monkeypatch.setitem(globals(), "canned", paged)
+    jobs = [{"title": t, "package": f"USCODE-2023-title{t}"} for t in ("1", "2")]
+    walk, ask = remote.Granules("secret"), remote._json(dying(tmp_path / "asked", "title2/page3"))
+    read = lambda: listing(spark, jobs, "title string, package string", walk, ask, f"file://{tmp_path}/landed")
+    with pytest.raises(Exception, match="(?i)worker|crash|exit"):
+        read().collect()  # a local master gives a task one attempt; a cluster's next attempt does what comes now
+    rows = read().collect()
+    assert sorted((r.title, r.position, json.loads(r.raw)["granuleId"]) for r in rows) == sorted((t, 3 * n + i, f"t{t}-sec{n + 1}{i}") for t in "12" for n in range(6) for i in range(3))
+    assert len(seen := requests(tmp_path / "asked")) == 12 and set(seen.values()) == {1}
+    assert read().count() == 36 and not requests(tmp_path / "asked")
+    assert "secret" not in "".join(p.read_text() for p in (tmp_path / "landed").rglob("*.json"))
+    most = listing(spark, jobs, "title string, package string", remote.Granules("k", 4), remote._json(counted(tmp_path / "asked")), str(tmp_path / "landed"))
+    assert most.groupBy("title").count().where("count = 4").count() == 2 and len(requests(tmp_path / "asked")) == 4
+
+
+def test_fetches_are_taken_up(spark, tmp_path):
+    """A process that dies, and a connection that fails: the next run asks for what was not landed."""
+    (tmp_path / "asked").mkdir()
+    ids, folder, down = [f"a-sec{i}" for i in range(10, 30)], str(tmp_path / "landed"), tmp_path / "down"
+    ask = counted(tmp_path / "asked")
+
+    def failing(url, params, headers):
+        if "sec12" in url and not down.exists():
+            raise OSError("no route")
+        return ask(url, params, headers)
+
+    rows = spark.createDataFrame([(f"http://x/{i}",) for i in [*ids, ids[0]]], "url string")
+    out = remote.fetch(rows, transport=failing, folder=folder).collect()
+    assert len(out) == 21 and [(r.url, r.status, r.body) for r in out if r.error] == [("http://x/a-sec12", None, None)]
+    assert len(seen := requests(tmp_path / "asked")) == 19 and set(seen.values()) == {1}
+    down.touch()
+    out = remote.fetch(rows, transport=failing, folder=folder).collect()
+    assert len(out) == 21 and not any(r.error for r in out) and list(requests(tmp_path / "asked")) == ["http://x/a-sec12"]
+    more = spark.createDataFrame([(f"http://x/b{i}",) for i in range(40)], "url string")
+    die = dying(tmp_path / "asked", "b17")
+    start = lambda: lambda values: remote.get(die, values[0])
+    for attempt in range(2):
+        run = lambda: answers(more, ["url"], start, "status int, body binary", f"{folder}/more", wave=8, tasks=2)
+        if attempt:
+            assert run().where("status = 200").count() == 40
+        else:
+            with pytest.raises(Exception, match="(?i)worker|crash|exit"):
+                run()
+    seen = requests(tmp_path / "asked")
+    assert len(seen) == 40 and sum(seen.values()) < 48  # no wave that ended is asked again
+
+
 def test_retry():
     tries, waits = [], []
     busy = lambda url, params, headers: (tries.append(url), (429, {"Retry-After": "7"} if len(tries) == 1 else {}, b"") if len(tries) < 3 else (200, {}, b"x"))[1]
@@ -124,4 +204,5 @@ def test_settings(tmp_path, monkeypatch):
     assert settings.setting("LOOM_C", "d") == "d" and settings.load_env(tmp_path / "none") is None
     (tmp_path / "in").mkdir()
     assert settings.find_env(tmp_path / "in") == tmp_path / ".env"
+    assert settings.parse('A = "q # s" # c\nB=x#y\nC=\'\'\n# D=1\nno\nexport E=1') == {"A": "q # s", "B": "x#y", "C": "", "E": "1"}
     assert ingest.statute("ukpga/2006/35") == ("ukpga", 2006, 35)
