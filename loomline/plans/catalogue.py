@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import classify, metrics, probe, records, retrieval
-from ..sources import files, parsers
+from ..sources import bigxml, files, landing, lateral, parsers
 from ..sources.parsers import HtmlRules
 
 SPACES = tx.SPACES
@@ -123,6 +124,47 @@ def _joined(parts: list[str | Column]) -> Column:
     return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
 
 
+def _code(*within: str | Column) -> list[str | Column]:
+    """Parts of a code in XML with one section."""
+    n = F.col("doc_id").cast("string")
+    section = ["<section><num>§ ", n, ".</num><heading>", F.col("source"), "</heading><p>", _clean(), "</p>", *within, "</section>"]
+    return ["<doc xmlns='urn:x'><title><num>Title ", (F.col("doc_id") % 50).cast("string"), "</num>", *section, "</title></doc>"]
+
+
+@query(SQL["code_xml_records"])
+def xml_lateral(spark, sf_dir):
+    """code_xml_records from SQL text: the parser is a table function, one document to many rows by LATERAL."""
+    lateral.register(spark)
+    rows = table(spark, sf_dir, "documents").select(_joined(_code("<section><num/></section>")).alias("xml"))
+    found = spark.sql("SELECT s.title, s.section, s.heading, s.body FROM {rows} AS d, LATERAL code_sections(d.xml) AS s", rows=rows)
+    return records.code_sections(found).select("id", "text", "citation", F.col("metadata")["heading"].alias("heading"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, source, {_tight(_CLEAN)} AS body, doc_id % 3 = 0 AS nested FROM documents),
+s AS (SELECT doc_id || '' AS section, source AS heading, {_tight("'§ ' || doc_id || '. ' || source || ' ' || body || CASE WHEN nested THEN ' ' || doc_id || '-1. ' || lang || ' below' ELSE '' END")} AS body FROM x
+  UNION ALL SELECT doc_id || '-1', lang, doc_id || '-1. ' || lang || ' below' FROM x WHERE nested)
+SELECT 'usc-18-' || section AS id, '18 U.S.C. § ' || section || '. ' || heading || chr(10) || chr(10) || body AS text, '18 U.S.C. § ' || section AS citation, heading FROM s""")
+def xml_split_records(spark, sf_dir):
+    """Documents as sections, some with one nested, of codes that are files of many sections, read by slices."""
+    n = F.col("doc_id").cast("string")
+    nested = F.when(F.col("doc_id") % 3 == 0, _joined(["<section><num>", n, "-1.</num><heading>", F.col("lang"), "</heading><p>below</p></section>"])).otherwise("")
+    section = _joined(_code(nested)[3:-1])
+    folder = landing.fresh(spark, "codes")
+
+    def framed(batches):
+        """A partition is a file: a head, a section a line, an end."""
+        line = lambda *x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])
+        yield line("<doc xmlns='urn:x'><title><num>Title 18</num>")
+        yield from batches
+        yield line("</title></doc>")
+
+    lines = table(spark, sf_dir, "documents").select(section.alias("value")).mapInArrow(framed, "value string")
+    lines.write.text(folder)
+    found = bigxml.code_xml_split(spark, folder, names="part-*")
+    return records.code_sections(found).select("id", "text", "citation", F.col("metadata")["heading"].alias("heading"))
+
+
+
 @query(f"""WITH x AS (SELECT doc_id, lang, source, {_tight("doc_id || ' ' || " + _CLEAN)} AS body FROM documents)
 SELECT 'uk-ukpga-2000-' || doc_id || '-s' || doc_id AS id, 'Act of ' || source || ', s.' || doc_id || '. ' || source || lang || chr(10) || chr(10) || body AS text,
 'Act of ' || source || ', s.' || doc_id AS citation, 'https://www.legislation.gov.uk/ukpga/2000/' || doc_id || '/section/' || doc_id AS url FROM x""")
