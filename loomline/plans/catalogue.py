@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import classify, metrics, probe, records, retrieval
+from ..operators import classify, metrics, postings, probe, records, retrieval
 from ..sources import bigxml, files, landing, lateral, parsers
 from ..sources.parsers import HtmlRules
 
@@ -419,6 +419,31 @@ def boolean_text_query(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.any_word("text", 'the OR para OR "nicht sch" OR des').alias("hit"))
 
 
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), z AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+p AS (SELECT id, len(w) AS n, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM d),
+t AS (SELECT term, id, n, count(*) AS tf FROM p GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT item_id AS query_id, {_TOKENS} AS v FROM benchmark),
+a AS (SELECT query_id, v[1] AS x, v[2] AS y, v[3] AS l, v[4] AS r, v[5] AS o FROM q),
+m AS (SELECT a.query_id, i.id FROM a JOIN t i ON i.term = x JOIN t j ON j.term = y AND j.id = i.id
+  UNION SELECT query_id, i.id FROM a JOIN p i ON i.term = l JOIN p j ON j.term = r AND j.id = i.id AND j.at = i.at + 1
+  UNION SELECT query_id, id FROM a JOIN t ON term = o),
+u AS (SELECT DISTINCT query_id, unnest([x, y, l, r, o]) AS term FROM a),
+s AS (SELECT query_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
+  FROM u JOIN f USING (term) JOIN t USING (term), z GROUP BY query_id, id)
+SELECT query_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank
+FROM m JOIN s USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
+def bm25_search(spark, sf_dir):
+    """The first five words of each benchmark text as a query, `a b OR "c d" OR e`, over all documents by an index of postings."""
+    index = postings.Postings.build(table(spark, sf_dir, "documents"), landing.fresh(spark, "postings"))
+    w = postings.words("text")
+    asked = F.concat_ws(" ", w[0], w[1], F.lit("OR"), F.concat(F.lit('"'), w[2], F.lit(" "), w[3], F.lit('"')), F.lit("OR"), w[4])
+    found = index.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("query")), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("""SELECT doc_id, source AS got, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS explicit, '' AS missing, 'lang' AS back, 2 AS size, CASE WHEN lang = 'en' THEN source ELSE 'head ' || lang END AS label FROM documents""")
 def map_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
