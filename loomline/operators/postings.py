@@ -1,36 +1,66 @@
 """Full-text search: an index of postings with positions, boolean queries with phrases by joins, BM25 for "score desc".
 
 A query is clauses between OR; a clause's words and "quoted phrases" all have to be there. Words are runs of letters and digits in
-lower case. The index is three tables: postings (term, id, tf, positions, the document's length n), lengths (id, n) and
-terms (term, df). Postings are rows and never gathered by term, so a word that every document has is as spread as
-the documents. Query terms are broadcast if there are at most `FEW`; beyond that both sides are joined by term and a salt from
-the document, so that a frequent term has `SALTS` places to go to.
+lower case. The index is three tables: postings (term, and of some documents each id, its length n and the word's positions),
+terms (term, df, sum of tf) and totals. A row of postings is what one batch of documents has of a term, and rows are never
+gathered by term, so a word that every document has is as spread as the documents. Rows are clustered by term, so the scan
+for a query's terms leaves most row groups out. Query terms are broadcast if there are at most `FEW`; beyond that both sides are joined
+by term and a salt, so that a frequent term has `SALTS` places to go to.
 
-Ids are unique and not null; other rows are not indexed. A null text has no words; a query without a word finds nothing."""
+Ids are unique whole numbers; rows without one are not indexed. A null text has no words; a query without a word finds nothing."""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"([\p{L}\p{N}]+)"
+WORD = re.compile(r"[^\W_]+")
 FEW, SALTS = 20_000, 64
+#: Documents whose postings of a term are one row.
+DOCS = 1024
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 TERMS = "array<struct<clause: int, phrase: int, offset: int, size: int, phrases: int, term: string>>"
-
-
-def words(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 1)
+POSTINGS = "term string, ids array<long>, n array<int>, positions array<array<int>>"
+
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def inverted(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
+    """POSTINGS of some documents."""
+    found: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
+    length = []
+    for d, text in enumerate(texts):
+        at: dict[str, list[int]] = defaultdict(list)
+        own = words(text)
+        length.append(len(own))
+        for i, w in enumerate(own):
+            at[w].append(i)
+        for w, places in at.items():
+            found[w].append((d, places))
+    terms = sorted(found)
+    docs = np.fromiter((d for w in terms for d, _ in found[w]), np.int64)
+    ends = np.cumsum([0, *(len(found[w]) for w in terms)], dtype=np.int32)
+    each = np.cumsum([0, *(len(p) for w in terms for _, p in found[w])], dtype=np.int32)
+    places = np.fromiter((i for w in terms for _, p in found[w] for i in p), np.int32)
+    of_doc = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(np.array(values, kind)[docs]))
+    positions = pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(each, pa.array(places)))
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), of_doc(ids, np.int64), of_doc(length, np.int32), positions], names=["term", "ids", "n", "positions"])
 
 
 def clauses(query: str | None) -> list[list[list[str]]]:
     """A query's clauses, each a list of phrases, each a list of words; empty ones are left out."""
     found: list[list[tuple[str, ...]]] = [[]]
     for quoted, loose in re.findall(r'"([^"]*)"|([^\s"]+)', query or ""):
-        own = re.findall(r"[^\W_]+", (quoted or loose).lower())
+        own = words(quoted or loose)
         if loose == "OR":
             found.append([])
         else:
@@ -49,32 +79,47 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
 
 
 class Postings:
-    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, docs: int, mean: float):
-        self.postings, self.lengths, self.terms, self.docs, self.mean = postings, lengths, terms, docs, mean
+    def __init__(self, blocks: DataFrame, terms: DataFrame, docs: int, mean: float):
+        self.blocks, self.terms, self.docs, self.mean = blocks, terms, docs, mean
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> Postings:
-        each = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.coalesce(text, F.lit(""))).alias("w")).withColumn("n", F.size("w"))
-        each.select("id", "n").write.mode("overwrite").parquet(f"{path}/lengths")
-        found = each.select("id", "n", F.posexplode("w").alias("at", "term")).groupBy("term", "id", "n").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-        found.select("term", "id", "n", F.size("positions").alias("tf"), "positions").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, texts = [], []
+            for b in batches:
+                for lo in range(0, b.num_rows, DOCS):
+                    part = b.slice(lo, DOCS - len(ids))
+                    ids, texts = ids + part.column("id").to_pylist(), texts + part.column("text").to_pylist()
+                    if len(ids) >= DOCS:
+                        yield inverted(ids, texts)
+                        ids, texts = [], []
+            if ids:
+                yield inverted(ids, texts)
+
         spark = rows.sparkSession
-        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        each = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+        blocks = each.mapInArrow(run, POSTINGS).repartition("term", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).sortWithinPartitions("term")
+        blocks.write.mode("overwrite").parquet(f"{path}/postings")
+        tf = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + F.size(p))
+        found = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(tf).alias("tf"))
+        found.write.mode("overwrite").parquet(f"{path}/terms")
+        n, all_ = each.count(), spark.read.parquet(f"{path}/terms").agg(F.sum("tf")).first()[0]
+        spark.createDataFrame([(n, (all_ or 0) / max(1, n))], "docs long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return cls.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Postings:
-        postings, lengths, terms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms"))
-        docs, mean = lengths.agg(F.count(F.lit(1)), F.avg("n")).first()
-        return cls(postings, lengths, terms, docs, mean or 0.0)
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), *spark.read.parquet(f"{path}/totals").first())
 
     def _met(self, asked: DataFrame, few: bool) -> DataFrame:
-        """asked joined with the postings of its terms."""
+        """asked joined with its terms' documents: id, n, positions."""
         if few:
-            return self.postings.join(F.broadcast(asked), "term")
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-        copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return self.postings.withColumn("_salt", salt).join(copies, ["term", "_salt"]).drop("_salt")
+            met = self.blocks.join(F.broadcast(asked), "term")
+        else:
+            copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = self.blocks.withColumn("_salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(copies, ["term", "_salt"])
+        met = met.select(*asked.columns, F.explode(F.arrays_zip("ids", "n", "positions")).alias("d"))
+        return met.select(*asked.columns, F.col("d.ids").alias("id"), F.col("d.n").alias("n"), F.col("d.positions").alias("positions"))
 
     def matches(self, asked: DataFrame, few: bool) -> DataFrame:
         """query_id, id of the documents that hold a whole clause. asked: query_terms(); few: they may be broadcast."""
@@ -92,7 +137,8 @@ class Postings:
         df = F.col("df")
         own = asked.select("query_id", "term").distinct()
         own = self.terms.join(F.broadcast(own) if few else own, "term").select("query_id", "term", F.log1p((F.lit(self.docs) - df + 0.5) / (df + 0.5)).alias("weight"))
-        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / self.mean))
+        tf = F.size("positions")
+        part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / self.mean))
         return self._met(own, few).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
     def search(self, queries: DataFrame, k: int | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:

@@ -54,7 +54,7 @@ def fit(train: DataFrame, label: str = "label", vec: str = "embedding", c: float
     w = metrics.balanced_weights(train, label).select(F.col("label").alias("_l"), "weight")
     rows = train.join(w, F.col(label) == F.col("_l")).select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vec).cast("array<double>")).alias("features"), "weight")
     n = rows.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(family="multinomial", maxIter=max_iter, tol=1e-8, elasticNetParam=0.0, standardization=False, weightCol="weight", regParam=1.0 / (c * n)).fit(rows)
+    return LogisticRegression(family="multinomial", maxIter=max_iter, tol=1e-6, elasticNetParam=0.0, standardization=False, weightCol="weight", regParam=1.0 / (c * n)).fit(rows)
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame, vec: str = "embedding", names: tuple[str, ...] | None = None) -> DataFrame:

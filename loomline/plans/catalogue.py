@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import classify, metrics, postings, probe, records, retrieval
+from ..operators import classify, epochs, metrics, postings, probe, records, retrieval
 from ..sources import bigxml, files, landing, lateral, parsers
 from ..sources.parsers import HtmlRules
 
@@ -362,20 +362,32 @@ def parse_llm_json(spark, sf_dir):
 @query()
 def linear_probe(spark, sf_dir):
     """Fit on the train part, predict the test part: label, prediction, its probability."""
-    s = probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id").persist()
+    s = landing.landed(probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id"), "split")
     model = probe.fit(s.where("split = 'train'"))
     out = probe.predict(model, s.where("split = 'test'"))
     return out.select("vec_id", "label", "prediction", F.round(F.array_max("probability"), 6).alias("confidence"))
 
 
-@query("""SELECT doc_id, source AS truth, CASE WHEN n_chars % 2 = 0 THEN 'src0' ELSE 'src1' END AS pred, n_chars % 2 / 2 AS conf,
-source IN ('src0', 'src1') AND source = CASE WHEN n_chars % 2 = 0 THEN 'src0' ELSE 'src1' END AS correct FROM documents WHERE source IN ('src0', 'src1', 'src2')""")
+@query()
+def epoch_training(spark, sf_dir):
+    """Softmax regression on the embeddings, eight epochs of two steps, each with its loss and what it scores on the rows held out."""
+    s = probe.stratified_split(table(spark, sf_dir, "embeddings"), "vec_id")
+    plan = epochs.Plan(classes=10, dim=64, epochs=8, batches=2)
+    out = epochs.train(s.where("split = 'train'"), s.where("split = 'test'"), landing.fresh(spark, "training"), plan)
+    return out.select("model", "epoch", *(F.round(c, 9).alias(c) for c in ("loss", "macro_f1", "accuracy")), "best")
+
+
+@query("""WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), n AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS k FROM s),
+x AS (SELECT d.doc_id, d.source, d.n_chars % 2 AS odd, p.source AS pred FROM documents d JOIN n USING (source) JOIN n p ON p.i = (n.i + d.n_chars % 2) % n.k)
+SELECT doc_id, source AS truth, pred, odd / 2 AS conf, source = pred AS correct FROM x""")
 def prediction_frame(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("source in ('src0', 'src1', 'src2')")
-    even = F.col("n_chars") % 2 == 0
-    said = d.select("doc_id", "text", F.when(even, "src0").otherwise("src1").alias("label"), (F.col("n_chars") % 2 / 2).alias("confidence"), F.lit("").alias("reasoning"))
-    truth = d.select("doc_id", F.substring("source", 4, 2).cast("int").alias("label"))
-    return classify.with_truth(said, truth, "doc_id", ("src0", "src1", "src2")).select("doc_id", "truth", "pred", "conf", "correct")
+    """Sources as classes, all of them: an even length is predicted right, an odd one as the next source."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    names = tuple(r.source for r in d.select("source").distinct().orderBy("source").collect())  # as many as there are sources
+    known, odd = F.array(*map(F.lit, names)), F.col("n_chars") % 2
+    own = (F.array_position(known, F.col("source")) - 1).cast("int")
+    said = d.select("doc_id", "text", F.element_at(known, (F.pmod(own + odd, F.lit(len(names))) + 1).cast("int")).alias("label"), (odd / 2).alias("confidence"), F.lit("").alias("reasoning"))
+    return classify.with_truth(said, d.select("doc_id", own.alias("label")), "doc_id", names).select("doc_id", "truth", "pred", "conf", "correct")
 
 
 _RESULTS = "SELECT source AS model, avg(n_chars) / 10000 AS v, min(n_chars) AS low, max(n_chars) AS high, count(*) AS n FROM documents GROUP BY source"
@@ -438,19 +450,21 @@ FROM m JOIN s USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query
 def bm25_search(spark, sf_dir):
     """The first five words of each benchmark text as a query, `a b OR "c d" OR e`, over all documents by an index of postings."""
     index = postings.Postings.build(table(spark, sf_dir, "documents"), landing.fresh(spark, "postings"))
-    w = postings.words("text")
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     asked = F.concat_ws(" ", w[0], w[1], F.lit("OR"), F.concat(F.lit('"'), w[2], F.lit(" "), w[3], F.lit('"')), F.lit("OR"), w[4])
     found = index.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("query")), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("""SELECT doc_id, source AS got, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS explicit, '' AS missing, 'lang' AS back, 2 AS size, CASE WHEN lang = 'en' THEN source ELSE 'head ' || lang END AS label FROM documents""")
+@query("""SELECT doc_id, source AS got, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS explicit, '' AS missing, 'n' || n_chars % 7 AS back, CASE WHEN n_chars % 7 = n_chars % 5 THEN 1 ELSE 2 END::INTEGER AS size, CASE WHEN lang = 'en' THEN source ELSE 'head ' || lang END AS label FROM documents""")
 def map_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     m = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.when(F.col("lang") != "en", F.col("lang")))
     meta = F.create_map(F.lit("heading"), F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("head "), "lang")), F.lit("case_name"), F.col("source"))
-    back = tx.inverted(F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")))[F.col("lang")]
-    return d.select("doc_id", tx.map_get(m, "source").alias("got"), tx.map_get(m, "lang").alias("explicit"), tx.map_get(m, "none").alias("missing"), back.alias("back"), F.size(m).alias("size"), records.display_label(meta).alias("label"))
+    n = lambda k: (F.col("n_chars") % k).cast("string")
+    names = F.map_from_arrays(F.array_distinct(F.array(F.concat(F.lit("n"), n(7)), F.concat(F.lit("n"), n(5)))), F.array_distinct(F.array(n(7), n(5))))
+    back = tx.inverted(names)[n(7)]
+    return d.select("doc_id", tx.map_get(m, "source").alias("got"), tx.map_get(m, "lang").alias("explicit"), tx.map_get(m, "none").alias("missing"), back.alias("back"), F.size(names).alias("size"), records.display_label(meta).alias("label"))
 
 
 @query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM x)
@@ -459,11 +473,11 @@ def softmax(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vx.softmax("embedding"), lambda x: F.round(x, 9)).alias("p"))
 
 
-@query("""SELECT page_id, nullif(regexp_extract(url, '[0-9]+', 0), '') AS digits, rtrim(ltrim(url, 'htps:/'), 'hlmt.x') AS trimmed, 'https' || '__' AS folder, 'u:' || url AS prefixed, rpad(left(url, 12), 12, ' ') AS padded FROM pages""")
+@query("""SELECT page_id, nullif(regexp_extract(url, '[0-9]+', 0), '') AS digits, rtrim(ltrim(url, 'htps:/'), 'hlmt.x') AS trimmed, replace(url, '/', '__') AS folder, 'u:' || url AS prefixed, CASE WHEN length(url) < 45 THEN rpad(url, 45, ' ') ELSE url END AS padded FROM pages""")
 def text_functions(spark, sf_dir):
     url = F.col("url")
     return table(spark, sf_dir, "pages").select(
-        "page_id", tx.first_digits(url).alias("digits"), tx.trim_chars(url, "htps:/", "hlmt.x").alias("trimmed"), tx.folder_name(F.lit("https/")).alias("folder"), tx.prefixed("u:", url).alias("prefixed"), tx.padded(F.left(url, F.lit(12)), 12).alias("padded"))
+        "page_id", tx.first_digits(url).alias("digits"), tx.trim_chars(url, "htps:/", "hlmt.x").alias("trimmed"), tx.folder_name(url).alias("folder"), tx.prefixed("u:", url).alias("prefixed"), tx.padded(url, 45).alias("padded"))
 
 
 @query("""SELECT doc_id, string_split(text, ' ')[4:] AS answer FROM documents WHERE text IS NOT NULL""")
