@@ -6,7 +6,8 @@ it and the row that stays). A new row asks the filter first: a miss is new for c
 at; a hit is verified against the bucket's content, so a false hit can't drop a row. When an insertion runs out of
 kicks, the filter is rebuilt at twice the size from the stored keys. Deletion removes a live digest's tag and its entry.
 The index is a table, a row a bucket with its filter as it stands: `update_index` takes new rows and digests to delete,
-`probe_index` asks it.
+`probe_index` asks it. Where an update could bring the live digests past `bucket_digests` a bucket, the buckets are doubled first,
+each split by the next bits from its stored content, so a bucket stays bounded as the index grows.
 
 Rows are reduced to narrow ones first and written. Each task folds its own through an index, so a text that a third of
 the rows share leaves one entry a task; the entries then meet by bucket. Buckets follow the number of entries.
@@ -172,15 +173,39 @@ def _stored(slot: int, bits: int, index: CuckooIndex) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slot", "bits", "live", "bucket"])
 
 
-def update_index(index: DataFrame | None, entries: DataFrame | None = None, gone: DataFrame | None = None, bits: int = 0) -> DataFrame:
+def split_buckets(index: DataFrame, bits: int) -> DataFrame:
+    """The index with 2^bits buckets, at least as many as it has: each is dealt by its digests' next bits, from the stored content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for slot, had, blob in zip(*(b.column(c).to_pylist() for c in ("slot", "bits", "bucket")), strict=True):
+                if had == bits:
+                    yield from _stored(slot, bits, pickle.loads(blob)).to_batches()  # noqa: S301  our own, from _stored
+                    continue
+                parts: dict[int, list] = {}
+                for key, entry in pickle.loads(blob).kept.items():  # noqa: S301
+                    parts.setdefault(int.from_bytes(key[:4], "big") >> (32 - bits), []).append((key, entry))
+                for part, own in sorted(parts.items()):
+                    yield from _stored(part, bits, fold(own, CuckooIndex(len(own)))).to_batches()
+
+    return index.mapInArrow(run, INDEX)
+
+
+def update_index(index: DataFrame | None, entries: DataFrame | None = None, gone: DataFrame | None = None, bits: int = 0, bucket_digests: int = 25_000) -> DataFrame:
     """The index after inserting `entries` (ENTRY) and deleting the digests of `gone` (digest binary), in this order. Each
-    bucket's filter is taken up as it was stored. index None: a new one of 2^bits buckets."""
+    bucket's filter is taken up as it was stored; buckets without a change pass through as they are. index None: a new one of
+    at least 2^bits buckets."""
     spark = next(x for x in (index, entries, gone) if x is not None).sparkSession
+    none = spark.createDataFrame([], ENTRY)
+    held = 0
     if index is None:
         index = spark.createDataFrame([], INDEX)
-    elif row := index.select("bits").first():
-        bits = row.bits
-    none = spark.createDataFrame([], ENTRY)
+    else:
+        held, had = index.agg(F.sum("live"), F.max("bits")).first()
+        held, had = held or 0, had or 0
+        bits = max(had, bits_for(held + (entries.count() if entries is not None else 0), bucket_digests))
+        if bits > had:
+            index = materialise(split_buckets(index, bits), "split-index")
     new = (none if entries is None else entries.select(*NAMES)).withColumn("live", F.lit(True))
     old = (none if gone is None else gone.select("digest", *(F.lit(None).cast(c.dataType).alias(c.name) for c in none.schema.fields[1:]))).withColumn("live", F.lit(False))
     changes = new.union(old).withColumn("slot", slot_of("digest", bits))
@@ -193,7 +218,12 @@ def update_index(index: DataFrame | None, entries: DataFrame | None = None, gone
             own.delete(digest)
         return _stored(key[0].as_py(), bits, own)
 
-    return index.groupBy("slot").cogroup(changes.groupBy("slot")).applyInArrow(run, INDEX)
+    if not held:
+        return index.groupBy("slot").cogroup(changes.groupBy("slot")).applyInArrow(run, INDEX)
+    touched = materialise(changes.select("slot").distinct(), "touched")  # at most as many rows as buckets
+    same = index.join(touched, "slot", "left_anti").select(*index.columns)
+    some = index.join(touched, "slot", "left_semi").select(*index.columns)
+    return same.unionByName(some.groupBy("slot").cogroup(changes.groupBy("slot")).applyInArrow(run, INDEX))
 
 
 def live_entries(index: DataFrame) -> DataFrame:

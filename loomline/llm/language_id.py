@@ -193,7 +193,7 @@ def document_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A document has no address or markup of its own: of those in its text the first is used; its source is the host."""
     text = F.col(text_col)
     suffix = F.regexp_extract(text, r"(?:@|://)[A-Za-z0-9.-]*\.([A-Za-z]{2,})\b", 1)
-    declared = F.regexp_extract(text, r"(?i)<html[^>]{0,400}\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    declared = F.regexp_extract(text, r"(?i)<html[^<>]*\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
     return docs.select(
         F.col(id_col).cast("long").alias("id"), text.alias("body"),
         _some(F.lower(F.when(text.contains("<html") | text.contains("<HTML"), declared))).alias("declared"),

@@ -3,9 +3,10 @@
 Every source is cut into blocks by a hash of its documents' ids; there are more blocks where there are more rows. A
 source's target is met exactly, to the word, by whole passes over all its blocks and one partial pass. The blocks of a
 pass are dealt to output shards by a tree: a node with k shards and N blocks gives its left half N * (k / 2) / k of them,
-and how many of these each source and pass provides is a multivariate hypergeometric draw (selection sampling with
-hashed uniforms, so reruns agree). Leaves are exact quotas; a source's permuted blocks go to shards by their quotas,
-disjoint. In the partial pass a shard draws from the blocks that the tree gave it: its share of the source's words left,
+and how many of these each source and pass provides is a multivariate hypergeometric draw: the node's blocks, of all sources
+and passes, are drawn without replacement, in the order of a hash, so reruns agree. The order is one for all nodes, as what a
+node has of it is in random order too; a block's place in it, counted by slices, tells its way down the tree. Leaves are exact
+quotas; a source's permuted blocks go to shards by their quotas, disjoint. In the partial pass a shard draws from the blocks that the tree gave it: its share of the source's words left,
 in a permuted order; the block on the edge is cut by its documents in a permuted order, and there one document's share
 may be a part of it. So the tree decides which documents are taken, and the targets how many words. Inside a shard a
 hashed order shuffles: every draw has its place in it, from 0.
@@ -16,7 +17,7 @@ have size 0 and are taken 0 times. Null ids are dealt by their text. Repeated ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, word_count
@@ -64,27 +65,27 @@ def candidates(blocks: DataFrame, goals: DataFrame) -> DataFrame:
     return b.select("source", "block", "block_size", "source_size", "rest", "pass", (F.col("pass") < F.col("passes")).alias("whole"), key.alias("key"))
 
 
+def leaf(at: Column, blocks: Column, lo: int, k: int) -> Column:
+    """The tree: the shard, of k from `lo` on, of the draw in place `at` of a node's `blocks`."""
+    if k == 1:
+        return F.lit(lo)
+    left = F.floor(blocks * (k // 2) / k).cast("long")
+    return F.when(at < left, leaf(at, left, lo, k // 2)).otherwise(leaf(at - left, blocks - left, lo + k // 2, k - k // 2))
+
+
 def split_quotas(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(source, n) -> (source, shard, n): the splitting tree, a level at a time. A node is a row with its quotas.
-    source: a source, or a source and a pass."""
-    node = counts.agg(F.array_sort(F.collect_list(F.struct("source", F.col("n").cast("long").alias("n")))).alias("items"))
-    node = node.select(F.lit(0).alias("lo"), F.lit(shards).alias("k"), "items")
-    for _ in range((shards - 1).bit_length()):
-        node = node.withColumn("total", F.expr("aggregate(items, 0L, (a, x) -> a + x.n)")).withColumn("left", F.expr("total * (k div 2) div k"))
-        taken = f"if(pmod(xxhash64(x.source, i, lo, k, {seed}), 4503599627370496) / 4503599627370496D * a.t < a.d, 1L, 0L)"
-        folded = f"""aggregate(items,
-            array(named_struct('source', cast(null as string), 'n', 0L, 'at', named_struct('t', total, 'd', left, 'c', 0L))),
-            (acc, x) -> concat(acc, array(named_struct('source', x.source, 'n', x.n, 'at',
-                aggregate(sequence(1L, x.n),
-                    named_struct('t', element_at(acc, -1).at.t, 'd', element_at(acc, -1).at.d, 'c', 0L),
-                    (a, i) -> named_struct('t', a.t - 1L, 'd', a.d - {taken}, 'c', a.c + {taken}))))))"""
-        node = node.withColumn("done", F.expr(f"if(k > 1, slice({folded}, 2, 2147483647), null)"))
-        node = node.select(F.explode(F.expr("""if(k > 1, array(
-            named_struct('lo', lo, 'k', k div 2, 'items', filter(transform(done, x -> named_struct('source', x.source, 'n', x.at.c)), x -> x.n > 0)),
-            named_struct('lo', lo + k div 2, 'k', k - k div 2, 'items', filter(transform(done, x -> named_struct('source', x.source, 'n', x.n - x.at.c)), x -> x.n > 0))),
-            array(named_struct('lo', lo, 'k', k, 'items', items)))""")).alias("x"))
-        node = node.select(F.col("x.lo").cast("int").alias("lo"), F.col("x.k").cast("int").alias("k"), F.col("x.items").alias("items"))
-    return node.select(F.col("lo").alias("shard"), F.explode("items").alias("x")).select("x.source", "shard", "x.n")
+    """(source, n) -> (source, shard, n): the leaves' quotas. source: a source, or a source and a pass; n: its blocks, each a row here."""
+    drawn = counts.where("n > 0").select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("i"))
+    drawn = drawn.withColumn("order", F.xxhash64("source", "i", F.lit(seed)))
+    blocks = counts.agg(F.sum("n")).first()[0] or 0
+    bits = max(4, min(20, (blocks >> 16).bit_length()))
+    drawn = drawn.withColumn("slice", F.shiftright("order", 64 - bits))
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^bits rows
+    starts = drawn.groupBy("slice").agg(F.count(F.lit(1)).alias("in_slice")).withColumn("start", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("slice").orderBy("order", "source", "i")) - 1
+    placed = drawn.withColumn("rank", rank).join(starts, "slice").select("source", (F.col("start") + F.col("rank")).alias("place"))
+    shard = leaf(F.col("place"), F.lit(blocks).cast("long"), 0, shards).cast("int")
+    return placed.groupBy("source", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def deal(cands: DataFrame, shards: int, seed: int, tree_seed: int) -> DataFrame:
@@ -157,9 +158,9 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 2048) -> DataFrame:
+def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 2048, most: int = 1 << 16) -> DataFrame:
     """The documents' rows as the mix takes them, once a draw, by `__shard` and inside it by their place `__turn`: partitions
-    hold `slice_rows` places of one shard each, and follow one another in that order.
+    hold `slice_rows` places of one shard each, or as many more as keep them at `most`, sorted, and follow one another in that order.
 
     Rows that repeat id and text are one row, taken as often as they are together."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
@@ -169,6 +170,7 @@ def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
     if not taken.where("n > 1").isEmpty():
         whole = whole.dropDuplicates(["i", "text_hash"])
     last = taken.agg(F.max(F.array_max(F.transform("draws", lambda x: x["places"])))).first()[0]
+    slice_rows = max(slice_rows, -(-((last or 0) + 1) // max(1, most // shards)))
     slices = (last or 0) // slice_rows + 1  # of a shard
     out = whole.join(taken, F.col("i").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("hash")))
     out = out.select("doc", F.explode("draws").alias("draw"))

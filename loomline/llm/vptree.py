@@ -12,7 +12,9 @@ Shards are cut by hash of the id, queries into blocks. A shard's trees are built
 is one task with bounded rows on both sides, which loads the shard's trees. Each gives k rows a query, ranked again over the shards.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; candidates are those
-of the query's own length. Rows that repeat an id are one row (the least vector). An empty table gives none.
+of the query's own length. Rows that repeat an id are candidates of their own, and queries of their own; a query leaves
+out one row that has its id and its vector. Bands and queries are scaled by powers of two, which changes no tie, so components of any
+size have distances and ranks; a score may still be too large for a double, then it is infinite. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 TREES = "shard long, dim int, trees binary"
-HIT = "query_id long, vec_id long, score double"
+HIT = "node long, query_id long, vec_id long, score double, key double"
 
 
 def best_of(score: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +46,9 @@ def best_of(score: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 class VPTree:
-    def __init__(self, points: np.ndarray, names: np.ndarray, leaf: int = 256, seed: int = 5):
-        """points: distinct, float64; names: their numbers in the shard, which search gives back."""
+    def __init__(self, points: np.ndarray, names: np.ndarray, leaf: int = 256, seed: int = 5, unit: float = 1.0):
+        """points: distinct, float64, of lengths near one; names: their numbers in the shard, which search gives back; unit: of scores."""
+        self.unit = unit
         norm = np.einsum("ij,ij->i", points, points)
         self.top = float(np.sqrt(norm.max())) if len(points) else 0.0
         lifted = np.c_[points, np.sqrt(np.maximum(self.top**2 - norm, 0))]
@@ -78,12 +81,12 @@ class VPTree:
             self.lift = np.c_[queries * self.scale[:, None], np.zeros(len(queries))]
             who = np.arange(len(queries))
             # no inner product exceeds the product of the lengths
-            self._visit(self.root, who[self.top**2 / self.scale * (1 + 1e-9) >= self.score[:, -1]])
+            self._visit(self.root, who[self.top**2 / self.scale * (1 + 1e-9) >= self.score[:, -1] / self.unit])
         return self.visited
 
     def _reach(self, who: np.ndarray) -> np.ndarray:
         """Distance of the k-th best so far, with room for rounding."""
-        return np.sqrt(np.maximum(2 * self.top**2 - 2 * self.scale[who] * self.score[who, -1], 0)) + 1e-9 * self.top
+        return np.sqrt(np.maximum(2 * self.top**2 - 2 * self.scale[who] * (self.score[who, -1] / self.unit), 0)) + 1e-9 * self.top
 
     def _visit(self, node: int, who: np.ndarray) -> None:
         if not len(who):
@@ -92,7 +95,7 @@ class VPTree:
         if len(at) == 2:
             raw, names = self.raw[at[0] : at[1]], self.names[at[0] : at[1]]
             self.visited += len(raw) * len(who)
-            got = np.c_[self.score[who], self.q[who] @ raw.T]
+            got = np.c_[self.score[who], self.q[who] @ raw.T * self.unit]
             names = np.c_[self.best[who], np.broadcast_to(names, (len(who), len(names)))]
             self.score[who], self.best[who] = best_of(got, names, self.best.shape[1])
             return
@@ -120,23 +123,36 @@ class Bands:
         which = number[which.ravel()]
         self.ids, self.starts = ids[order][np.argsort(which, kind="stable")], np.r_[0, np.cumsum(np.bincount(which, minlength=len(turn)))]
         self.points = x[first[turn]]
-        band = np.round(np.log(np.sqrt(np.einsum("ij,ij->i", self.points, self.points))) / np.log(1.1)).astype(np.int64)
-        self.trees = [VPTree(self.points[own], own, leaf) for b in np.unique(band)[::-1] for own in [np.flatnonzero(band == b)]]
+        most = np.abs(self.points).max(axis=1, initial=0)
+        unit = self.points / most[:, None]
+        long = np.log2(most) + np.log2(np.einsum("ij,ij->i", unit, unit)) / 2  # of the lengths, whose squares may not be numbers
+        band = np.round(long / np.log2(1.1)).astype(np.int64)
+        power = np.round(band * np.log2(1.1)).astype(np.int64)
+        self.trees = []
+        for b in np.unique(band)[::-1]:
+            own = np.flatnonzero(band == b)
+            self.trees.append(VPTree(np.ldexp(self.points[own], -power[own[0]]), own, leaf, unit=float(np.ldexp(1.0, power[own[0]] - power.max()))))
 
     def search(self, queries: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         best, score = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64), np.full((len(queries), k), -np.inf)
+        queries = np.ldexp(queries, -np.frexp(np.abs(queries).max(axis=1, keepdims=True, initial=0))[1])  # any factor keeps a query's order
         self.visited = sum(t.search(queries, best, score, relax) for t in self.trees)
         return best, score
 
-    def hits(self, own: int, query: np.ndarray, best: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the query's k best: its points' ids without its own."""
+    def hits(self, own: int, query: np.ndarray, best: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, scores and keys (the score by a power of two, of an order where scores have none) of the query's k best: its points' ids without its own."""
         best = best[best < len(self.points)]
-        exact = np.einsum("j,ij->i", query, self.points[best])
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.einsum("j,ij->i", query, self.points[best])
+        key = np.einsum("j,ij->i", np.ldexp(query, -np.frexp(np.abs(query).max())[1]), np.ldexp(self.points[best], -len(query).bit_length()))
         each = [self.ids[self.starts[p] : min(self.starts[p] + k + 1, self.starts[p + 1])] for p in best]
-        score, ids = np.repeat(exact, [len(o) for o in each]), np.concatenate([np.zeros(0, np.int64), *each])
-        score, ids = score[ids != own], ids[ids != own]
-        pick = np.lexsort((ids, -score))[:k]
-        return ids[pick], score[pick]
+        for i, p in enumerate(best):
+            if (self.points[p] == query).all() and len(self_ := np.flatnonzero(each[i] == own)):
+                each[i] = np.delete(each[i], self_[0])
+        n = [len(o) for o in each]
+        score, key, ids = np.repeat(exact, n), np.repeat(key, n), np.concatenate([np.zeros(0, np.int64), *each])
+        pick = np.lexsort((ids, -key))[:k]
+        return ids[pick], score[pick], key[pick]
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -157,26 +173,26 @@ def _build(leaf: int):
 def _search(k: int, relax: float):
     def run(key, queries: pa.Table, shard: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
-        out = [(none, none, none.astype(float))]
+        out = [(none, none, none, none.astype(float), none.astype(float))]
         if queries.num_rows and shard.num_rows:
             bands = pickle.loads(shard.column("trees")[0].as_py())  # noqa: S301  our own, from _build
-            own, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
+            own, node, q = queries.column("id").to_numpy(), queries.column("node").to_numpy(), _matrix(queries.column("v"))
             for lo in range(0, len(own), 1024):
                 best, _ = bands.search(q[lo : lo + 1024], k + 1, relax)
                 for i, row in enumerate(best):
-                    ids, score = bands.hits(own[lo + i], q[lo + i], row, k)
-                    out.append((np.full(len(ids), own[lo + i]), ids, score))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    hits = bands.hits(own[lo + i], q[lo + i], row, k)
+                    out.append((np.full(len(hits[0]), node[lo + i]), np.full(len(hits[0]), own[lo + i]), *hits))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "query_id", "vec_id", "score", "key"])
 
     return run
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>, dim): one row an id."""
+    """(id, v array<double>, dim) of the rows that take part."""
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.where(~bad & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return rows.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
 def _copies(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -201,12 +217,12 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, block_rows: int = 16384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k nearest found, itself left out."""
-    q = usable(queries, id_col, vec_col)
+    q = materialise(usable(queries, id_col, vec_col).withColumn("node", F.monotonically_increasing_id()), "queries")
     blocks, shards = max(1, -(-queries.count() // block_rows)), (index.agg(F.max("shard")).first()[0] or 0) + 1
     q = _copies(q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "shard", shards)
     at = ["shard", "block", "dim"]
     hits = q.groupBy(*at).cogroup(_copies(index, "block", blocks).groupBy(*at)).applyInArrow(_search(k, relax), HIT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("key").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
