@@ -1,61 +1,43 @@
-"""Full-text search: an index of postings with positions, boolean queries with phrases by joins, BM25 for "score desc".
+"""Full-text search: an index of postings with positions, boolean queries with phrases, BM25 for "score desc".
 
 A query is clauses between OR; a clause's words and "quoted phrases" all have to be there. Words are runs of letters and digits in
-lower case. The index is three tables: postings (term, and of some documents each id, its length n and the word's positions),
-terms (term, df, sum of tf) and totals. A row of postings is what one batch of documents has of a term, and rows are never
-gathered by term, so a word that every document has is as spread as the documents. Rows are clustered by term, so the scan
-for a query's terms leaves most row groups out. Query terms are broadcast if there are at most `FEW`; beyond that both sides are joined
-by term and a salt, so that a frequent term has `SALTS` places to go to.
+lower case. Documents are indexed in blocks of `DOCS`. The index is four tables: postings (block, term, of the block's documents
+that have it the places in the block, tf and the words' positions, end to end), blocks (block, ids, lengths), terms (term, df)
+and totals. It is built without a shuffle of postings: a task sorts its own by term, so a scan for a query's terms leaves most
+row groups out. No row grows with the number of documents, whatever share of them has a word.
+
+A search takes queries some at a time, up to `FEW` words. The postings of their words meet by block, where documents are
+matched and scored as arrays, and a block gives each query its k best, ranked again over the blocks.
 
 Ids are unique whole numbers; rows without one are not indexed. A null text has no words; a query without a word finds nothing."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-FEW, SALTS = 20_000, 64
-#: Documents whose postings of a term are one row.
-DOCS = 1024
+#: Words of the queries that are searched for at a time; documents of a block.
+FEW, DOCS = 20_000, 1024
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
-TERMS = "array<struct<clause: int, phrase: int, offset: int, size: int, phrases: int, term: string>>"
-POSTINGS = "term string, ids array<long>, n array<int>, positions array<array<int>>"
+PART = "block long, ids array<long>, n array<int>, term string, docs array<int>, tf array<int>, positions array<int>"
+HIT = "query long, id long, score double"
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def inverted(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
-    """POSTINGS of some documents."""
-    found: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
-    length = []
-    for d, text in enumerate(texts):
-        at: dict[str, list[int]] = defaultdict(list)
-        own = words(text)
-        length.append(len(own))
-        for i, w in enumerate(own):
-            at[w].append(i)
-        for w, places in at.items():
-            found[w].append((d, places))
-    terms = sorted(found)
-    docs = np.fromiter((d for w in terms for d, _ in found[w]), np.int64)
-    ends = np.cumsum([0, *(len(found[w]) for w in terms)], dtype=np.int32)
-    each = np.cumsum([0, *(len(p) for w in terms for _, p in found[w])], dtype=np.int32)
-    places = np.fromiter((i for w in terms for _, p in found[w] for i in p), np.int32)
-    of_doc = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(np.array(values, kind)[docs]))
-    positions = pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(each, pa.array(places)))
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), of_doc(ids, np.int64), of_doc(length, np.int32), positions], names=["term", "ids", "n", "positions"])
-
-
 def clauses(query: str | None) -> list[list[list[str]]]:
     """A query's clauses, each a list of phrases, each a list of words; empty ones are left out."""
     found: list[list[tuple[str, ...]]] = [[]]
@@ -68,29 +50,88 @@ def clauses(query: str | None) -> list[list[list[str]]]:
     return [[list(p) for p in dict.fromkeys(c)] for c in found if c]
 
 
-def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """query_id, clause, phrase, offset, size (of the phrase), phrases (of the clause), term: a row a word of a query."""
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values, kind))
 
-    @F.udf(TERMS)
-    def parsed(text):
-        return [(c, p, i, len(phrase), len(clause), w) for c, clause in enumerate(clauses(text)) for p, phrase in enumerate(clause) for i, w in enumerate(phrase)]
 
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(parsed(F.col(query))).alias("t")).select("query_id", "t.*")
+def inverted(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
+    """PART of a block: a row without a term that has the documents, and one for each term."""
+    number: dict[str, int] = defaultdict(count().__next__)
+    term, length = [], []
+    for text in texts:
+        own = words(text)
+        length.append(len(own))
+        term.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+    length, term = np.array(length, np.int32), np.concatenate([*term, np.zeros(0, np.int32)])
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), length)
+    at = (np.arange(len(term)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+    order = np.argsort(term, kind="stable")  # by term, then document, then place
+    term, doc, at = term[order], doc[order], at[order]
+    new = np.r_[True, term[1:] != term[:-1]][: len(term)]
+    pair = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]][: len(term)])
+    tf = np.diff(np.append(pair, len(term))).astype(np.int32)
+    first = np.flatnonzero(new)
+    each = np.searchsorted(pair, first)
+    block = int.from_bytes(hashlib.blake2b(np.array(ids, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+    none, n = np.zeros(0, np.int32), len(first)
+    cols = [
+        pa.array(np.full(n + 1, block)), _lists(np.array(ids, np.int64), np.r_[0, np.full(n, len(ids))], pa.int64()), _lists(length, np.r_[0, np.full(n, len(ids))], pa.int32()),
+        pa.array([None, *number], pa.string()), *(_lists(v if len(v) else none, np.r_[0, s], pa.int32()) for v, s in ((doc[pair], each), (tf, each), (at, first))),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in PART.split(", ")])
+
+
+class Block:
+    """A block's documents and what it has of the words asked for."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, mean: float):
+        self.ids, self.norm = ids, K1 * (1 - B + B * n / (mean or 1.0))
+        self.docs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def has(self, phrase: list[str]) -> np.ndarray:
+        out = np.zeros(len(self.ids), bool)
+        if all(w in self.docs for w in phrase):
+            if len(phrase) == 1:
+                out[self.docs[phrase[0]][0]] = True
+            else:
+                starts = None  # document and place where the phrase would begin, by each of its words
+                for i, w in enumerate(phrase):
+                    docs, tf, at = self.docs[w]
+                    own = (np.repeat(docs, tf).astype(np.int64) << 32) + at - i
+                    starts = own if starts is None else np.intersect1d(starts, own)
+                out[starts >> 32] = True
+        return out
+
+    def search(self, query: list[list[list[str]]], weights: dict[str, float], k: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the documents that hold a clause; the k best."""
+        found = np.zeros(len(self.ids), bool)
+        for clause in query:
+            found |= np.logical_and.reduce([self.has(p) for p in clause])
+        score = np.zeros(len(self.ids))
+        for w in dict.fromkeys(w for clause in query for p in clause for w in p):
+            if w in self.docs:
+                docs, tf, _ = self.docs[w]
+                score[docs] += weights[w] * tf * (K1 + 1) / (tf + self.norm[docs])
+        at = np.flatnonzero(found)
+        if k is not None and len(at) > k:
+            at = at[np.lexsort((self.ids[at], -np.round(score[at], 9)))[:k]]
+        return self.ids[at], score[at]
 
 
 class Postings:
-    def __init__(self, blocks: DataFrame, terms: DataFrame, docs: int, mean: float):
-        self.blocks, self.terms, self.docs, self.mean = blocks, terms, docs, mean
+    def __init__(self, postings: DataFrame, blocks: DataFrame, terms: DataFrame, docs: int, mean: float):
+        self.postings, self.blocks, self.terms, self.docs, self.mean = postings, blocks, terms, docs, mean
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> Postings:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = [], []
             for b in batches:
-                for lo in range(0, b.num_rows, DOCS):
-                    part = b.slice(lo, DOCS - len(ids))
-                    ids, texts = ids + part.column("id").to_pylist(), texts + part.column("text").to_pylist()
-                    if len(ids) >= DOCS:
+                at = 0
+                while at < b.num_rows:
+                    part = b.slice(at, DOCS - len(ids))
+                    ids, texts, at = ids + part.column("id").to_pylist(), texts + part.column("text").to_pylist(), at + part.num_rows
+                    if len(ids) == DOCS:
                         yield inverted(ids, texts)
                         ids, texts = [], []
             if ids:
@@ -98,54 +139,57 @@ class Postings:
 
         spark = rows.sparkSession
         each = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-        blocks = each.mapInArrow(run, POSTINGS).repartition("term", F.pmod(F.xxhash64("ids"), F.lit(SALTS))).sortWithinPartitions("term")
-        blocks.write.mode("overwrite").parquet(f"{path}/postings")
-        tf = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + F.size(p))
-        found = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(tf).alias("tf"))
-        found.write.mode("overwrite").parquet(f"{path}/terms")
-        n, all_ = each.count(), spark.read.parquet(f"{path}/terms").agg(F.sum("tf")).first()[0]
-        spark.createDataFrame([(n, (all_ or 0) / max(1, n))], "docs long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        parts = each.mapInArrow(run, PART).withColumn("kind", F.when(F.col("term").isNull(), "blocks").otherwise("postings"))
+        parts.sortWithinPartitions("kind", "term").write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+        postings, blocks = cls._parts(spark, path)
+        postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        totals = blocks.agg(F.sum(F.size("ids")).alias("docs"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words"))
+        totals.select(F.coalesce("docs", F.lit(0)).cast("long").alias("docs"), F.coalesce(F.col("words") / F.col("docs"), F.lit(0.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
         return cls.load(spark, path)
 
+    @staticmethod
+    def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+        parts = lambda: spark.read.schema(f"{PART}, kind string").parquet(f"{path}/parts")  # noqa: E731  two scans, as they meet by block
+        return parts().where("kind = 'postings'").select("block", "term", "docs", "tf", "positions"), parts().where("kind = 'blocks'").select("block", "ids", "n")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Postings:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), *spark.read.parquet(f"{path}/totals").first())
-
-    def _met(self, asked: DataFrame, few: bool) -> DataFrame:
-        """asked joined with its terms' documents: id, n, positions."""
-        if few:
-            met = self.blocks.join(F.broadcast(asked), "term")
-        else:
-            copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            met = self.blocks.withColumn("_salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(copies, ["term", "_salt"])
-        met = met.select(*asked.columns, F.explode(F.arrays_zip("ids", "n", "positions")).alias("d"))
-        return met.select(*asked.columns, F.col("d.ids").alias("id"), F.col("d.n").alias("n"), F.col("d.positions").alias("positions"))
-
-    def matches(self, asked: DataFrame, few: bool) -> DataFrame:
-        """query_id, id of the documents that hold a whole clause. asked: query_terms(); few: they may be broadcast."""
-        met = self._met(asked, few)
-        # one word, or the places where a phrase would start by each of its words
-        lone = met.where("size = 1").select("query_id", "clause", "phrases", "phrase", "id")
-        runs = met.where("size > 1").select("query_id", "clause", "phrases", "phrase", "size", "offset", "id", F.explode("positions").alias("at"))
-        runs = runs.groupBy("query_id", "clause", "phrases", "phrase", "size", "id", (F.col("at") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-        phrase = runs.where("n = size").select("query_id", "clause", "phrases", "phrase", "id").distinct()
-        clause = lone.unionByName(phrase).groupBy("query_id", "clause", "phrases", "id").agg(F.count(F.lit(1)).alias("n"))
-        return clause.where("n = phrases").select("query_id", "id").distinct()
-
-    def scores(self, asked: DataFrame, few: bool) -> DataFrame:
-        """query_id, id, score: BM25 over a query's distinct words."""
-        df = F.col("df")
-        own = asked.select("query_id", "term").distinct()
-        own = self.terms.join(F.broadcast(own) if few else own, "term").select("query_id", "term", F.log1p((F.lit(self.docs) - df + 0.5) / (df + 0.5)).alias("weight"))
-        tf = F.size("positions")
-        part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / self.mean))
-        return self._met(own, few).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+        return cls(*cls._parts(spark, path), spark.read.parquet(f"{path}/terms"), *spark.read.parquet(f"{path}/totals").first())
+
+    def _search(self, asked: list[tuple[int, list[list[list[str]]]]], k: int | None) -> DataFrame:
+        spark, mean = self.blocks.sparkSession, self.mean
+        names = sorted({w for _, q in asked for clause in q for p in clause for w in p})
+        own = F.broadcast(spark.createDataFrame([(w,) for w in names], "term string"))  # at most FEW and a query's more
+        df = {r.term: r.df for r in self.terms.join(own, "term").collect()}
+        weights = {w: math.log1p((self.docs - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+
+        def run(key, postings: pa.Table, block: pa.Table) -> pa.Table:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if postings.num_rows and block.num_rows:
+                ids, n = (block.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "n"))
+                here = Block(ids, n, mean)
+                values = {c: postings.column(c).combine_chunks() for c in ("docs", "tf", "positions")}
+                for i, w in enumerate(postings.column("term").to_pylist()):
+                    here.docs[w] = tuple(values[c][i].values.to_numpy() for c in ("docs", "tf", "positions"))
+                for number, query in asked:
+                    ids, score = here.search(query, weights, k)
+                    out.append((np.full(len(ids), number), ids, score))
+            return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query", "id", "score"])
+
+        return self.postings.join(own, "term").groupBy("block").cogroup(self.blocks.groupBy("block")).applyInArrow(run, HIT)
 
     def search(self, queries: DataFrame, k: int | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
-        """query_id, id, score, and with k rank: the k best of each query, ties to the smaller id."""
-        asked = query_terms(queries, query_id, query)
-        few = asked.count() <= FEW
-        found = self.matches(asked, few).join(self.scores(asked, few), ["query_id", "id"])
+        """query_id, id, score, and with k rank: the k best of each query, ties to the smaller id. Query ids are whole numbers."""
+        spark = queries.sparkSession
+        parts = queries.select(F.col(query_id).cast("long").alias("i"), F.col(query).alias("q")).where("i is not null and q is not null")
+        size = F.size(F.split("q", r"\s+"))
+        rounds = -(-(parts.agg(F.sum(size)).first()[0] or 0) // FEW)
+        found = spark.createDataFrame([], HIT)
+        for r in range(rounds):
+            some = parts.where(F.pmod(F.xxhash64("i", "q"), F.lit(rounds)) == r).collect()  # about FEW words
+            asked = [(x.i, c) for x in some if (c := clauses(x.q))]
+            found = found.unionByName(self._search(asked, k)) if asked else found
+        found = found.withColumnRenamed("query", "query_id")
         if k is None:
             return found
         order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")

@@ -36,9 +36,10 @@ def test_clauses():
     assert postings.clauses(None) == postings.clauses(' OR "" OR --') == []
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_search(spark, tmp_path, monkeypatch, few):
+@pytest.mark.parametrize("few, docs_", [(20_000, 1024), (6, 7)])
+def test_search(spark, tmp_path, monkeypatch, few, docs_):
     monkeypatch.setattr(postings, "FEW", few)
+    monkeypatch.setattr(postings, "DOCS", docs_)
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 30)))) for i in range(150)] + [(200, None), (201, ""), (202, "the " * 500), (None, "stolen car")]
     asked = {1: "car van", 2: '"stolen car" OR 42', 3: '"was in london" été OR "the the"', 4: "nowhere OR STRASSE", 5: "straße", 6: "", 7: '"the car" "car the" van', 8: None}
