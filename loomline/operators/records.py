@@ -67,6 +67,16 @@ def opinion_text(plain: Column, cited: Column, html: Column) -> Column:
     return squash(or_else(plain, strip_tags(or_else(cited, html, F.lit("")))))
 
 
+def first_citation(raw: Column | str, other: Column) -> Column:
+    """The first of a JSON list, a JSON string, or a text that is no JSON, as it is; else (null, an empty list, blank) `other`."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    v = F.try_parse_json(raw)
+    listed, text = F.try_variant_get(v, "$[0]", "string"), F.try_variant_get(v, "$", "string")
+    kind = F.schema_of_variant(v)
+    said = F.when(v.isNull(), raw).when(kind.startswith("ARRAY"), listed).when(kind != "VOID", text)
+    return or_else(said, other)
+
+
 def judgments(hits: DataFrame, opinions: DataFrame | None = None, max_chars: int = 8000, max_docs: int | None = None) -> DataFrame:
     """Search hits (raw JSON fields, `position` their order), left-joined with fetched opinions -> records.
 
@@ -84,11 +94,10 @@ def judgments(hits: DataFrame, opinions: DataFrame | None = None, max_chars: int
         h = h.orderBy("position").limit(max_docs)
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     case = or_else("caseName", "caseNameFull", F.lit(""))
-    cites = F.coalesce(F.try_element_at(F.from_json("citation", "array<string>"), F.lit(1)), F.when(~F.col("citation").startswith("["), F.col("citation")))
     head = F.concat(case, F.lit(" ("), none("court_citation_string"), F.lit(", "), none("dateFiled"), F.lit(")"))
     return h.select(
         F.concat(F.lit("cl-op-"), or_else("opinion_id", none("cluster_id"))).alias("id"), F.concat(head, F.lit("\n\n"), truncate("chosen", max_chars)).alias("text"),
-        F.lit(JUDGMENTS).alias("source"), or_else(cites, case, F.lit("?")).alias("citation"), F.lit("judgment").alias("type"),
+        F.lit(JUDGMENTS).alias("source"), first_citation("citation", or_else(case, F.lit("?"))).alias("citation"), F.lit("judgment").alias("type"),
         metadata(
             case_name=case, court=none("court"), court_id=none("court_id"), date_filed=none("dateFiled"), docket_number=none("docketNumber"),
             cluster_id=none("cluster_id"), opinion_id=F.col("opinion_id"), absolute_url=prefixed(JUDGMENT_SITE, "absolute_url"),

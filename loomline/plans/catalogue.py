@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import classify, epochs, metrics, postings, probe, records, retrieval
+from ..operators import classify, encoder, epochs, metrics, postings, probe, records, retrieval
 from ..sources import bigxml, files, landing, lateral, parsers
 from ..sources.parsers import HtmlRules
 
@@ -239,6 +239,16 @@ def snippet_left_join(spark, sf_dir):
     return records.judgments(hits, opinions).select("id", "text", "citation", meta["fetched_full_body"].alias("fetched"), meta["absolute_url"].alias("url"))
 
 
+@query(f"""WITH x AS (SELECT doc_id, lang, {_CLEAN} AS t FROM documents)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN coalesce(nullif(left(t, 9), ''), lang) WHEN 1 THEN coalesce(nullif(left(t, 5), ''), lang) WHEN 2 THEN lang WHEN 3 THEN lang WHEN 4 THEN lang ELSE 'No. ' || doc_id END AS citation FROM x""")
+def citation_variants(spark, sf_dir):
+    """A field that is a list, a string, null, an empty list, missing, or no JSON at all, read as VARIANT."""
+    d, t, k = table(spark, sf_dir, "documents"), _clean(), F.col("doc_id") % 6
+    first, text = F.left(t, F.lit(9)), F.left(t, F.lit(5))
+    raw = F.when(k == 0, F.to_json(F.array(first, F.lit("B")))).when(k == 1, F.concat(F.lit('"'), text, F.lit('"'))).when(k == 2, "null").when(k == 3, "[]").when(k == 5, F.concat(F.lit("No. "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", records.first_citation(raw, F.col("lang")).alias("citation"))
+
+
 @query("SELECT doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END::INTEGER AS label FROM documents")
 def label_lookup_default(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", metrics.label_ids(F.col("source"), ("src0", "src1"), 2).alias("label"))
@@ -486,10 +496,9 @@ def after_prompt(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", classify.after_prompt(words, F.slice(words, 1, 3)).alias("answer"))
 
 
-def conversation_prompts(spark, sf_dir):
+def conversation_prompts(spark, sf_dir, encode):
     """conv_id, turn, text, context of every row of conversations, retrieved from the benchmark texts. A hash of the row is
     the query's id; rows that repeat are asked once and share their hits."""
-    encode = probe.hashed_encoder(128)
     corpus = encode(table(spark, sf_dir, "benchmark")).select("item_id", "text", "embedding")
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.xxhash64("conv_id", "turn", "text").alias("_row"))
     hits = retrieval.top_k_join(corpus, encode(said.dropDuplicates(["_row"])), 5, "item_id", "embedding", "_row", "embedding")
@@ -497,11 +506,25 @@ def conversation_prompts(spark, sf_dir):
     return said.join(retrieval.context_blocks(rows).withColumnRenamed("query_id", "_row"), "_row", "left").drop("_row")
 
 
+def fitted_backend(spark, sf_dir):
+    """An encoder fitted on a sample of the documents, and a classifier trained by epochs on all labelled ones: toxic ones are yes,
+    else those of low quality unclear."""
+    docs = table(spark, sf_dir, "documents")
+    encode = encoder.fit(docs)
+    label = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).otherwise(0)
+    rows = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", label.alias("label")), "doc_id")
+    known = landing.landed(encode(rows).drop("text").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0), "labelled")
+    path, plan = landing.fresh(spark, "classifier"), epochs.Plan(classes=3, dim=encode.dim, epochs=6, rate=0.5)
+    epochs.train(known.where("not held"), known.where("held"), path, plan)
+    return classify.FittedBackend(encode, epochs.best(spark, path).weights)
+
+
 @query()
 def rag_classify(spark, sf_dir):
-    """End to end over all rows of conversations, whatever their turn and role: encode, retrieve, prompt, classify."""
-    asked = conversation_prompts(spark, sf_dir)
-    return classify.classify(asked, classify.RuleBackend(), "text", "context").select("conv_id", "turn", "label", "confidence", "reasoning", "error")
+    """End to end over all rows of conversations, whatever their turn and role: encode, retrieve, prompt, classify by the fitted model."""
+    backend = fitted_backend(spark, sf_dir)
+    asked = conversation_prompts(spark, sf_dir, backend.encoder)
+    return classify.classify(asked, backend, "text", "context").select("conv_id", "turn", "label", "confidence", "reasoning", "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -48,36 +48,38 @@ def test_runs(name, spark, sf):
     assert catalogue.queries()[name](spark, sf).count() > 0
 
 
-def test_rag_classify_takes_every_row(spark, sf, tmp_path):
+def test_rag_classify_takes_every_row(spark, sf, tmp_path, monkeypatch):
     """All turns and roles, repeated rows and null keys too, against brute force: labels, and the five best hits in the prompt."""
     said = spark.read.parquet(f"{sf}/conversations.parquet")
     odd = spark.createDataFrame([(None, 1, "user", "he stole a car"), (1, None, "user", "he stole a car"), (7, 3, "user", None), (7, 4, "user", "")], said.schema)
     said.union(said.limit(3)).union(odd).write.parquet(f"{tmp_path}/conversations.parquet")
     shutil.copy(f"{sf}/benchmark.parquet", tmp_path)
-    encode, rules = probe.hashed_encoder(128), classify.RuleBackend()
+    backend = catalogue.fitted_backend(spark, sf)
+    monkeypatch.setattr(catalogue, "fitted_backend", lambda *_: backend)
+    encode = backend.encoder
     rows = encode(spark.read.parquet(f"{tmp_path}/conversations.parquet")).collect()
 
-    def label(text):
-        t = (text or "").lower()
-        return "yes" if any(w in t for w in rules.words) else "unclear" if any(d in t for d in rules.doubts) else "no"
+    def label(r):
+        return classify.LABELS[int(np.argmax(backend.weights @ np.r_[np.array(r.embedding, float), 1.0]))]
 
     out = catalogue.queries()["rag_classify"](spark, str(tmp_path)).collect()
     assert len(out) == len(rows) == said.count() + 7
     known = [r for r in out if r.error is None]
-    assert Counter((r.conv_id, r.turn, r.label) for r in known) == Counter((r.conv_id, r.turn, label(r.text)) for r in rows if r.text is not None)
+    assert Counter((r.conv_id, r.turn, r.label) for r in known) == Counter((r.conv_id, r.turn, label(r)) for r in rows if r.text is not None)
+    assert len({r.label for r in known}) > 1
 
     items = encode(spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
     line = lambda t: (lambda s: s if len(s) <= 600 else s[:599].rstrip() + "…")(t.strip().replace("\n", " "))
     vectors = np.array([r.embedding for r in items], float)
     at = {line(r.text): i for i, r in enumerate(items)}
-    asked = catalogue.conversation_prompts(spark, str(tmp_path)).collect()
+    asked = catalogue.conversation_prompts(spark, str(tmp_path), encode).collect()
     assert Counter((r.conv_id, r.turn, r.text) for r in asked) == Counter((r.conv_id, r.turn, r.text) for r in rows)
     scores = {(r.conv_id, r.turn, r.text): vectors @ np.array(r.embedding, float) for r in rows}
     for r in asked:
         own = scores[r.conv_id, r.turn, r.text]
         hits = [m[1] for m in re.finditer(r'^\[\d\] \(benchmark\): "(.*)"$', r.context, re.M)]
         assert len(hits) == 5
-        np.testing.assert_allclose([own[at[h]] for h in hits], np.sort(own)[::-1][:5], atol=1e-9)
+        np.testing.assert_allclose([own[at[h]] for h in hits], np.sort(own)[::-1][:5], atol=1e-6)
 
 
 def test_linear_probe_is_at_the_minimum(spark, sf):
@@ -95,7 +97,7 @@ def test_linear_probe_is_at_the_minimum(spark, sf):
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     off = (p - np.eye(k)[y]) * w[:, None]
-    assert np.abs(off.T @ x + b / c).max() < 1e-2 * len(y) ** 0.5 and np.abs(off.sum(axis=0)).max() < 1e-2 * len(y) ** 0.5
+    assert np.abs(off.T @ x + b / c).max() < 1e-4 * len(y) and np.abs(off.sum(axis=0)).max() < 1e-4 * len(y)
     out = catalogue.queries()["linear_probe"](spark, sf).collect()
     test = {r.vec_id: np.array(r.embedding, float) for r in rows.where("split = 'test'").collect()}
     assert {r.vec_id for r in out} == set(test) and all(int(np.argmax(test[r.vec_id] @ b.T + a)) == r.prediction for r in out)

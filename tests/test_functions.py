@@ -89,9 +89,6 @@ def test_replies_are_clamped(data, around):
 
 def test_backends(spark):
     rows = spark.createDataFrame([(1, "he stole a bike", None), (2, "a walk", "ctx"), (3, "boom", "")], "id int, text string, context string")
-    out = {r.id: r for r in classify.classify(rows, classify.RuleBackend(), "text", "context").collect()}
-    assert out[1].label == "yes" and out[2].label == "no" and out[1].error is None
-
     def post(url, body, headers, timeout):
         text = body["messages"][-1]["content"]
         if text == "boom":
