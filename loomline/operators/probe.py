@@ -15,12 +15,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import landed
 from . import metrics
 
 
 def quotas(rows: DataFrame, label: str = "label", test_size: float = 0.33) -> DataFrame:
     """label, n, n_test: ceil(test_size * all) rows, shared by class by largest remainder, ties to the smaller label."""
-    n = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return quotas_of(rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), test_size)
+
+
+def quotas_of(n: DataFrame, test_size: float) -> DataFrame:
+    """label, n -> label, n, n_test."""
     every = Window.partitionBy(F.lit(0))  # as many rows as classes
     want = F.ceil(F.lit(test_size) * F.sum("n").over(every))
     exact = want * F.col("n") / F.sum("n").over(every)
@@ -37,13 +42,14 @@ def stratified_split(rows: DataFrame, id_col: str, label: str = "label", test_si
     turn = F.xxhash64(F.col(id_col), F.lit(seed))
     own = rows.withColumn("_turn", turn).withColumn("_range", F.shiftright("_turn", 64 - bits))
     counts = own.groupBy(F.col(label).alias("label"), "_range").agg(F.count("*").alias("n"))
+    counts = landed(counts, "ranges")  # the one reading before the rows themselves are dealt
     before = F.sum("n").over(Window.partitionBy("label").orderBy("_range")) - F.col("n")  # at most 2^bits rows a class
-    q = quotas(rows, label, test_size).select(F.col("label").alias("_l"), "n_test")
+    q = quotas_of(counts.groupBy("label").agg(F.sum("n").alias("n")), test_size).select(F.col("label").alias("_l"), "n_test")
     spread = counts.withColumn("_before", before).join(q, F.col("label").eqNullSafe(F.col("_l")))
     edge = spread.where((F.col("_before") <= F.col("n_test")) & (F.col("n_test") < F.col("_before") + F.col("n")))
     edge = edge.select("_l", F.col("_range").alias("_edge"), (F.col("n_test") - F.col("_before")).alias("_left"))
     whole = q.join(edge.withColumnRenamed("_l", "_e"), F.col("_l").eqNullSafe(F.col("_e")), "left").select(F.col("_l").alias("_k"), "_edge", "_left")
-    out = own.join(whole, F.col(label).eqNullSafe(F.col("_k")))
+    out = own.join(F.broadcast(whole), F.col(label).eqNullSafe(F.col("_k")))  # a row a class
     # a null edge: the whole class is test rows
     sure = out.where(F.col("_edge").isNull() | (F.col("_range") != F.col("_edge"))).withColumn("_test", F.col("_edge").isNull() | (F.col("_range") < F.col("_edge")))
     near = out.where(F.col("_range") == F.col("_edge"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,7 @@ from ..functions.vectors import dot, doubles, unit
 
 #: Queries whose scores are held at a time, each against a shard.
 STRIP = 256
+HITS = "query_id long, id long, score double"
 HEAD = "Passages found for this text:"
 
 
@@ -28,38 +31,70 @@ def _blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
 
 
 def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of scores the k largest and their ids, largest first, ties to the smaller id; a tie at the edge is settled among all it holds."""
-    k = min(k, score.shape[1])
-    edge = np.partition(score, -k, axis=1)[:, -k, None]
-    out, own = np.empty((len(score), k)), np.empty((len(score), k), np.int64)
-    for i, reach in enumerate(score >= edge):
-        at = np.flatnonzero(reach)
-        at = at[np.lexsort((ids[at], -score[i, at]))[:k]]
-        out[i], own[i] = score[i, at], ids[at]
-    return out, own
+    """Of each row of scores the k largest and their ids (of each row, or the same for all), largest first, ties to the smaller id."""
+    k, ids = min(k, score.shape[1]), np.broadcast_to(ids, score.shape)
+    if k < score.shape[1]:
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        edge = np.take_along_axis(score, top, 1).min(axis=1, initial=np.inf)
+        for i in np.flatnonzero((score >= edge[:, None]).sum(axis=1) > k):  # a tie at the edge is settled among all it holds
+            top[i] = np.lexsort((ids[i], -score[i]))[:k]
+        score, ids = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
+    order = np.lexsort((ids, -score), axis=1)
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def top_k_join(
-    corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "vec_id", query_vec: str = "embedding", shard_rows: int = 16384, block_rows: int = 4096,
-) -> DataFrame:
-    """Many queries against the corpus: query_id, rank, id, score. Both sides are cut into blocks, a pair of blocks is
-    one matrix product and gives k rows a query; nothing is broadcast."""
-    side = lambda df, i, v: df.select(F.col(i).alias("id"), doubles(v).alias("v")).where(F.col("v").isNotNull())
-    x, q = side(corpus, id_col, vec_col), side(queries, query_id, query_vec)
-    n, m = max(1, -(-x.count() // shard_rows)), max(1, -(-q.count() // block_rows))
-    x, q = _blocks(x, "shard", n, "block", m), _blocks(q, "block", m, "shard", n)
+def _matrix(col: pa.Array, rows: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _streamed(x: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """Few queries: they are broadcast, and the corpus is read where it lies, each task with the k best so far."""
+    asked = q.collect()  # at most a block
+    names, held = np.array([r.id for r in asked], np.int64), x.sparkSession.sparkContext.broadcast(np.array([r.v for r in asked], float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        score, ids = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                v, own = _matrix(part.column("v"), part.num_rows), part.column("id").to_numpy()
+                new = [best_rows(np.c_[score[at : at + STRIP], q[at : at + STRIP] @ v.T], np.c_[ids[at : at + STRIP], np.broadcast_to(own, (len(q[at : at + STRIP]), len(own)))], k) for at in range(0, len(q), STRIP)]
+                score, ids = (np.concatenate(c) for c in zip(*new, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], names=["query_id", "id", "score"])
+
+    return x.mapInArrow(run, HITS)
+
+
+def _blocked(x: DataFrame, q: DataFrame, n: int, m: int, k: int) -> DataFrame:
+    """Many: both sides are cut into blocks, and a pair of blocks is one matrix product."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        flat = lambda t: np.stack(t.column("v").to_numpy())
         rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if queries.num_rows and vectors.num_rows:
-            own, q, x, ids = queries.column("id").to_numpy(), flat(queries), flat(vectors), vectors.column("id").to_numpy()
+            own, ids = queries.column("id").to_numpy(), vectors.column("id").to_numpy()
+            q, x = (_matrix(t.column("v").combine_chunks(), t.num_rows) for t in (queries, vectors))
             for lo in range(0, len(own), STRIP):
                 score, found = best_rows(q[lo : lo + STRIP] @ x.T, ids, k)
                 rows.append((np.repeat(own[lo : lo + STRIP], found.shape[1]), found.ravel(), score.ravel()))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["query_id", "id", "score"])
 
-    hits = q.groupBy("shard", "block").cogroup(x.groupBy("shard", "block")).applyInArrow(run, "query_id long, id long, score double")
+    x, q = _blocks(x, "shard", n, "block", m), _blocks(q, "block", m, "shard", n)
+    return q.groupBy("shard", "block").cogroup(x.groupBy("shard", "block")).applyInArrow(run, HITS)
+
+
+def top_k_join(
+    corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "vec_id", query_vec: str = "embedding", shard_rows: int = 16384, block_rows: int = 4096,
+) -> DataFrame:
+    """Many queries against the corpus: query_id, rank, id, score. Up to `block_rows` queries are broadcast, and the corpus isn't
+    moved; more are cut into blocks, as the corpus is. A task gives k rows a query. Null ids and vectors take no part."""
+    side = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), doubles(v).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    x, q = side(corpus, id_col, vec_col), side(queries, query_id, query_vec)
+    asked = q.count()
+    if not asked:
+        hits = x.sparkSession.createDataFrame([], HITS)
+    else:
+        hits = _streamed(x, q, k) if asked <= block_rows else _blocked(x, q, max(1, -(-x.count() // shard_rows)), -(-asked // block_rows), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 

@@ -58,3 +58,23 @@ def test_search(spark, tmp_path, monkeypatch, few, docs_):
 def test_empty_index(spark, tmp_path):
     index = postings.Postings.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "i"))
     assert index.search(spark.createDataFrame([(1, "a")], "query_id int, query string"), 5).collect() == []
+
+
+def test_best_rows_and_both_ways_of_the_join(spark):
+    """Ties at the edge, repeated vectors, few rows; queries broadcast or in blocks give the same."""
+    import numpy as np
+    from loomline.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    score, ids = rng.integers(0, 4, (50, 30)).astype(float), rng.permutation(30)
+    got, own = retrieval.best_rows(score, ids, 6)
+    for i in range(50):
+        want = sorted(zip(-score[i], ids, strict=True))[:6]
+        assert [(-a, b) for a, b in zip(got[i], own[i], strict=True)] == want
+    x = spark.createDataFrame([(i, [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(300)] + [(None, [1.0] * 4), (900, None)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: np.array(r.embedding) for r in x.collect() if r.vec_id is not None and r.embedding}
+    want = {(q, n, i) for q in range(0, 300, 7) for n, (_, i) in enumerate(sorted((-float(rows[q] @ v), i) for i, v in rows.items())[:9], 1)}
+    for block in (4096, 10):
+        found = retrieval.top_k_join(x, x.where("vec_id % 7 = 0 AND vec_id < 300"), 9, shard_rows=70, block_rows=block)
+        assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == want
+    assert retrieval.top_k_join(x.where("false"), x, 3).count() == retrieval.top_k_join(x, x.where("false"), 3).count() == 0
