@@ -1,8 +1,11 @@
 """The pipeline's stages, one after the other, against brute force; odd rows and an empty table go through."""
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
+from itertools import pairwise
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -17,7 +20,7 @@ def test_stages(name, request, spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet") if name == "documents" else request.getfixturevalue(name)
     columns = docs.columns
     for at, (stage, f) in enumerate(corpus_pipeline.STAGES):
-        rows = docs.collect()
+        given, rows = docs, docs.collect()
         before = [(r.doc_id, r.text or "") for r in rows]
         docs = materialise(f(spark, docs, sf), stage)
         after = docs.collect()
@@ -34,8 +37,31 @@ def test_stages(name, request, spark, sf):
             assert own.total() == len(set(components([fingerprint(t) for _, t in before])))
         if stage == "mixing":
             assert not own - Counter({k: 3 * n for k, n in Counter(before).items()})
+            taken, goal = Counter(), {}
+            for r in mixing.mix(given).collect():
+                taken[r.doc_id] += len(r.shards)
+            assert Counter(i for i, _ in own.elements()) == +taken
+            size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+            have = Counter()
+            for r in rows:
+                have[r.source] += size(r.text or "")
+            goal = mixing.targets(given.sparkSession.createDataFrame(list(have.items()), "source string, source_size long")).collect() if have else []
+            for g in goal:  # a draw on the edge of its source's last pass gives its whole row
+                got = sum(size(r.text or "") for r in after if r.source == g.source)
+                assert g.target - 1 <= got <= g.target + 17 * max((size(r.text or "") for r in rows if r.source == g.source), default=0)
         if stage == "packing":
-            assert sum(r.length for r in after) == sum(len(x) + 1 for x in token_ids([t for _, t in before]))
+            want = Counter()
+            for (i, _), ids in zip(before, token_ids([t for _, t in before]), strict=True):
+                ids = np.array([*ids, 1], "<u4")
+                for n, lo in enumerate(range(0, len(ids), 4096)):
+                    want[i, n, lo, len(ids[lo : lo + 4096]), zlib.crc32(ids[lo : lo + 4096].tobytes())] += 1
+            assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in after) == want
+            sequences = defaultdict(list)
+            for r in after:
+                sequences[r.sequence_id].append((r.offset, r.length))
+            for own in sequences.values():
+                own.sort()
+                assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in pairwise(own)) and sum(own[-1]) <= 4096
 
 
 def test_language_stage_runs_the_fusion(spark, sf, monkeypatch):
