@@ -490,6 +490,57 @@ def text_functions(spark, sf_dir):
         "page_id", tx.first_digits(url).alias("digits"), tx.trim_chars(url, "htps:/", "hlmt.x").alias("trimmed"), tx.folder_name(url).alias("folder"), tx.prefixed("u:", url).alias("prefixed"), tx.padded(url, 45).alias("padded"))
 
 
+@query(f"""WITH x AS (SELECT doc_id, source, {_CLEAN} AS t, n_chars FROM documents)
+SELECT doc_id, t || chr(10) || chr(10) || 'end' AS lines, CASE WHEN n_chars % 2 = 0 THEN {_tight("t")} ELSE '``' || {_tight("t")} END AS reply,
+'uk' || source AS act_type, (1900 + doc_id % 100)::INTEGER AS year, (n_chars % 1000)::INTEGER AS number FROM x""")
+def text_forms(spark, sf_dir):
+    """Runs of line ends, a reply's code fence, an act's path."""
+    d, t = table(spark, sf_dir, "documents"), _clean()
+    fence = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit(" ```json\n"), tx.squash(t), F.lit("\n```\n"))).otherwise(F.concat(F.lit("``"), tx.squash(t)))
+    path = F.concat_ws("/", F.concat(F.lit("uk"), "source"), (F.col("doc_id") % 100 + 1900).cast("string"), (F.col("n_chars") % 1000).cast("string"))
+    parts = tx.path_parts(path)
+    return d.select("doc_id", tx.few_newlines(F.concat(t, F.repeat(F.lit("\n"), (F.col("n_chars") % 5 + 2).cast("int")), F.lit("end"))).alias("lines"), tx.unfenced(fence).alias("reply"), parts["act_type"].alias("act_type"), parts["year"].alias("year"), parts["number"].alias("number"))
+
+
+@query(f"""SELECT d.doc_id, {_CLEAN} AS text, quality::INTEGER AS label FROM documents d JOIN labels l USING (doc_id)
+WHERE {_CLEAN} <> '' AND d.doc_id % 7 <> 0""")
+def csv_labels(spark, sf_dir):
+    """Labelled documents written as CSV with quotes, line ends and missing values, and read as the labelled source."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    body = F.concat(F.col("doc_id").cast("string"), F.lit('\n"said", he: '), _clean())
+    rows = d.select(F.when(_clean() != "", body).alias("body"), F.when(F.col("doc_id") % 7 != 0, F.col("quality").cast("string")).otherwise("N/A").alias("y"), F.lit("x").alias("more"))
+    folder = landing.fresh(spark, "labelled")
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "NA").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    out = files.labelled_csv(spark, folder, "body", "y")
+    return out.select(F.split_part("text", F.lit("\n"), F.lit(1)).cast("long").alias("doc_id"), F.regexp_replace("text", '^\\d+\n"said", he: ', "").alias("text"), "label")
+
+
+@query(SQL["record_build"])
+def jsonl_records(spark, sf_dir):
+    """record_build's records written as JSON lines and read again."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("sec"), F.col("doc_id").cast("string")).alias("granule_id"), F.col("lang").alias("title"), F.lit(2023).alias("year"), F.col("source").alias("heading"), F.col("text").alias("body"))
+    folder = landing.fresh(spark, "records")
+    files.write_jsonl(records.code_granules(rows), folder)
+    out = files.read_jsonl(spark, folder)
+    return out.select("id", "text", "source", "citation", "type", F.col("metadata")["heading"].alias("heading"), F.col("metadata")["package_id"].alias("package_id"))
+
+
+@query("""WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, list_dot_product(q.v, c.v) AS s FROM x q, x c WHERE q.vec_id % 25 = 0)
+SELECT query_id, 'record ' || vec_id AS text, 'set ' || label AS source, '' AS citation, round_even(s::DECIMAL(18, 8), 4)::DOUBLE AS score, 'n' || vec_id AS note, row_number() OVER (PARTITION BY query_id ORDER BY s DESC)::INTEGER AS rank
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC) <= 3""")
+def index_retrieve(spark, sf_dir):
+    """Records with their embeddings built into an index, saved, opened again and asked for the best three."""
+    x = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    n = F.col("vec_id").cast("string")
+    rows = x.select(n.alias("id"), F.concat(F.lit("record "), n).alias("text"), F.concat(F.lit("set "), F.col("label").cast("string")).alias("source"), F.lit(None).cast("string").alias("citation"), F.lit("statute").alias("type"), F.create_map(F.lit("note"), F.concat(F.lit("n"), n)).alias("metadata"), "embedding")
+    path = landing.fresh(spark, "index")
+    retrieval.Index.build(rows, lambda df, _: df, "given", path, 3)
+    hits = retrieval.Index.load(spark, path, 3).retrieve(x.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return hits.select("query_id", "text", "source", "citation", F.bround("score", 4).alias("score"), F.col("metadata")["note"].alias("note"), "rank")
+
+
 @query("""SELECT doc_id, string_split(text, ' ')[4:] AS answer FROM documents WHERE text IS NOT NULL""")
 def after_prompt(spark, sf_dir):
     words = F.split("text", " ")
