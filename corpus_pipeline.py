@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing to target weights, best-fit packing."""
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
+
+Each stage takes every row that the one before it kept. A null text counts as empty and goes with language ID, as a text without
+letters does; null sources are a source of their own; rows without an id go through, equal ones by their text. Of equal texts the
+longest original stays, then the smallest id, then the first row, so repeated rows are one; of near copies one row of each group stays. An empty
+table gives an empty result. Extra columns go through to the mix, whatever their names; packing gives pieces."""
 
 from __future__ import annotations
 
