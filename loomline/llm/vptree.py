@@ -4,7 +4,8 @@ A shard's vectors are cut into bands of about equal length, a tree each. There t
 nearest distance by one more coordinate: if the band's longest vector has length M, x becomes (x, sqrt(M^2 - |x|^2))
 and a query is scaled to length M. Bands are searched from the longest on, with the k best so far. A node holds a vantage point and splits the rest at
 the median distance. A child is left out for a query if the triangle inequality's lower bound, times `relax`, exceeds
-the query's k-th distance so far: relax = 1 is exact search, more prunes more. Equal vectors are one point, named after
+the query's k-th distance so far: relax = 1 is exact search, more prunes more. The default is the largest whole number
+whose recall was 0.95 or more on all tables measured (README). Equal vectors are one point, named after
 their smallest id, and of equal scores the smaller name is kept, so ties go to smaller ids. Scores are inner products of
 the original vectors in double precision.
 
@@ -215,7 +216,7 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREES).parquet(path)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, block_rows: int = 16384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int = 20, relax: float = 6.0, block_rows: int = 16384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k nearest found, itself left out."""
     q = materialise(usable(queries, id_col, vec_col).withColumn("node", F.monotonically_increasing_id()), "queries")
     blocks, shards = max(1, -(-queries.count() // block_rows)), (index.agg(F.max("shard")).first()[0] or 0) + 1
@@ -227,7 +228,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, relax: float
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.2, shard_rows: int = 16384, block_rows: int = 16384, leaf: int = 256,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 6.0, shard_rows: int = 16384, block_rows: int = 16384, leaf: int = 256,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """build_index() and search_index() in one call."""

@@ -104,3 +104,16 @@ def test_declared_language_behind_long_attributes(spark):
     text = f"<html class='{'x' * 5000}' lang=\"de\"><p>a</p>"
     rows = spark.createDataFrame([(1, text, "s"), (2, "<html><p lang='fr'>", "s"), (3, "<html " * 50_000, "s")], "doc_id long, text string, source string")
     assert {r.id: r.declared for r in language_id.document_evidence(rows).collect()} == {1: "de", 2: None, 3: None}
+
+
+def test_recall_of_the_default(spark, sf):
+    """Against brute force, on more rows than a leaf holds."""
+    rows = spark.read.parquet(sf.replace("0.001", "0.1") + "/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    bands, asked = vptree.Bands(ids, x, 64), np.flatnonzero(ids % 20 == 0)
+    best, _ = bands.search(x[asked], 21, vptree.nearest.__defaults__[1])
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    found = [len({*bands.hits(ids[q], x[q], row, 20)[0]} & {*ids[w]}) for q, row, w in zip(asked, best, want, strict=True)]
+    assert np.mean(found) > 0.9 * 20 and bands.visited < 0.97 * len(asked) * len(ids)
