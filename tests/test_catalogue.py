@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from loomline.functions import text as tx
 from loomline.operators import classify, probe
 from loomline.plans import catalogue
 
@@ -120,3 +121,18 @@ def test_html_sections_of_pages(spark, sf):
             depth += (-1 if depth else 0) if name == "p" and closing else name == "p"
             inside += [unescape(part)] * (not part.startswith("<") and depth > 0 and not head)
         assert "".join(r.body.split()) == "".join("".join(inside).split())
+
+
+def test_boolean_text_query_of_odd_texts(spark, tmp_path):
+    """Words beside letters that are not ASCII, other white space, letters with a third case, null: as the SQL has it."""
+    texts = ["éthe", "the\u0301", "theé", "xthe", "THE", "dé des", "deſ x", "deſx", "DEſy", "nicht\x0bsch", "NICHT\f\n SCH", "nicht\u00a0sch", "nıcht sch", "nicht ſCH", "_des", "des_", "1des", "para—", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.hit for r in catalogue.queries()["boolean_text_query"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.sql(catalogue.oracle_sql()["boolean_text_query"]).fetchall())
+    for query, sql in (('"tax—é" OR kilo', "tax—é|kilo"), ('"a (b)"', r"a\s+\(b\)"), ("ſo OR Éa", "ſo|Éa")):
+        body = ["TAX—É", "tax—éa", "\u212aILO", "x\u212aILO", "a (b)", "A (b)c", "SO", "so.", "éa", "bÉA", "É A"]
+        rows = spark.createDataFrame(list(enumerate(body)), "i int, s string")
+        got = [r.x for r in rows.select("i", tx.any_word("s", query).alias("x")).orderBy("i").collect()]
+        assert got == [duckdb.execute("SELECT regexp_matches(?, ?)", [s, rf"(?i)\b({sql})\b"]).fetchone()[0] for s in body], query
