@@ -9,8 +9,10 @@ import duckdb
 import numpy as np
 import pytest
 from loomline.functions import text as tx
+from loomline.functions import vectors as vx
 from loomline.operators import classify, probe
 from loomline.plans import catalogue
+from pyspark.sql import functions as F
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
 
@@ -136,3 +138,22 @@ def test_boolean_text_query_of_odd_texts(spark, tmp_path):
         rows = spark.createDataFrame(list(enumerate(body)), "i int, s string")
         got = [r.x for r in rows.select("i", tx.any_word("s", query).alias("x")).orderBy("i").collect()]
         assert got == [duckdb.execute("SELECT regexp_matches(?, ?)", [s, rf"(?i)\b({sql})\b"]).fetchone()[0] for s in body], query
+
+
+def test_l2_normalize_of_odd_vectors(spark, tmp_path):
+    """What rounds to zero keeps its sign, zero vectors, halves, no vector, none of its components, no numbers: bit by bit as the SQL has it."""
+    vectors = [[1.0, -1e-8], [1e-8, 1.0], [-1.0, -5e-7], [0.0, 0.0], [-0.0, 0.0], [3.0, 4.0], [], None, [math.nan, 1.0], [math.inf, 1.0], [1e-40, -1e-40], [0.1234565, 0.9923495]]
+    rows = [(i, v, 0) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bits = lambda rows: {i: v and [repr(x) for x in v] for i, v in rows}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = bits(con.sql(catalogue.oracle_sql()["l2_normalize"]).fetchall())
+    assert want[0] == ["1.0", "-0.0"]
+    assert bits((r.vec_id, r.unit) for r in catalogue.queries()["l2_normalize"](spark, str(tmp_path)).collect()) == want
+
+
+def test_rounded_is_the_rounding_of_sql(spark):
+    values = [0.5e-6, -0.5e-6, 1.5e-6, -2.5e-6, 0.1234565, -0.1234575, 1e-9, -1e-9, 0.0, -0.0, 123.4567895, -7.0000005, math.nan, math.inf, -math.inf]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", vx.rounded(F.col("v"), 6).alias("x")).orderBy("i").collect()]
+    assert list(map(repr, got)) == [repr(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in values]
