@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import SCHEMA
 from . import parsers
-from .landing import complete
+from .landing import complete, slices
 
 #: Made-up examples. Labels as the classes: 0 no, 1 yes, 2 unclear.
 SAMPLE = (
@@ -56,13 +56,16 @@ def write_jsonl(records: DataFrame, path: str, mode: str = "overwrite") -> int:
 
 
 def _parsed(files: DataFrame, schema: str, parse) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in schema.split(", ")]
-        for b in batches:
-            rows = [row for args in b.itertuples(index=False) for row in parse(*args)]
-            yield pd.DataFrame(rows, columns=names)
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    kinds = [{"string": pa.string(), "int": pa.int32()}[k] for k in kinds]
 
-    return files.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = [row for args in zip(*(c.to_pylist() for c in part.columns), strict=True) for row in parse(*args)]
+            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return files.mapInArrow(run, schema)
 
 
 CODE_ROWS = "path string, position int, title string, section string, heading string, body string"
@@ -90,12 +93,13 @@ def html_sections(pages: DataFrame, id_col: str, html_col: str, rules: parsers.H
     rows = pages.select(F.col(id_col).alias("id"), *keep, html_col)
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parsed = [parsers.html_section(x or "", rules) for x in b.iloc[:, -1]]
-            yield b.iloc[:, :-1].assign(heading=[h for h, _ in parsed], body=[x for _, x in parsed])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            *own, html = part.columns
+            parsed = [parsers.html_section(x or "", rules) for x in html.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([p[k] for p in parsed], pa.string()) for k in (0, 1))], names=[*part.schema.names[:-1], "heading", "body"])
 
-    return rows.mapInPandas(run, f"{kinds}, heading string, body string")
+    return rows.mapInArrow(run, f"{kinds}, heading string, body string")
 
 
 def present_or(spark: SparkSession, path: str, build) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from collections import Counter
 
 import pytest
-from loomline.sources import files, ingest, remote, settings
+from loomline.sources import files, ingest, parsers, remote, settings
 from loomline.sources.landing import answers
 from loomline.sources.listing import listing
 from loomline.streaming.ingest import follow
@@ -206,3 +206,20 @@ def test_settings(tmp_path, monkeypatch):
     assert settings.find_env(tmp_path / "in") == tmp_path / ".env"
     assert settings.parse('A = "q # s" # c\nB=x#y\nC=\'\'\n# D=1\nno\nexport E=1') == {"A": "q # s", "B": "x#y", "C": "", "E": "1"}
     assert ingest.statute("ukpga/2006/35") == ("ukpga", 2006, 35)
+
+
+def test_pages_are_parsed_in_slices(spark, monkeypatch):
+    """Of a large batch only a slice's pages are Python objects before their rows are given on; null pages and ids stay rows."""
+    import pyarrow as pa
+
+    ran, parsed = [], []
+    df = spark.createDataFrame([(1, "<h1>a</h1><p>b</p>"), (None, None)], "page_id long, html string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda _, f, schema, whole=type(df).mapInArrow: ran.append(f) or whole(_, f, schema))
+    out = files.html_sections(df, "page_id", "html", parsers.HtmlRules("h1", "", "p", ""))
+    assert Counter((r.id, r.heading, r.body) for r in out.collect()) == Counter([(1, "a", "b"), (None, "", "")])
+    monkeypatch.setattr(parsers, "html_section", lambda html, rules: parsed.append(html) or ("h", html))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"page {i}" for i in range(1000)])], names=["id", "html"])
+    got = ran[0](iter([batch]))
+    first = next(got)
+    assert len(parsed) == first.num_rows <= 256
+    assert [x for b in (first, *got) for x in b.column("body").to_pylist()] == [f"page {i}" for i in range(1000)]
