@@ -107,3 +107,27 @@ def test_a_fitted_backend_replies(spark):
     assert r[0].label == "unclear" and r[0].error is None and 1 / 3 < r[0].confidence <= 1
     p = epochs.softmax(np.array([[1.0, 2.0]]))
     assert p.sum() == pytest.approx(1)
+
+
+def test_texts_go_through_python_in_slices(spark, monkeypatch):
+    """rag_classify's steps: of a large batch only a slice is Python objects before its rows are given on; keys with nulls stay as they are."""
+    import pyarrow as pa
+    from loomline.operators import classify
+
+    class Counting(classify.Backend):
+        labels, asked = classify.LABELS, []
+
+        def start(self):
+            return lambda chat: self.asked.append(chat) or classify.Reply("yes", 0.5, chat[0]["role"], chat[1]["content"])
+
+    rows = spark.createDataFrame([(1 << 60 | 1, "a"), (None, None)], "k long, text string")
+    ran = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda _, f, schema, whole=type(rows).mapInArrow: ran.append(f) or whole(_, f, schema))
+    out = {r.k: r for r in classify.classify(rows, Counting()).collect()}
+    assert set(out) == {1 << 60 | 1, None} and out[1 << 60 | 1].raw == "a" and out[None].label == "yes"
+    chats = [[{"role": "system", "content": "s"}, {"role": "user", "content": f"t{i}"}] for i in range(1000)]
+    got = ran[0](iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(chats)], names=["k", "_chat"])]))
+    Counting.asked.clear()
+    first = next(got)
+    assert len(Counting.asked) == first.num_rows <= 256
+    assert [x for b in (first, *got) for x in b.column("raw").to_pylist()] == [f"t{i}" for i in range(1000)]
