@@ -86,7 +86,7 @@ def best_fit_decreasing(lengths: dict[int, int], capacity: int) -> tuple[list[tu
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
-        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             rows = []
             for key, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()), strict=True):
                 ids += end

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept by each Python worker in either of two tables: when the young one is full it becomes the old one, so memory
 #: is bounded, common words stay, and results are the same.
 WORDS_KEPT, PARTS_KEPT = 400_000, 300_000
 #: Latin letters that lower-casing and NFC map one to one, then ASCII punctuation but the apostrophe: such a word is two
 #: pieces, or one, for the splitter, and the first needs no more of the normaliser than lower case.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+_PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+)(?P<rest>[!-&(-/:-@\\[-`{-~]*)$"
+#: Bytes of text whose words are told apart at a time, and words whose ids are put in place at a time.
+TOGETHER, PLACED = 4 << 20, 1 << 18
 
 
 class TwoTables:
@@ -27,18 +31,25 @@ class TwoTables:
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
 
-    def fill(self, keys: Iterable, make: Callable[[list], list]) -> None:
-        """Every key is in the young table afterwards."""
-        new = []
-        for k in keys:
-            if k not in self.young:
-                if (got := self.old.get(k)) is None:
-                    new.append(k)
-                else:
-                    self.young[k] = got
-        for at in range(0, len(new), 1024):
-            own = new[at : at + 1024]
-            self.young.update(zip(own, make(own), strict=True))
+    def values(self, keys: pa.Array, make: Callable[[pa.Array], list[bytes]]) -> list[bytes]:
+        """What belongs to each of the distinct keys; `make` gives what is in neither table."""
+        self.turn()
+        own = as_list(keys.cast(pa.binary()))
+        found = list(map(self.young.get, own))
+        lacking = []
+        for i in [i for i, v in enumerate(found) if v is None]:
+            if (got := self.old.get(own[i])) is None:
+                lacking.append(i)
+            else:
+                self.young[own[i]] = found[i] = got
+        if lacking:
+            for i, v in zip(lacking, make(keys.take(pa.array(lacking, pa.int64()))), strict=True):
+                self.young[own[i]] = found[i] = v
+        return found
+
+
+def as_list(col: pa.Array) -> list:
+    return col.to_numpy(zero_copy_only=False).tolist()
 
 
 def drops_white(path: str) -> bool:
@@ -62,16 +73,23 @@ def drops_white(path: str) -> bool:
     )
 
 
-def lean(path: str) -> Callable[[str], list[int]]:
+def lean(path: str) -> Callable[[pa.Array], list[bytes]]:
     """The file's model behind its byte mapping alone: for words that are one piece, lower-cased and composed already."""
     from tokenizers import Tokenizer, pre_tokenizers
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    tok.normalizer = None
-    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return lambda text: tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    model, to_bytes = Tokenizer.from_file(path).model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    mapped = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+
+    def run(words: pa.Array) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 4096):
+            got = [model.tokenize(w if w.isascii() else w.translate(mapped)) for w in as_list(words.slice(at, 4096))]
+            ends = (np.cumsum([len(x) for x in got]) * 4).tolist()
+            raw = np.array([t.id for x in got for t in x], "<u4").tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    return run
 
 
 class Encoder:
@@ -102,46 +120,69 @@ class Encoder:
     def _pack(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(x, "<u4").tobytes() for x in self._many([t.decode() for t in texts])]
 
-    def _joined(self, words: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
+    def _joined(self, words: pa.Array) -> list[bytes]:
         """Many words in one call, told apart by a special token of the vocabulary: the library cuts a text at special
         tokens before all else."""
-        ids = np.array(encode(self.mark.join(words)), "<u4")
-        cut, raw = (np.flatnonzero(ids == self.mark_id) * 4).tolist(), ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
+        out = []
+        for at in range(0, len(words), 1024):
+            ids = np.array(self._all(self.mark.join(as_list(words.slice(at, 1024)))), "<u4")
+            cut, raw = (np.flatnonzero(ids == self.mark_id) * 4).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
+        return out
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: pa.Array) -> list[bytes]:
         if not self.mark:
-            return self._pack(words)
-        texts = [w.decode() for w in words]
-        plain = [_PLAIN.fullmatch(t) for t in texts]
-        pieces = [(m[1].lower(), m[2]) if m else None for m in plain]
-        self.parts.turn()
-        self.parts.fill({p[0] for p in pieces if p}, lambda own: self._joined(own, self._lean))
-        self.parts.fill({p[1] for p in pieces if p and p[1]}, lambda own: self._joined(own, self._all))
-        odd = [t for t, p in zip(texts, pieces, strict=True) if not p]
-        alone = any(self.mark in t for t in odd)
-        rest = iter(self._pack([t.encode() for t in odd]) if alone else self._joined(odd, self._all) if odd else [])
-        get = self.parts.young.__getitem__
-        return [(get(p[0]) + get(p[1]) if p[1] else get(p[0])) if p else next(rest) for p in pieces]
+            return self._pack(as_list(words.cast(pa.binary())))
+        halves = pc.extract_regex(words, _PLAIN)
+        plain = halves.is_valid()
+        out, halves, odd = np.empty(len(words), object), halves.filter(plain), words.filter(pc.invert(plain))
+        first, rest = pc.utf8_lower(halves.field("word")).dictionary_encode(), halves.field("rest").dictionary_encode()
+        a, b = self.parts.values(first.dictionary, self._lean), self.parts.values(rest.dictionary, self._joined)
+        plain = plain.to_numpy(zero_copy_only=False)
+        out[plain] = [a[i] + b[j] for i, j in zip(as_list(first.indices), as_list(rest.indices), strict=True)]
+        if len(odd):
+            alone = pc.any(pc.match_substring(odd, self.mark)).as_py()
+            out[~plain] = self._pack(as_list(odd.cast(pa.binary()))) if alone else self._joined(odd)
+        return out.tolist()
+
+    def _by_word(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Of about TOGETHER bytes at a time: the texts' first words and the end, each word's number, the numbers' ids."""
+        lo, size = 0, 0
+        for hi, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= TOGETHER or hi == len(texts):
+                words = pc.ascii_split_whitespace(pa.array(texts[lo:hi], pa.binary()).cast(pa.string()))  # the six of ASCII
+                each = words.flatten().dictionary_encode()
+                yield words.offsets.to_numpy(), each.indices.to_numpy(), self.words.values(each.dictionary, self._words)
+                lo, size = hi, 0
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._pack(texts)
         out: list[bytes] = []
-        for lo in range(0, len(texts), 256):
-            self.words.turn()
-            words = [x.split() for x in texts[lo : lo + 256]]  # of bytes: the six ASCII white-space characters
-            found = [list(map(self.words.young.get, x)) for x in words]
-            lacking = [i for i, x in enumerate(found) if None in x]
-            self.words.fill({w for i in lacking for w, v in zip(words[i], found[i], strict=True) if v is None}, self._words)
-            table = self.words.young
-            for i in lacking:
-                found[i] = [table[w] if v is None else v for w, v in zip(words[i], found[i], strict=True)]
-            out += map(b"".join, found)
+        for begin, word, ids in self._by_word(texts):
+            n, pool = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
+            first, edges, raw = np.cumsum(n) - n, sums(n[word])[begin], bytearray()
+            for at in range(0, len(word), PLACED):
+                own = word[at : at + PLACED]
+                ends = np.cumsum(n[own])
+                raw += pool[np.repeat(first[own] - ends + n[own], n[own]) + np.arange(ends[-1])].data
+            edges = (edges * 4).tolist()
+            out += [bytes(raw[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return out
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        return [len(x) // 4 for x in self.ids(texts)]
+        if not self.by_word:
+            return [len(x) // 4 for x in self._pack(texts)]
+        out: list[int] = []
+        for begin, word, ids in self._by_word(texts):
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            out += np.diff(sums(n[word])[begin]).tolist()
+        return out
+
+
+def sums(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
 
 
 @lru_cache(maxsize=4)

@@ -74,6 +74,25 @@ def test_word_table_is_exact():
     assert enc.ids([t.encode() for t in texts]) == [np.array(x, "<u4").tobytes() for x in token_ids(texts)]
 
 
+def test_a_word_is_looked_up_once_however_often_it_stands():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    letters = [chr(c) for c in range(0x180) if chr(c).isalpha()]
+    words = [*letters, *(x + y for x in letters for y in "'.,<-~"), "", "l'été,", "we'll.", "Straße;", "ŸÉ!?", "x" * 3000, "<|endoftext|>", "a<|endoftext|>b"]
+    texts = [" ".join(words), " \t\n\x0b\x0c\r".join(reversed(words)), "", " ", "\x1c a\x85b\xa0c\u3000d "] * 30
+    for kept in (400_000, 7):
+        enc = Encoder(TOKENIZER, words_kept=kept)
+        enc.words.young = asked = Asked()
+        want = [np.array(x, "<u4").tobytes() for x in token_ids(texts)]
+        assert enc.ids([t.encode() for t in texts]) == want and enc.counts([t.encode() for t in texts]) == [len(x) // 4 for x in want]
+        assert 0 < asked.n <= 4 * len(words) < len(words) * 60
+
+
 def test_exact_dedup(docs, rows):
     groups = defaultdict(list)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
