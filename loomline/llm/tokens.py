@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by each Python worker in either of two tables: when the young one is full it becomes the old one, so memory
-#: is bounded, common words stay, and results are the same.
-WORDS_KEPT, PARTS_KEPT = 400_000, 300_000
+#: Words kept by each Python worker in either of two tables, plain ones by their parts: when the young one is full it
+#: becomes the old one, so memory is bounded, common words stay, and results are the same.
+WORDS_KEPT, PARTS_KEPT = 300_000, 400_000
 #: Latin letters that lower-casing and NFC map one to one, then ASCII punctuation but the apostrophe: such a word is two
 #: pieces, or one, for the splitter, and the first needs no more of the normaliser than lower case.
 _PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f]+)(?P<rest>[!-&(-/:-@\\[-`{-~]*)$"
@@ -130,9 +130,13 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
         return out
 
+    def _odd(self, words: pa.Array) -> list[bytes]:
+        alone = not self.mark or pc.any(pc.match_substring(words, self.mark)).as_py()
+        return self._pack(as_list(words.cast(pa.binary()))) if alone else self._joined(words)
+
     def _words(self, words: pa.Array) -> list[bytes]:
         if not self.mark:
-            return self._pack(as_list(words.cast(pa.binary())))
+            return self.words.values(words, self._odd)
         halves = pc.extract_regex(words, _PLAIN)
         plain = halves.is_valid()
         out, halves, odd = np.empty(len(words), object), halves.filter(plain), words.filter(pc.invert(plain))
@@ -140,9 +144,7 @@ class Encoder:
         a, b = self.parts.values(first.dictionary, self._lean), self.parts.values(rest.dictionary, self._joined)
         plain = plain.to_numpy(zero_copy_only=False)
         out[plain] = [a[i] + b[j] for i, j in zip(as_list(first.indices), as_list(rest.indices), strict=True)]
-        if len(odd):
-            alone = pc.any(pc.match_substring(odd, self.mark)).as_py()
-            out[~plain] = self._pack(as_list(odd.cast(pa.binary()))) if alone else self._joined(odd)
+        out[~plain] = self.words.values(odd, self._odd)
         return out.tolist()
 
     def _by_word(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -153,7 +155,7 @@ class Encoder:
             if size >= TOGETHER or hi == len(texts):
                 words = pc.ascii_split_whitespace(pa.array(texts[lo:hi], pa.binary()).cast(pa.string()))  # the six of ASCII
                 each = words.flatten().dictionary_encode()
-                yield words.offsets.to_numpy(), each.indices.to_numpy(), self.words.values(each.dictionary, self._words)
+                yield words.offsets.to_numpy(), each.indices.to_numpy(), self._words(each.dictionary)
                 lo, size = hi, 0
 
     def ids(self, texts: list[bytes]) -> list[bytes]:

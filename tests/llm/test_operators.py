@@ -87,10 +87,10 @@ def test_a_word_is_looked_up_once_however_often_it_stands():
     texts = [" ".join(words), " \t\n\x0b\x0c\r".join(reversed(words)), "", " ", "\x1c a\x85b\xa0c\u3000d "] * 30
     for kept in (400_000, 7):
         enc = Encoder(TOKENIZER, words_kept=kept)
-        enc.words.young = asked = Asked()
+        enc.words.young, enc.parts.young = asked = Asked(), Asked()
         want = [np.array(x, "<u4").tobytes() for x in token_ids(texts)]
         assert enc.ids([t.encode() for t in texts]) == want and enc.counts([t.encode() for t in texts]) == [len(x) // 4 for x in want]
-        assert 0 < asked.n <= 4 * len(words) < len(words) * 60
+        assert 0 < min(t.n for t in asked) <= max(t.n for t in asked) <= 4 * len(words) < len(words) * 60
 
 
 def test_exact_dedup(docs, rows):
