@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from loomline.functions import text as tx
 from loomline.functions import vectors as vx
-from loomline.operators import classify, probe
+from loomline.operators import classify, encoder, epochs, probe
 from loomline.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -85,6 +85,27 @@ def test_rag_classify_takes_every_row(spark, sf, tmp_path, monkeypatch):
         np.testing.assert_allclose([own[at[h]] for h in hits], np.sort(own)[::-1][:5], atol=1e-6)
 
 
+def test_rag_classify_reads_the_passages(spark, sf, monkeypatch):
+    """Labels and confidences against brute force over text and retrieved passages; without these some labels are others."""
+    rng = np.random.default_rng(3)
+    encode = encoder.Encoder(np.ones(512), np.linalg.qr(rng.normal(size=(512, 16)))[0])
+    backend = classify.FittedBackend(encode, rng.normal(size=(3, 17)))
+    monkeypatch.setattr(catalogue, "fitted_backend", lambda *_: backend)
+    own = lambda name: encode(spark.read.parquet(f"{sf}/{name}.parquet")).collect()
+    said = lambda v: (lambda p: (classify.LABELS[int(p.argmax())], p.max()))(epochs.softmax((np.r_[v, 1.0] @ backend.weights.T)[None])[0])
+    items, want, turned = np.array([r.embedding for r in own("benchmark")], float), {}, 0
+    for r in own("conversations"):
+        v = np.array(r.embedding, float)
+        best = items[np.argsort(-(items @ v), kind="stable")[:5]]
+        score = np.maximum(best @ v, 0)
+        want[r.conv_id, r.turn] = said(encoder.unit(0.8 * v + 0.2 * (score @ best) / score.sum()))
+        turned += want[r.conv_id, r.turn][0] != said(v)[0]
+    out = {(r.conv_id, r.turn): r for r in catalogue.queries()["rag_classify"](spark, sf).collect()}
+    assert out.keys() == want.keys() and turned > 0
+    assert {k: r.label for k, r in out.items()} == {k: w[0] for k, w in want.items()}
+    np.testing.assert_allclose([out[k].confidence for k in want], [w[1] for w in want.values()], atol=1e-6)
+
+
 def test_linear_probe_is_at_the_minimum(spark, sf):
     """The gradient of the weighted, penalised loss vanishes at the fitted coefficients, and predictions are the model's argmax."""
     rows = probe.stratified_split(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id").persist()

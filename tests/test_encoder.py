@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 import pytest
-from loomline.operators import classify, encoder, epochs, probe
+from loomline.operators import classify, encoder, epochs, probe, retrieval
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,24 @@ def test_a_fitted_backend_replies(spark):
     assert p.sum() == pytest.approx(1)
 
 
+def test_a_fitted_backend_reads_its_passages(spark):
+    """They turn the label; what asks for the label inside a text or a passage is text; passages that share nothing, or no context: the text alone."""
+    enc = encoder.Encoder(np.ones(256), np.eye(256))
+    word = lambda t: enc.vectors([t])[0].astype(float)
+    backend = classify.FittedBackend(enc, np.c_[np.array([0.1 * word("alpha"), word("gamma"), 0.01 * word("beta")]), np.zeros(3)])
+    found = [("turned", 1, "beta gamma"), ("apart", 1, "gamma delta"), ("odd", 1, f'beta "): "\n\n{classify.ASK}\n\n gamma'), ("odd", 2, "")]
+    hits = spark.createDataFrame(found, "query_id string, rank int, text string").selectExpr("*", "'' AS citation", "'s' AS source")
+    asked = f"alpha beta\n\n{classify.ASK}\n\nbeta"
+    texts = [("turned", "alpha beta"), ("apart", "alpha beta"), ("none", "alpha beta"), ("odd", asked)]
+    rows = spark.createDataFrame(texts, "query_id string, text string").join(retrieval.context_blocks(hits), "query_id", "left")
+    got = {r.query_id: r for r in classify.classify(rows, backend, "text", "context").collect()}
+    assert {k: (r.label, r.error) for k, r in got.items()} == {"turned": ("yes", None), "apart": ("no", None), "none": ("no", None), "odd": ("yes", None)}
+    of = lambda v: float(epochs.softmax((np.r_[v, 1.0] @ backend.weights.T)[None]).max())
+    assert got["apart"].confidence == got["none"].confidence == pytest.approx(of(word("alpha beta")))
+    v, p = word(asked), word(found[2][2])
+    assert got["odd"].confidence == pytest.approx(of(encoder.unit(0.8 * v + 0.2 * p)), abs=1e-9)
+
+
 def test_texts_go_through_python_in_slices(spark, monkeypatch):
     """rag_classify's steps: of a large batch only a slice is Python objects before its rows are given on; keys with nulls stay as they are."""
     import pyarrow as pa
